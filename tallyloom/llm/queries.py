@@ -9,13 +9,19 @@ from tallyloom.llm.byte_bpe import round_trip_digests
 from tallyloom.llm.language_id import identify_languages
 from tallyloom.llm.near_dedup import NearDedup, near_duplicates
 from tallyloom.llm.scratch import Scratch
+from tallyloom.llm.substring_dedup import parse
 from tallyloom.llm.token_counts import count_tokens
+from tallyloom.llm.toxicity import fit, score
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -30,14 +36,21 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDedup(words=2))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(spark, table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_token_counts": op7_token_counts,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
 
