@@ -11,7 +11,9 @@ from tallyloom.llm.near_dedup import NearDedup, near_duplicates
 from tallyloom.llm.scratch import Scratch
 from tallyloom.llm.substring_dedup import parse
 from tallyloom.llm.token_counts import count_tokens
+from tallyloom.llm.top_k import top_k
 from tallyloom.llm.toxicity import fit, score
+from tallyloom.llm.warc import read_archives, write_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +24,21 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    folder = f"{scratch.root}/archives"
+    index = scratch.write(write_archives(table(spark, sf_dir, "pages"), folder), "index")
+    return read_archives(index, folder)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache is new for each call, so that every distinct text is encoded."""
     cache = f"{Scratch(spark, 'counts').root}/cache"
@@ -47,7 +60,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_toxicity": op9_toxicity,
