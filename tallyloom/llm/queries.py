@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.byte_bpe import round_trip_digests
+from tallyloom.llm.decontaminate import contaminated
 from tallyloom.llm.language_id import identify_languages
+from tallyloom.llm.line_dedup import drop_duplicate_lines
 from tallyloom.llm.near_dedup import NearDedup, near_duplicates
 from tallyloom.llm.scratch import Scratch
 from tallyloom.llm.substring_dedup import parse
@@ -20,10 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_duplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
@@ -59,7 +69,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_warc": op6_warc,
