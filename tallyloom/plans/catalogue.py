@@ -1,2 +1,8 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""All queries of the engine's own operators."""
+
+from __future__ import annotations
+
+from tallyloom.plans import usage_queries  # noqa: F401  registers its queries
+from tallyloom.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
