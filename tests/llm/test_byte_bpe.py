@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from tallyloom.llm.byte_bpe import ByteBpe, _Remembering, encode_documents, load_ranks, round_trip_digests
+from tallyloom.llm.byte_bpe import ByteBpe, Remembering, encode_documents, load_ranks, round_trip_digests
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -23,12 +23,15 @@ def test_ids_equal_the_library(both):
     alphabet = "ab  e\n\t's1,.é東😀\x1c\xa0　'"
     texts += ["".join(r.choice(alphabet) for _ in range(r.randrange(60))) for _ in range(1500)]
     texts += ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 300))) for _ in range(200)]
-    remembering = _Remembering(bpe)
+    remembering = Remembering(bpe)
     for text in texts:
         ids = library.encode_ordinary(text)
         assert bpe.encode(text) == ids, repr(text)
         assert bpe.decode(ids) == text.encode()
-        assert remembering.text(text) == (" ".join(map(str, ids)), len(ids), text.encode()), repr(text)
+        assert next(iter(remembering.texts([text]))) == (" ".join(map(str, ids)), text.encode()), repr(text)
+    together = list(Remembering(bpe).texts(texts))
+    assert [t for _, t in together] == [t.encode() for t in texts]
+    assert [i for i, _ in together] == [" ".join(map(str, library.encode_ordinary(t))) for t in texts]
 
 
 def test_very_long_pre_tokens(both):
