@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.words import U64, mix, utf8
+from tallyloom.llm.words import U64, mix, small_parts, utf8
 
 UNDETERMINED = "und"
 
@@ -62,17 +62,6 @@ def unit_vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
-def small_parts(batch: pa.RecordBatch, rows: int = 64, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a few rows and, unless one text is longer, a bounded number of bytes."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
-    i = 0
-    while i < batch.num_rows:
-        done = size[i - 1] if i else 0
-        j = min(i + rows, max(i + 1, int(np.searchsorted(size, done + limit, side="right"))), batch.num_rows)
-        yield batch.slice(i, j - i)
-        i = j
-
-
 def _document_frequencies(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(1 << bits, dtype=np.int64), 0
     for batch in batches:
