@@ -1,0 +1,109 @@
+"""Session logs: JSON lines of assistant calls, and rollouts with cumulative counters.
+
+Files are read whole and split in their tasks, so that lines keep their
+numbers; a folder that isn't there gives an empty table.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tallyloom.functions.columns import FALLBACK_MODEL, MAX_COUNT, sanitize_model_label
+from tallyloom.operators.usage import dedup_calls
+
+#: Longer lines are counted and not parsed.
+LONGEST_LINE = 2 * 1024 * 1024
+CALL_COUNTERS = {"input_tokens": "input_tokens", "cache_write_input_tokens": "cache_creation_input_tokens", "cache_read_input_tokens": "cache_read_input_tokens", "output_tokens": "output_tokens"}
+TOTALS = "input_tokens bigint, cached_input_tokens bigint, output_tokens bigint, reasoning_output_tokens bigint, total_tokens bigint"
+ROLLOUT = f"timestamp string, type string, payload struct<id: string, model: string, type: string, to_model: string, info: struct<total_token_usage: struct<{TOTALS.replace(' bigint', ': bigint')}>, last_token_usage: struct<{TOTALS.replace(' bigint', ': bigint')}>>>"
+
+
+def jsonl_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, line_no, line) of all .jsonl files below a folder, in any case; a trailing CR is taken off."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "file string, line_no long, line string")
+    files = files.where(F.lower("path").endswith(".jsonl"))
+    text = F.decode("content", "UTF-8")
+    lines = files.select(F.col("path").alias("file"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return lines.select("file", F.col("line_no").cast("long").alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line")).where(F.trim("line") != "")
+
+
+def _coerced_count(v: Column, path: str) -> Column:
+    """A counter as numbers coerce: text with digits counts, null is 0; missing or anything else is null."""
+    value = F.try_variant_get(v, path, "variant")
+    text = F.trim(F.try_variant_get(v, path, "string"))
+    kind = F.schema_of_variant(value)
+    number = F.when(kind == "VOID", 0.0).when(text == "", 0.0).otherwise(text.try_cast("double"))
+    whole = (number >= 0) & (number <= MAX_COUNT) & (number == F.floor(number))
+    return F.when(value.isNotNull() & whole, number.cast("long"))
+
+
+def assistant_calls(lines: DataFrame) -> DataFrame:
+    """A row for each line: status (call, ignored, malformed, oversized) and, for calls, identity, model and counters."""
+    v = F.try_parse_json(F.when(F.length("line") <= LONGEST_LINE, F.col("line")))
+    rows = lines.withColumn("v", v)
+    text = lambda path: F.try_variant_get("v", path, "string")
+    rows = rows.select(
+        "file", "line_no", F.length("line").alias("size"), F.col("v").isNotNull().alias("parsed"), text("$.type").alias("type"), F.try_variant_get("v", "$.message.usage", "variant").isNotNull().alias("has_usage"),
+        text("$.sessionId").alias("session_id"), text("$.timestamp").alias("timestamp"), text("$.message.id").alias("message_id"), text("$.requestId").alias("request_id"), text("$.message.model").alias("label"),
+        *(_coerced_count(F.col("v"), f"$.message.usage.{source}").alias(name) for name, source in CALL_COUNTERS.items()),
+    )
+    counted = F.lit(True)
+    for name in CALL_COUNTERS:
+        counted = counted & F.col(name).isNotNull()
+    total = sum((F.col(c) for c in list(CALL_COUNTERS)[1:]), F.col(next(iter(CALL_COUNTERS))))
+    status = (
+        F.when(F.col("size") > LONGEST_LINE, "oversized").when(~F.col("parsed"), "malformed").when(~F.coalesce(F.col("type") == "assistant", F.lit(False)) | ~F.col("has_usage"), "ignored")
+        .when(~counted, "malformed").when(total == 0, "ignored").otherwise("call")
+    )
+    day = F.when(F.col("timestamp").rlike(r"^\d{4}-\d{2}-\d{2}(T|$)"), F.substring("timestamp", 1, 10))
+    return rows.withColumns({"status": status, "model": F.coalesce(sanitize_model_label(F.col("label")), F.lit(FALLBACK_MODEL)), "day": day, "time_ms": F.unix_millis(F.col("timestamp").try_cast("timestamp"))})
+
+
+def unique_calls(calls: DataFrame, within_session: bool = False) -> DataFrame:
+    """One row for each (message, request) pair; lines without either are calls of their own."""
+    named = F.col("message_id").isNotNull() | F.col("request_id").isNotNull()
+    identity = F.when(named, F.to_json(F.array("message_id", "request_id"))).otherwise(F.to_json(F.array("file", F.col("line_no").cast("string"))))
+    keys = ["call_key", "session_id"] if within_session else ["call_key"]
+    return dedup_calls(calls.where("status = 'call'").withColumn("call_key", identity), keys, list(CALL_COUNTERS), ["file", "line_no"])
+
+
+def coverage(rows: DataFrame) -> DataFrame:
+    """One row of counters: what was found, parsed and left out."""
+    count = lambda s: F.count_if(F.col("status") == s)
+    files = rows.groupBy("file").agg(count("call").alias("calls"), count("malformed").alias("malformed"), count("oversized").alias("oversized"))
+    out = files.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("calls") > 0).alias("files_with_usage"), F.sum("calls").alias("calls"), F.sum("malformed").alias("malformed"), F.sum("oversized").alias("oversized"))
+    return out.withColumn("complete", (F.col("malformed") == 0) & (F.col("oversized") == 0))
+
+
+def rollout_usage(lines: DataFrame) -> DataFrame:
+    """Usage by file and line of rollouts: differences of cumulative totals under the model that was set last.
+
+    Numbers are taken strictly. A line that can't be read sets the model back to
+    unknown; a smaller total is a reset and counts its own last usage.
+    """
+    e = lines.select("file", "line_no", F.from_json("line", ROLLOUT).alias("e"), F.try_parse_json("line").isNotNull().alias("parsed"))
+    kind, p = F.col("e.type"), F.col("e.payload")
+    setter = F.when(~F.col("parsed"), F.lit(FALLBACK_MODEL)).when(kind == "turn_context", sanitize_model_label(p["model"])).when((kind == "event_msg") & (p["type"] == "model_reroute"), sanitize_model_label(p["to_model"]))
+    valid = lambda u: u["input_tokens"].isNotNull() & u["output_tokens"].isNotNull() & u["cached_input_tokens"].isNotNull() & u["reasoning_output_tokens"].isNotNull()
+    counts = (kind == "event_msg") & (p["type"] == "token_count")
+    total, last = p["info"]["total_token_usage"], p["info"]["last_token_usage"]
+    order = W.partitionBy("file").orderBy("line_no")
+    rows = e.withColumns({"model": F.coalesce(F.last(setter, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(FALLBACK_MODEL)), "total": F.when(counts & valid(total), total), "last": F.when(counts & valid(last), last)})
+    rows = rows.withColumn("before", F.last("total", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))).where("total is not null or last is not null")
+    fields = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens")
+    delta = {f: F.col(f"total.{f}") - F.coalesce(F.col(f"before.{f}"), F.lit(0)) for f in fields}
+    reset = F.col("total").isNotNull() & F.greatest(*(F.when(d < 0, 1).otherwise(0) for d in delta.values())).eqNullSafe(F.lit(1))
+    used = {f: F.when(F.col("total").isNull() | reset, F.col(f"last.{f}")).otherwise(d) for f, d in delta.items()}
+    rows = rows.withColumn("repeated", F.coalesce(F.col("total") == F.col("before"), F.lit(False))).withColumns({"reset": reset, **{f"used_{f}": c for f, c in used.items()}})
+    return rows.select(
+        "file", "line_no", "model", "repeated", "reset", (F.col("used_input_tokens") - F.col("used_cached_input_tokens")).alias("input_tokens"), F.lit(0).cast("long").alias("cache_write_input_tokens"),
+        F.col("used_cached_input_tokens").alias("cache_read_input_tokens"), F.col("used_output_tokens").alias("output_tokens"), F.col("used_reasoning_output_tokens").alias("reasoning_output_tokens"), F.lit(1).cast("long").alias("usage_records"),
+    )
