@@ -29,7 +29,8 @@ from tallyloom.llm.words import U64, mix, texts_of, utf8, word_bounds, word_hash
 class Decontamination:
     """bits: log2 of hashed words.  passage: words of a passage of the factored matrix.  sketch, rank: columns of the sketch, latent dimensions.
 
-    cosine: candidates' least.  common: share of an item's words, in order, that
+    frequent: share of passages from which on a word has no weight, as stop words
+    have none.  cosine: candidates' least.  common: share of an item's words, in order, that
     a text must hold; with `answer` of its last words too, or `sure` of all.
     items: benchmark passages compared at a time, so that what tasks receive is
     bounded whatever the benchmark.
@@ -39,10 +40,11 @@ class Decontamination:
     passage: int = 64
     sketch: int = 80
     rank: int = 64
+    frequent: float = 0.02
     step: int = 8
     windows: tuple[int, ...] = (16, 32, 64)
     longest: int = 60
-    cosine: float = 0.45
+    cosine: float = 0.6
     common: float = 0.65
     answer: float = 0.5
     sure: float = 0.85
@@ -121,7 +123,7 @@ def latent_words(docs: DataFrame, params: Decontamination = Decontamination()) -
     n = sums[0][0]
     df = np.concatenate([s[1 : 1 + rows] for s in sums])
     sketch = np.concatenate([s[1 + rows :].reshape(rows, p.sketch) for s in sums]).astype(float)
-    idf = np.log((1 + n) / (1 + df)) + 0.1
+    idf = np.where(df > max(p.frequent * n, 20), 0.0, np.log((1 + n) / (1 + df)) + 0.1)
     u, s, _ = np.linalg.svd(sketch * idf[:, None], full_matrices=False)
     rank = max(1, min(p.rank, int((s > s[0] * 1e-9).sum())))
     return (idf[:, None] * u[:, :rank] / np.maximum(s[:rank], 1e-12)).astype(np.float32)
