@@ -166,7 +166,7 @@ class Benchmark:
                 ending = own[-max(3, len(own) // 5) :].tolist()
                 self.items.append((r.item_id, own.tolist(), _masks(own.tolist()), _masks(ending), len(ending)))
                 vectors.append(latent[(own >> U64(64 - p.bits)).astype(np.int64)].sum(axis=0))
-                window.append(min(len(p.windows) - 1, sum(w < len(own) - p.step // 2 for w in p.windows)))
+                window.append(min(range(len(p.windows)), key=lambda k: abs(np.log(p.windows[k] / len(own)))))
         self.groups = []
         for k, w in enumerate(p.windows):
             own = [i for i, x in enumerate(window) if x == k]
@@ -209,7 +209,7 @@ class Benchmark:
             old = best.get((text, item_id))
             if old and old[0] == 1.0:
                 continue
-            margin = max(p.step, len(own) // 4)
+            margin = p.step + len(own) // 4 + max(0, len(own) - (end - start))
             region = words[max(int(first[text]), start - margin) : min(int(first[text + 1]), end + margin)].tolist()
             if len(masks.keys() & set(region)) < p.common * len(masks) * 0.75:
                 continue  # too few of its words in any order
