@@ -26,14 +26,14 @@ from tallyloom.llm.words import U64, gram_hashes, mix, powers, texts_of, utf8, w
 class NearDedup:
     """words: words in a shingle.  percent: links need 100 * |A & B| >= percent * |A | B|.
 
-    A pair at the threshold of 0.8 shares none of 36 bands of 5 coordinates with
-    a chance of (1 - 0.8^5)^36 = 6e-7.
+    A pair at the threshold of 0.8 shares none of 76 bands of 8 coordinates with
+    a chance of (1 - 0.8^8)^76 = 8e-7; one at 0.4 shares some with 5 %.
     """
 
     words: int = 5
     percent: int = 80
-    bands: int = 36
-    rows: int = 5
+    bands: int = 76
+    rows: int = 8
     universe_bits: int = 20
     seed: int = 20210905
 
@@ -117,6 +117,19 @@ def _verified(p: NearDedup):
     return run
 
 
+def _shingles(p: NearDedup):
+    schema = pa.schema([("doc_id", pa.int64()), ("shingle", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, offsets in texts_of(batch, "text"):
+                sets = shingle_sets(raw, offsets, p.words)
+                own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(own)), pa.array(np.concatenate(sets).view(np.int64))], schema=schema)
+
+    return run
+
+
 def _links(pairs: DataFrame, texts: DataFrame, p: NearDedup) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("left"))
     right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("right"))
@@ -138,8 +151,10 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
 
     In each band's bucket every class is checked against the bucket's least
     class.  After a round of components only pairs that cross components are
-    left, and all of them are checked: a bucket of one large group costs a row a
-    member, and no candidate is dropped.
+    left.  Of those, pairs that can't be similar enough by numbers alone are out:
+    with u shingles that no other of these documents has, at most n - u are in
+    common.  All others are checked: a bucket of one large group costs a row a
+    member, and no link is lost.
     """
     spark, p = docs.sparkSession, params
     scratch = Scratch(spark, "near")
@@ -156,20 +171,36 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
     sizes = classes.select(F.col("class_id").alias("head"), F.col("n_shingles").alias("n_head"))
     first = members.where("doc_id <> head").select("head", "doc_id", "n_shingles").distinct().join(sizes, "head").where(near("n_head", "n_shingles"))
     pairs = scratch.write(first.select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct(), "pairs")
-    links = scratch.write(_links(pairs, texts, p), "links")
+    held = scratch.write(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "held")
+    links = scratch.write(_links(pairs, held, p), "links")
     found = scratch.write(components(links, scratch, "first"), "found")
 
     placed = members.where("doc_id <> head").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    placed = scratch.write(placed.join(mixed, "key", "left_semi"), "placed")
-    groups = placed.select("key", "component").distinct()
-    crossing = groups.join(groups.withColumnRenamed("component", "other"), "key").where("component < other")
-    side = placed.select("key", F.col("component").alias("other"), F.col("doc_id").alias("right_id"), F.col("n_shingles").alias("n_right"))
-    rest = crossing.join(placed, ["key", "component"]).join(side, ["key", "other"]).where(near("n_shingles", "n_right"))
+    placed = scratch.write(placed.join(mixed, "key", "left_semi"), "mixed")
+    shingles = held.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_shingles(p), "doc_id long, shingle long")
+    own = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    most = F.greatest(F.col("n_shingles") - F.coalesce("own", F.lit(0)), F.lit(0))
+    placed = scratch.write(placed.join(own, "doc_id", "left").select("key", "doc_id", "n_shingles", "component", most.alias("most")), "placed")
+
+    def possible(n, m, other_n, other_m):
+        both = F.least(m, other_m)
+        return 100 * both >= p.percent * (n + other_n - both)
+
+    groups = placed.groupBy("key", "component").agg(F.min("n_shingles").alias("n"), F.max("most").alias("m"))
+    others = groups.select("key", F.col("component").alias("other"), F.col("n").alias("other_n"), F.col("m").alias("other_m"))
+    crossing = groups.join(others, "key").where((F.col("component") < F.col("other")) & possible(F.col("n"), F.col("m"), F.col("other_n"), F.col("other_m"))).select("key", "component", "other")
+    side = placed.select("key", F.col("component").alias("other"), F.col("doc_id").alias("right_id"), F.col("n_shingles").alias("other_n"), F.col("most").alias("other_m"))
+    # The smaller side first: what the first join gives doesn't grow with the larger group.
+    size = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
+    crossing = crossing.join(size, ["key", "component"]).join(size.select("key", F.col("component").alias("other"), F.col("members").alias("others")), ["key", "other"])
+    few = F.col("members") <= F.col("others")
+    crossing = crossing.select("key", F.when(few, F.col("component")).otherwise(F.col("other")).alias("component"), F.when(few, F.col("other")).otherwise(F.col("component")).alias("other"))
+    rest = crossing.join(placed, ["key", "component"]).join(side, ["key", "other"]).where(possible(F.col("n_shingles"), F.col("most"), F.col("other_n"), F.col("other_m")))
     rest = rest.select(F.least("doc_id", "right_id").alias("u"), F.greatest("doc_id", "right_id").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
     rest = scratch.write(rest, "rest")
     if not rest.isEmpty():
-        more = scratch.write(_links(rest, texts, p), "more")
+        more = scratch.write(_links(rest, held, p), "more")
         if not more.isEmpty():
             found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch, "second")
 
