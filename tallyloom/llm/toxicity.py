@@ -28,12 +28,12 @@ class Toxicity:
     bits: int = 18
     max_rows: int = 20_000
     max_features: int = 4096
-    min_z: float = 6.0
-    min_rows: int = 5
+    min_z: float = 4.0
+    min_rows: int = 3
     l2: float = 0.01
     rounds: int = 1500
     reject_at: float = 0.5
-    stem: int = 5
+    stem: int = 4
 
 
 @dataclass
