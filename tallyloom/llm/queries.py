@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyloom.llm.byte_bpe import round_trip_digests
 from tallyloom.llm.decontaminate import contaminated
 from tallyloom.llm.language_id import identify_languages
-from tallyloom.llm.line_dedup import drop_duplicate_lines
+from tallyloom.llm.line_dedup import BY_EDITS, drop_duplicate_lines
 from tallyloom.llm.near_dedup import NearDedup, near_duplicates
 from tallyloom.llm.scratch import Scratch
 from tallyloom.llm.substring_dedup import parse
@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_duplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return drop_duplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), BY_EDITS)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
