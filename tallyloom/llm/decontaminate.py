@@ -29,8 +29,7 @@ from tallyloom.llm.words import U64, mix, texts_of, utf8, word_bounds, word_hash
 class Decontamination:
     """bits: log2 of hashed words.  passage: words of a passage of the factored matrix.  sketch, rank: columns of the sketch, latent dimensions.
 
-    frequent: share of passages from which on a word has no weight, as stop words
-    have none.  cosine: candidates' least.  common: share of an item's words, in order, that
+    Every word has a weight, a lower one the more distinct passages have it.  cosine: candidates' least.  common: share of an item's words, in order, that
     a text must hold; with `answer` of its last words too, or `sure` of all.
     items: benchmark passages compared at a time, so that what tasks receive is
     bounded whatever the benchmark.
@@ -40,7 +39,6 @@ class Decontamination:
     passage: int = 64
     sketch: int = 80
     rank: int = 64
-    frequent: float = 0.02
     step: int = 8
     windows: tuple[int, ...] = (16, 32, 64)
     longest: int = 60
@@ -77,24 +75,39 @@ def _loosen(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.int64)
 
 
-def _sketched(p: Decontamination, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each slice of the words: passages that have a word, and its row of the sketch of counts."""
-    size = 1 << p.bits
-    total, df, n = np.zeros(size * p.sketch, dtype=np.int64), np.zeros(size, dtype=np.int64), 0
+def _passages(p: Decontamination, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A hash and the word cells of each passage, equal ones once for some megabytes of text."""
     for batch in batches:
         for part, raw, offsets in texts_of(_lower(batch), "text", 8 << 20):
             words, first = _tokens(raw, offsets)
             if not len(words):
                 continue
             place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
-            passage = np.cumsum(place % p.passage == 0) - 1
-            cell = (words >> U64(64 - p.bits)).astype(np.int64)
             head = np.flatnonzero(place % p.passage == 0)
-            random = mix(mix(words[head] + place[head].astype(U64)) + words[np.minimum(head + 1, len(words) - 1)])  # by content: the same in every attempt
-            column, sign = (random % U64(p.sketch)).astype(np.int64), 1.0 - 2.0 * (random >> U64(63)).astype(float)
-            total += np.bincount(cell * p.sketch + column[passage], sign[passage], size * p.sketch).astype(np.int64)
-            df += np.bincount(np.unique(passage << p.bits | cell) & size - 1, minlength=size)
-            n += len(head)
+            key = mix(np.add.reduceat(mix(words ^ mix((place % p.passage).astype(U64))), head))
+            _, once = np.unique(key, return_index=True)
+            cells = (words >> U64(64 - p.bits)).astype(np.uint32)
+            size = np.diff(np.append(head, len(words)))[once]
+            ends = np.append(0, np.cumsum(size))
+            own = cells[np.arange(ends[-1]) + np.repeat(head[once] - ends[:-1], size)]
+            data = pa.Array.from_buffers(pa.binary(), len(once), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(own)])
+            yield pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64)), data], names=["passage", "cells"])
+
+
+def _sketched(p: Decontamination, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each slice of the words: passages that have a word, and its row of the sketch of counts."""
+    size = 1 << p.bits
+    total, df, n = np.zeros(size * p.sketch, dtype=np.int64), np.zeros(size, dtype=np.int64), 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = np.frombuffer(b"".join(batch.column("cells").to_pylist()), dtype=np.uint32).astype(np.int64)
+        passage = np.repeat(np.arange(batch.num_rows), pc.binary_length(batch.column("cells")).to_numpy() // 4)
+        random = batch.column("passage").to_numpy().view(U64)  # by content: the same in every attempt
+        column, sign = (random % U64(p.sketch)).astype(np.int64), 1.0 - 2.0 * (random >> U64(63)).astype(float)
+        total += np.bincount(cell * p.sketch + column[passage], sign[passage], size * p.sketch).astype(np.int64)
+        df += np.bincount(np.unique(passage << p.bits | cell) & size - 1, minlength=size)
+        n += batch.num_rows
     if n:
         rows = size // p.slices
         data = [_squeeze(np.concatenate([[n], df[k * rows : (k + 1) * rows], total[k * rows * p.sketch : (k + 1) * rows * p.sketch]])) for k in range(p.slices)]
@@ -107,13 +120,14 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def latent_words(docs: DataFrame, params: Decontamination = Decontamination()) -> np.ndarray | None:
-    """A latent vector for every hashed word, from all passages of docs; None if there are no words.
+    """A latent vector for every hashed word, from all distinct passages of docs; None if there are no words.
 
     2^bits times `rank` numbers, whatever the corpus.  Tasks' sums are added in
     two levels, so that no group holds all of them.
     """
     p = params
-    parts = docs.select("text").mapInArrow(partial(_sketched, p), "slice int, data binary")
+    passages = docs.select("text").mapInArrow(partial(_passages, p), "passage long, cells binary").distinct()
+    parts = passages.mapInArrow(partial(_sketched, p), "slice int, data binary")
     parts = parts.withColumn("group", F.floor(F.sqrt(F.spark_partition_id())))  # n tasks: about sqrt(n) groups of at most 2 sqrt(n)
     parts = parts.groupBy("slice", "group").applyInArrow(_added, "slice int, data binary")
     found = sorted(parts.groupBy("slice").applyInArrow(_added, "slice int, data binary").collect())
@@ -123,7 +137,7 @@ def latent_words(docs: DataFrame, params: Decontamination = Decontamination()) -
     n = sums[0][0]
     df = np.concatenate([s[1 : 1 + rows] for s in sums])
     sketch = np.concatenate([s[1 + rows :].reshape(rows, p.sketch) for s in sums]).astype(float)
-    idf = np.where(df > max(p.frequent * n, 20), 0.0, np.log((1 + n) / (1 + df)) + 0.1)
+    idf = np.log((1 + n) / (1 + df)) + 0.1
     u, s, _ = np.linalg.svd(sketch * idf[:, None], full_matrices=False)
     rank = max(1, min(p.rank, int((s > s[0] * 1e-9).sum())))
     return (idf[:, None] * u[:, :rank] / np.maximum(s[:rank], 1e-12)).astype(np.float32)

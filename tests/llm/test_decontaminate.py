@@ -60,3 +60,22 @@ def test_empty(spark):
     items = one.withColumnRenamed("doc_id", "item_id")
     assert contaminated(none, items).count() == 0 and contaminated(one, items.limit(0)).count() == 0
     assert drop_contaminated(one, items.limit(0)).count() == 1 and drop_contaminated(one, items).count() == 0
+
+
+def test_item_in_a_third_of_the_rows(spark):
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice(LETTERS) for _ in range(r.choice([3, 5, 8]))) for _ in range(4000)]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i, text(n)) for i, n in enumerate((14, 25, 60))]
+    copy = f"{text(20)} {items[0][1]} {text(20)}"
+    docs, want = [(d, copy) for d in range(200)], {(d, 0) for d in range(200)}  # exact copies
+    docs += [(d, f"{text(10)} {items[1][1]} {text(20)}") for d in range(200, 400)]  # a passage that many share
+    want |= {(d, 1) for d in range(200, 400)}
+    docs += [(d, text(60)) for d in range(400, 600)]
+    docs += [(600, f"{text(200)} {items[0][1]} {text(100)}"), (601, f"{text(50)} {items[2][1]}")]
+    want |= {(600, 0), (601, 2)}
+    r.shuffle(docs)
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(x.doc_id, x.item_id) for x in found.collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and {(600, 0), (601, 2)} <= got
+    assert len({d for d, i in got if i == 0}) > 195 and len({d for d, i in got if i == 1}) > 170
