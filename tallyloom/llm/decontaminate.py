@@ -42,7 +42,7 @@ class Decontamination:
     step: int = 8
     windows: tuple[int, ...] = (16, 32, 64)
     longest: int = 60
-    cosine: float = 0.6
+    cosine: float = 0.45
     common: float = 0.65
     answer: float = 0.5
     sure: float = 0.85
@@ -181,6 +181,7 @@ class Benchmark:
                 self.items.append((r.item_id, own.tolist(), _masks(own.tolist()), _masks(ending), len(ending)))
                 vectors.append(latent[(own >> U64(64 - p.bits)).astype(np.int64)].sum(axis=0))
                 window.append(min(range(len(p.windows)), key=lambda k: abs(np.log(p.windows[k] / len(own)))))
+        self._count_rare()
         self.groups = []
         for k, w in enumerate(p.windows):
             own = [i for i, x in enumerate(window) if x == k]
@@ -188,9 +189,40 @@ class Benchmark:
                 v = np.stack([vectors[i] for i in own])
                 self.groups.append((w, np.array(own), (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T.copy()))
 
+    def _count_rare(self) -> None:
+        """Words of few items with those items, and how many of them a region must hold at least if all other words of the item are there."""
+        self.size = np.array([len(own) for _, own, *_ in self.items], dtype=np.int64)
+        distinct = [np.unique(np.array(own, dtype=U64)) for _, own, *_ in self.items]
+        item = np.repeat(np.arange(len(distinct)), [len(x) for x in distinct])
+        word = np.concatenate([np.zeros(0, dtype=U64), *distinct])
+        order = np.argsort(word, kind="stable")
+        word, item = word[order], item[order]
+        vocabulary, start, count = np.unique(word, return_index=True, return_counts=True)
+        few = count <= max(3, len(distinct) // 50)
+        self.rare, self.rare_start, self.rare_count, self.rare_item = vocabulary[few], start[few], count[few], item
+        often = np.array([len(own) - int(np.isin(np.array(own, dtype=U64), self.rare).sum()) for _, own, *_ in self.items], dtype=np.int64)
+        self.need = self.p.common * self.size - often - 1e-9
+
+    def _rare_places(self, words: np.ndarray) -> np.ndarray:
+        """item * 2^40 + place of all rare words of items, sorted."""
+        if not len(self.rare):
+            return np.zeros(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.rare, words), len(self.rare) - 1)
+        place = np.flatnonzero(self.rare[at] == words)
+        at = at[place]
+        count = self.rare_count[at]
+        ends = np.append(0, np.cumsum(count))
+        entry = np.arange(ends[-1]) + np.repeat(self.rare_start[at] - ends[:-1], count)
+        return np.sort(self.rare_item[entry] << 40 | np.repeat(place, count))
+
+    def margin(self, item, width):
+        """Words on both sides of a window that are searched with it."""
+        return self.p.step + self.size[item] // 4 + np.maximum(0, self.size[item] - width)
+
     def candidates(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
-        """Text, item passage, first and last word of a window, and cosine, from the threshold on."""
+        """Text, item passage, first and last word of a window, and cosine, from the threshold on, unless too few rare words are near for the item's share in common."""
         p = self.p
+        places = self._rare_places(words)
         place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
         head = np.flatnonzero(place % p.step == 0)
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))[head]
@@ -211,7 +243,11 @@ class Benchmark:
                 window = v[:own] / np.maximum(np.linalg.norm(v[:own], axis=1, keepdims=True), 1e-12)
                 cosine = window @ vectors
                 row, column = np.nonzero(cosine >= p.cosine)
-                for r, c in zip(row.tolist(), column.tolist(), strict=True):
+                item, start, own_text = items[column], head[i + row], owner[row]
+                margin = self.margin(item, w)
+                low, high = np.maximum(first[own_text], start - margin), np.minimum(first[own_text + 1], start + w + margin)
+                near = np.searchsorted(places, item << 40 | high) - np.searchsorted(places, item << 40 | low) >= self.need[item]
+                for r, c in zip(row[near].tolist(), column[near].tolist(), strict=True):
                     start = head[i + r]
                     yield int(owner[r]), int(items[c]), int(start), int(start + w), float(cosine[r, c])
 
@@ -223,7 +259,7 @@ class Benchmark:
             old = best.get((text, item_id))
             if old and old[0] == 1.0:
                 continue
-            margin = p.step + len(own) // 4 + max(0, len(own) - (end - start))
+            margin = int(self.margin(item, end - start))
             region = words[max(int(first[text]), start - margin) : min(int(first[text + 1]), end + margin)].tolist()
             if len(masks.keys() & set(region)) < p.common * len(masks) * 0.75:
                 continue  # too few of its words in any order

@@ -79,3 +79,27 @@ def test_item_in_a_third_of_the_rows(spark):
     got = {(x.doc_id, x.item_id) for x in found.collect()}
     assert got <= want and len(got) >= 0.9 * len(want) and {(600, 0), (601, 2)} <= got
     assert len({d for d, i in got if i == 0}) > 195 and len({d for d, i in got if i == 1}) > 170
+
+
+def test_paraphrases_that_the_subsequence_check_accepts(spark):
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice(LETTERS) for _ in range(r.choice([3, 5, 8]))) for _ in range(4000)]
+    common = ["the", "of", "in", "and", "to", "a", "is", "on"]
+    word = lambda: r.choice(common) if r.random() < 0.4 else r.choice(vocabulary)
+    items = [(i, [word() for _ in range(r.choice([12, 15, 18, 30]))]) for i in range(60)]
+    docs, want, p = [], {}, Decontamination()
+    for d in range(600):
+        i, own = r.choice(items)
+        changed, share = list(own), r.choice([0.1, 0.2, 0.3])
+        for k in r.sample(range(len(own)), round(len(own) * share)):
+            changed[k] = r.choice(vocabulary)
+        ending = own[-max(3, len(own) // 5) :]
+        held, answer = common_length(_masks(own), len(own), changed) / len(own), common_length(_masks(ending), len(ending), changed) / len(ending)
+        if held >= p.sure or held >= p.common and answer >= p.answer:
+            want[d, i] = share
+        docs.append((d, " ".join([word() for _ in range(r.randrange(60))] + changed + [word() for _ in range(r.randrange(60))])))
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    got = {(x.doc_id, x.item_id) for x in found.collect()}
+    recall = {s: (sum(x == s for x in want.values()), sum(want[k] == s for k in got & want.keys())) for s in (0.1, 0.2, 0.3)}
+    print("recall by share of changed words:", recall)
+    assert all(n >= 0.95 * m for m, n in recall.values()), recall
