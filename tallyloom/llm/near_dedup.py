@@ -9,12 +9,14 @@ coordinate k.  For one cell the K coordinates are K neighbours in the table of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
@@ -28,6 +30,11 @@ class NearDedup:
 
     A pair at the threshold of 0.8 shares none of 76 bands of 8 coordinates with
     a chance of (1 - 0.8^8)^76 = 8e-7; one at 0.4 shares some with 5 %.
+
+    spread: a candidate is compared in full unless one bit of each coordinate
+    differs in so many standard deviations more coordinates than a pair at the
+    threshold expects; 6 lose a link with a chance of 1e-9.  heads: heads that
+    the buckets of one group are given.  rounds: of comparing members with heads.
     """
 
     words: int = 5
@@ -36,6 +43,19 @@ class NearDedup:
     rows: int = 8
     universe_bits: int = 20
     seed: int = 20210905
+    spread: float = 6.0
+    heads: int = 4
+    rounds: int = 2
+
+    @property
+    def sketch_longs(self) -> int:
+        return -(-self.bands * self.rows // 64)
+
+    @property
+    def most_bits(self) -> int:
+        """Bits of two sketches that may differ."""
+        k, differ = self.bands * self.rows, (1 - self.percent / 100) / 2
+        return math.floor(k * differ + self.spread * math.sqrt(k * differ * (1 - differ)))
 
 
 _TABLES: dict[NearDedup, tuple[np.ndarray, np.ndarray]] = {}
@@ -74,24 +94,38 @@ def signature(cells: np.ndarray, p: NearDedup) -> np.ndarray:
     return out
 
 
+def _sketch(sig: np.ndarray, p: NearDedup) -> np.ndarray:
+    """One bit of every coordinate: as many words of 64 bits as are needed, a row for each signature."""
+    bits = np.zeros((len(sig), 64 * p.sketch_longs), dtype=np.uint8)
+    bits[:, : sig.shape[1]] = (mix(sig) >> U64(40)).astype(np.uint8) & 1
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+SIGNED = "doc_id long, row long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"
+
+
 def _signed(p: NearDedup):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "row", "n_shingles", "d1", "d2")] + [("bands", longs), ("sketch", longs)])
+
+    def lists(values: np.ndarray, some: np.ndarray) -> pa.Array:
+        """A list of each row of values where `some` holds, null elsewhere."""
+        ends = np.append(0, np.cumsum(np.where(some, values.shape[1], 0))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()), mask=pa.array(~some))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = powers(0xD1342543DE82EF95, p.rows + 1)[1:]
         for batch in batches:
-            for part, raw, offsets in texts_of(batch, "text"):
+            for part, raw, offsets in texts_of(batch, "text", 1 << 20):
                 sets = shingle_sets(raw, offsets, p.words)
-                some = [i for i, s in enumerate(sets) if len(s)]
-                sig = np.empty((len(some), p.bands * p.rows), dtype=U64)
-                for row, i in enumerate(some):
+                some = np.array([len(s) > 0 for s in sets])
+                sig = np.empty((some.sum(), p.bands * p.rows), dtype=U64)
+                for row, i in enumerate(np.flatnonzero(some)):
                     sig[row] = signature(sets[i] >> U64(64 - p.universe_bits), p)
                 keys = mix((sig.reshape(-1, p.bands, p.rows) * odd).sum(axis=2, dtype=U64) + np.arange(p.bands, dtype=U64) * U64(0x9E3779B97F4A7C15))
-                bands: list = [None] * len(sets)
-                for row, i in enumerate(some):
-                    bands[i] = keys[row].view(np.int64)
                 digest = [np.array([mix(s ^ U64(c)).sum(dtype=U64) for s in sets], dtype=U64).view(np.int64) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, digest), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+                columns = [part.column("doc_id"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, digest)]
+                yield pa.RecordBatch.from_arrays([*columns, lists(keys.view(np.int64), some), lists(_sketch(sig, p), some)], schema=schema)
 
     return run
 
@@ -107,9 +141,8 @@ def _verified(p: NearDedup):
                 part, keep = batch.slice(i, 64), []
                 right = shingle_sets(*utf8(part.column("right")), p.words)
                 for k, u in enumerate(part.column("u").to_pylist()):
-                    text = part.column("left")[k].as_py()
-                    if kept is None or text != last:  # rows of one left side mostly come together
-                        last, kept = text, shingle_sets(*utf8(part.column("left").slice(k, 1)), p.words)[0]
+                    if kept is None or u != last:  # rows of one left side mostly come together
+                        last, kept = u, shingle_sets(*utf8(part.column("left").slice(k, 1)), p.words)[0]
                     both = len(np.intersect1d(kept, right[k], assume_unique=True))
                     keep.append(100 * both >= p.percent * (len(kept) + len(right[k]) - both))
                 yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], schema=schema).filter(pa.array(keep, pa.bool_()))
@@ -117,94 +150,165 @@ def _verified(p: NearDedup):
     return run
 
 
-def _shingles(p: NearDedup):
-    schema = pa.schema([("doc_id", pa.int64()), ("shingle", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, raw, offsets in texts_of(batch, "text"):
-                sets = shingle_sets(raw, offsets, p.words)
-                own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(own)), pa.array(np.concatenate(sets).view(np.int64))], schema=schema)
-
-    return run
-
-
 def _links(pairs: DataFrame, texts: DataFrame, p: NearDedup) -> DataFrame:
-    left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("left"))
-    right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("right"))
+    """The pairs (u, v) of classes whose texts are near."""
+    left = texts.select(F.col("id").alias("u"), F.col("text").alias("left"))
+    right = texts.select(F.col("id").alias("v"), F.col("text").alias("right"))
     both = pairs.join(right, "v").join(left, "u").select("u", "v", "left", "right")
     return both.mapInArrow(_verified(p), "u long, v long").distinct()
 
 
+class _Groups:
+    """Classes that share buckets, and the components found among them so far."""
+
+    def __init__(self, members: DataFrame, sketches: DataFrame, texts: DataFrame, p: NearDedup, scratch: Scratch):
+        self.members, self.sketches, self.texts, self.p, self.scratch = members, sketches, texts, p, scratch
+        self.found: DataFrame | None = None
+        self.checked: list[DataFrame] = []
+
+    def placed(self) -> DataFrame:
+        """key, id, n_shingles, component of the members of buckets that hold several components."""
+        if self.found is None:
+            return self.members.withColumn("component", F.col("id"))
+        found = self.found.withColumnRenamed("node", "id")
+        placed = self.members.join(found, "id", "left").select("key", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+        return placed.join(mixed, "key", "left_semi")
+
+    def sketched(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sketches don't rule them out."""
+        left, right = (self.sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "uv")
+        return pairs.join(left, "u").join(right, ["v"]).where(self.close("sketch_u", "sketch_v")).select("u", "v")
+
+    def close(self, a: str, b: str) -> Column:
+        differ = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(self.p.sketch_longs)), F.lit(0))
+        return differ <= self.p.most_bits
+
+    def sizes_fit(self, a: str, b: str) -> Column:
+        return 100 * F.least(a, b) >= self.p.percent * F.greatest(a, b)
+
+    def check(self, pairs: DataFrame, name: str) -> bool:
+        """Verifies pairs that weren't before and joins the components that they link."""
+        scratch = self.scratch
+        for old in self.checked:
+            pairs = pairs.join(old, ["u", "v"], "left_anti")
+        pairs = scratch.write(pairs, f"pairs-{name}")
+        self.checked.append(pairs)
+        links = scratch.write(_links(pairs, self.texts, self.p), f"links-{name}")
+        if links.isEmpty():
+            return False
+        if self.found is not None:
+            links = links.unionByName(self.found.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        self.found = scratch.write(components(links, scratch, f"components-{name}"), f"found-{name}")
+        return True
+
+    def compare_with_heads(self, k: int) -> bool:
+        """Every member of a bucket with one head of it; heads differ between buckets, and from round to round."""
+        order = F.xxhash64("id", F.pmod("key", F.lit(self.p.heads)), F.lit(k))
+        placed = self.scratch.write(self.placed(), f"placed-{k}")
+        heads = placed.groupBy("key").agg(F.min(F.struct(order.alias("order"), "id", "n_shingles", "component")).alias("h"))
+        heads = heads.select("key", F.col("h.id").alias("head"), F.col("h.n_shingles").alias("n_head"), F.col("h.component").alias("own"))
+        pairs = placed.join(heads, "key").where((F.col("component") != F.col("own")) & self.sizes_fit("n_shingles", "n_head"))
+        pairs = pairs.select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
+        more = self.check(self.sketched(pairs), f"heads-{k}")
+        self.scratch.drop(f"placed-{k}")
+        return more
+
+    def compare_rest(self) -> None:
+        """All pairs of members in a bucket that are in different components by now."""
+        placed = self.placed().join(self.sketches, "id").select("key", "id", "n_shingles", "component", "sketch")
+        placed = self.scratch.write(placed, "placed")
+        groups = placed.groupBy("key", "component").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.count(F.lit(1)).alias("members"))
+        others = groups.select("key", *(F.col(c).alias(f"other_{c}") for c in ("component", "least", "most", "members")))
+        fit = (100 * F.col("most") >= self.p.percent * F.col("other_least")) & (100 * F.col("other_most") >= self.p.percent * F.col("least"))
+        crossing = groups.join(others, "key").where((F.col("component") < F.col("other_component")) & fit)
+        # The smaller side first: what the first join gives doesn't grow with the larger group.
+        few = F.col("members") <= F.col("other_members")
+        crossing = crossing.select("key", F.when(few, F.col("component")).otherwise(F.col("other_component")).alias("component"), F.when(few, F.col("other_component")).otherwise(F.col("component")).alias("far"))
+        left = crossing.join(placed, ["key", "component"])
+        right = placed.select("key", F.col("component").alias("far"), F.col("id").alias("end"), F.col("n_shingles").alias("n_end"), F.col("sketch").alias("sketch_end"))
+        rest = left.join(right, ["key", "far"]).where(self.sizes_fit("n_shingles", "n_end") & self.close("sketch", "sketch_end"))
+        self.check(rest.select(F.least("id", "end").alias("u"), F.greatest("id", "end").alias("v")).distinct(), "rest")
+
+
 def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text, ...).
+    """doc_id, row, n_shingles, component_id, kept, first for every row of docs(doc_id, text, ...).
 
     Words are runs of bytes other than space and 0x09-0x0D, with A-Z in lower
     case.  A text with fewer words than a shingle is one shingle; a null or
     wordless text has the empty set, links with nothing and is kept.
-    component_id is the smallest doc_id reachable over links.  Rows with equal
-    sets form one class, which its smallest doc_id stands for: copies are never
-    paired with each other.  Rows that repeat a doc_id are each given their own
-    text's class; a null doc_id is kept and never linked.  Further columns of
-    docs are ignored, an empty table gives an empty result.
-
-    In each band's bucket every class is checked against the bucket's least
-    class.  After a round of components only pairs that cross components are
-    left.  Of those, pairs that can't be similar enough by numbers alone are out:
-    with u shingles that no other of these documents has, at most n - u are in
-    common.  All others are checked: a bucket of one large group costs a row a
-    member, and no link is lost.
+    component_id is the smallest doc_id reachable over links; kept: doc_id is
+    component_id.  Rows with equal sets form one class, which its smallest
+    doc_id stands for: copies are never paired with each other.  Rows that
+    repeat a doc_id are each given their own text's class; row, a hash of the
+    text, tells them apart, and first holds for one (doc_id, row) of each
+    component only.  A row with a null doc_id links nothing, is kept and first,
+    and has the component of its text if others have that text.  Further
+    columns of docs are ignored, an empty table gives an empty result.
+
+    In each band's bucket every class is checked against a head of the bucket,
+    in some rounds with other heads, so that the members of a group find each
+    other by a row a member and round.  After them pairs that cross components
+    are left, and all of those are checked.  A pair is checked on its full texts
+    unless sizes or sketches (one bit of each coordinate) rule it out.
     """
     spark, p = docs.sparkSession, params
     scratch = Scratch(spark, "near")
-    texts = docs.select("doc_id", "text")
-    signed = scratch.write(texts.mapInArrow(_signed(p), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signed")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    classes = scratch.write(classes, "classes")
-
-    banded = signed.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").select("key", "head")
-    members = scratch.write(banded.join(buckets, "key"), "members")
-
-    near = lambda a, b: 100 * F.least(a, b) >= p.percent * F.greatest(a, b)
-    sizes = classes.select(F.col("class_id").alias("head"), F.col("n_shingles").alias("n_head"))
-    first = members.where("doc_id <> head").select("head", "doc_id", "n_shingles").distinct().join(sizes, "head").where(near("n_head", "n_shingles"))
-    pairs = scratch.write(first.select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct(), "pairs")
-    held = scratch.write(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "held")
-    links = scratch.write(_links(pairs, held, p), "links")
-    found = scratch.write(components(links, scratch, "first"), "found")
-
-    placed = members.where("doc_id <> head").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    placed = scratch.write(placed.join(mixed, "key", "left_semi"), "mixed")
-    shingles = held.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_shingles(p), "doc_id long, shingle long")
-    own = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
-    most = F.greatest(F.col("n_shingles") - F.coalesce("own", F.lit(0)), F.lit(0))
-    placed = scratch.write(placed.join(own, "doc_id", "left").select("key", "doc_id", "n_shingles", "component", most.alias("most")), "placed")
-
-    def possible(n, m, other_n, other_m):
-        both = F.least(m, other_m)
-        return 100 * both >= p.percent * (n + other_n - both)
-
-    groups = placed.groupBy("key", "component").agg(F.min("n_shingles").alias("n"), F.max("most").alias("m"))
-    others = groups.select("key", F.col("component").alias("other"), F.col("n").alias("other_n"), F.col("m").alias("other_m"))
-    crossing = groups.join(others, "key").where((F.col("component") < F.col("other")) & possible(F.col("n"), F.col("m"), F.col("other_n"), F.col("other_m"))).select("key", "component", "other")
-    side = placed.select("key", F.col("component").alias("other"), F.col("doc_id").alias("right_id"), F.col("n_shingles").alias("other_n"), F.col("most").alias("other_m"))
-    # The smaller side first: what the first join gives doesn't grow with the larger group.
-    size = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
-    crossing = crossing.join(size, ["key", "component"]).join(size.select("key", F.col("component").alias("other"), F.col("members").alias("others")), ["key", "other"])
-    few = F.col("members") <= F.col("others")
-    crossing = crossing.select("key", F.when(few, F.col("component")).otherwise(F.col("other")).alias("component"), F.when(few, F.col("other")).otherwise(F.col("component")).alias("other"))
-    rest = crossing.join(placed, ["key", "component"]).join(side, ["key", "other"]).where(possible(F.col("n_shingles"), F.col("most"), F.col("other_n"), F.col("other_m")))
-    rest = rest.select(F.least("doc_id", "right_id").alias("u"), F.greatest("doc_id", "right_id").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    rest = scratch.write(rest, "rest")
-    if not rest.isEmpty():
-        more = scratch.write(_links(rest, held, p), "more")
-        if not more.isEmpty():
-            found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch, "second")
-
-    rows = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left")
-    rows = rows.join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
-    component = F.coalesce("component", "class_id", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    signed = scratch.write(texts.mapInArrow(_signed(p), SIGNED), "signed")
+    sets = ["n_shingles", "d1", "d2"]
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*sets).agg(F.min(F.struct("doc_id", "row")).alias("rep"))
+    # The ids are fixed from here on: the table is read again, never made again.
+    classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("id"), *sets, "rep.doc_id", "rep.row"), "classes")
+
+    reps = signed.drop(*sets[1:]).join(classes.select("id", "doc_id", "row"), ["doc_id", "row"]).dropDuplicates(["id"])
+    reps = scratch.write(reps.select("id", "n_shingles", "bands", "sketch"), "reps")
+    banded = reps.select("id", "n_shingles", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
+    members = scratch.write(banded.join(shared, "key"), "members")
+    used = members.select("id").distinct()
+    sketches = scratch.write(reps.join(used, "id", "left_semi").select("id", "sketch"), "sketches")
+    scratch.drop("reps")
+    held = texts.join(classes.join(used, "id", "left_semi").select("id", "doc_id", "row"), ["doc_id", "row"]).dropDuplicates(["id"])
+    held = scratch.write(held.select("id", "text"), "held")
+
+    groups = _Groups(members, sketches, held, p, scratch)
+    more = True
+    for k in range(p.rounds):
+        more = more and groups.compare_with_heads(k)
+    groups.compare_rest()
+
+    empty = spark.createDataFrame([], "node long, component long")
+    placed = classes.join((groups.found or empty).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = placed.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("rep"))
+    placed = placed.select(*sets, "component").join(least, "component")
+    rows = signed.select("doc_id", "row", *sets).join(placed.select(*sets, "rep"), sets, "left")
+    component = F.coalesce(F.col("rep.doc_id"), "doc_id")
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    first = F.col("doc_id").isNull() | F.coalesce(F.struct("doc_id", "row") == F.col("rep"), F.lit(True))
+    return rows.select("doc_id", "row", "n_shingles", component.alias("component_id"), kept.alias("kept"), first.alias("first"))
+
+
+def drop_near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that stand for their component, with all columns.
+
+    Rows are told apart by doc_id and text.  Of rows equal in both, the one whose
+    other columns come first as JSON stays.  Rows with a null doc_id or without
+    words all stay.
+    """
+    row, n, first, rank = (_unused(docs.columns, c) for c in ("row", "n", "first", "rank"))
+    found = near_duplicates(docs.select("doc_id", "text"), params).where("doc_id is not null")
+    verdict = found.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias(n), F.min("first").alias(first)).where(f"{n} > 1 or not {first}")
+    judged = docs.withColumn(row, F.xxhash64("text")).join(verdict.withColumnRenamed("row", row), ["doc_id", row], "left")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*(F.col(f"`{c}`") for c in others))) if others else F.lit(0)
+    again = judged.where(F.col(first)).withColumn(rank, F.row_number().over(W.partitionBy("doc_id", row).orderBy(order))).where(F.col(rank) == 1)
+    names = [f"`{c}`" for c in docs.columns]
+    return judged.where(F.col(first).isNull()).select(*names).unionByName(again.select(*names))
+
+
+def _unused(columns: list[str], name: str) -> str:
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name

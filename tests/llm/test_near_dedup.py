@@ -1,8 +1,9 @@
 import random
 import re
 
-from tallyloom.llm.near_dedup import NearDedup, near_duplicates
+from tallyloom.llm.near_dedup import NearDedup, drop_near_duplicates, near_duplicates
 
+COLUMNS = ["doc_id", "n_shingles", "component_id", "kept"]
 SCHEMA = "doc_id long, text string, u string, component_id int"
 
 
@@ -28,7 +29,7 @@ def brute(rows, n, percent=80):
 
 def run(spark, rows, n=2):
     docs = spark.createDataFrame([(d, t, "u", 7) for d, t in rows], SCHEMA)
-    return sorted(tuple(r) for r in near_duplicates(docs, NearDedup(words=n)).collect())
+    return sorted(tuple(r) for r in near_duplicates(docs, NearDedup(words=n)).select(*COLUMNS).collect())
 
 
 def test_matches_brute_force(spark):
@@ -56,5 +57,29 @@ def test_long_text_and_empty_table(spark):
 
 
 def test_repeated_and_null_ids(spark):
-    got = near_duplicates(spark.createDataFrame([(4, "a b c"), (4, "a b c"), (None, "a b c"), (9, "A b C")], "doc_id long, text string"), NearDedup(words=2))
+    got = near_duplicates(spark.createDataFrame([(4, "a b c"), (4, "a b c"), (None, "a b c"), (9, "A b C")], "doc_id long, text string"), NearDedup(words=2)).select(*COLUMNS)
     assert sorted(map(str, got.collect())) == sorted(map(str, got.sparkSession.createDataFrame([(None, 2, 4, True), (4, 2, 4, True), (4, 2, 4, True), (9, 2, 4, False)], got.schema).collect()))
+
+
+def test_rows_are_told_apart_by_text(spark):
+    t, u, v = "one two three four five six", "an entirely different text of some words", "one two three four five six seven"
+    rows = [(2, u, "x"), (4, t, "x"), (4, u, "x"), (9, t, "x"), (5, t, "y"), (7, "own words only here", "b"), (7, "own words only here", "a"), (None, t, "n"), (None, t, "n"), (8, None, "z"), (8, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, first string")
+    got = sorted(map(tuple, drop_near_duplicates(docs, NearDedup(words=2)).collect()), key=str)
+    assert got == sorted([(2, u, "x"), (4, t, "x"), (7, "own words only here", "a"), (None, t, "n"), (None, t, "n"), (8, None, "y")], key=str)
+    both = spark.createDataFrame([(3, t, "x"), (3, v, "x")], docs.schema)
+    assert drop_near_duplicates(both, NearDedup(words=2)).count() == 1
+    assert drop_near_duplicates(docs.where("false")).count() == 0
+
+
+def test_a_large_group_whose_members_are_not_all_near(spark):
+    """Every member has other words changed, so that many pairs stay below the threshold."""
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for d in range(150):
+        own = list(base)
+        for i in r.sample(range(60), r.choice([1, 2, 3, 4, 9])):
+            own[i] = f"n{d}x{i}"
+        rows.append((d, " ".join(own)))
+    assert run(spark, rows, 2) == brute(rows, 2)
