@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,3 +28,8 @@ class Scratch:
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def free(self) -> None:
+        """Lets the session's files of exchanges that nothing refers to any more go now; they go with the driver's garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
