@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.words import U64, mix, texts_of, utf8, word_bounds, word_hashes
+from tallyloom.llm.words import U64, lower_texts, mix, utf8, word_bounds, word_hashes
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,8 @@ class Decontamination:
     Every word has a weight, a lower one the more distinct passages have it.  cosine: candidates' least.  common: share of an item's words, in order, that
     a text must hold; with `answer` of its last words too, or `sure` of all.
     items: benchmark passages compared at a time, so that what tasks receive is
-    bounded whatever the benchmark.
+    bounded whatever the benchmark.  together: neighbouring windows whose words
+    are looked at together first.
     """
 
     bits: int = 15
@@ -47,6 +48,7 @@ class Decontamination:
     answer: float = 0.5
     sure: float = 0.85
     items: int = 20_000
+    together: int = 8
     slices: int = 32
 
 
@@ -62,11 +64,6 @@ def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return word_hashes(data, starts, ends), first
 
 
-def _lower(batch: pa.RecordBatch) -> pa.RecordBatch:
-    at = batch.schema.get_field_index("text")
-    return batch.set_column(at, "text", pc.utf8_lower(batch.column("text").cast(pa.large_string())))
-
-
 def _squeeze(a: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
 
@@ -78,7 +75,7 @@ def _loosen(data: bytes) -> np.ndarray:
 def _passages(p: Decontamination, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A hash and the word cells of each passage, equal ones once for some megabytes of text."""
     for batch in batches:
-        for part, raw, offsets in texts_of(_lower(batch), "text", 8 << 20):
+        for part, raw, offsets in lower_texts(batch, 4 << 20):
             words, first = _tokens(raw, offsets)
             if not len(words):
                 continue
@@ -219,8 +216,8 @@ class Benchmark:
         """Words on both sides of a window that are searched with it."""
         return self.p.step + self.size[item] // 4 + np.maximum(0, self.size[item] - width)
 
-    def candidates(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
-        """Text, item passage, first and last word of a window, and cosine, from the threshold on, unless too few rare words are near for the item's share in common."""
+    def candidates(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+        """Text, item passage, width, first words and cosines of neighbouring windows from the threshold on, unless too few rare words are near them all for the item's share in common."""
         p = self.p
         places = self._rare_places(words)
         place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
@@ -242,39 +239,49 @@ class Benchmark:
                     v, have = longer, 2 * have
                 window = v[:own] / np.maximum(np.linalg.norm(v[:own], axis=1, keepdims=True), 1e-12)
                 cosine = window @ vectors
-                row, column = np.nonzero(cosine >= p.cosine)
-                item, start, own_text = items[column], head[i + row], owner[row]
+                column, row = np.nonzero(cosine.T >= p.cosine)
+                if not len(row):
+                    continue
+                # Windows of one text and item that follow each other are looked at together, up to `together` of them.
+                apart = (np.diff(column) != 0) | (np.diff(row) != 1) | (np.diff(row // p.together) != 0) | (np.diff(owner[row]) != 0)
+                begin = np.flatnonzero(np.append(True, apart))
+                end = np.append(begin[1:], len(row))
+                item, own_text = items[column[begin]], owner[row[begin]]
                 margin = self.margin(item, w)
-                low, high = np.maximum(first[own_text], start - margin), np.minimum(first[own_text + 1], start + w + margin)
+                low, high = np.maximum(first[own_text], head[i + row[begin]] - margin), np.minimum(first[own_text + 1], head[i + row[end - 1]] + w + margin)
                 near = np.searchsorted(places, item << 40 | high) - np.searchsorted(places, item << 40 | low) >= self.need[item]
-                for r, c in zip(row[near].tolist(), column[near].tolist(), strict=True):
-                    start = head[i + r]
-                    yield int(owner[r]), int(items[c]), int(start), int(start + w), float(cosine[r, c])
+                for k in np.flatnonzero(near).tolist():
+                    run = slice(begin[k], end[k])
+                    yield int(own_text[k]), int(item[k]), w, head[i + row[run]], cosine[row[run], column[run]]
 
     def matches(self, words: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
         """(text, item_id) to share of the item in common, share of its answer and cosine of the best window that passes."""
         p, best = self.p, {}
-        for text, item, start, end, cosine in self.candidates(words, first):
+        for text, item, width, starts, cosines in self.candidates(words, first):
             item_id, own, masks, ending, n_ending = self.items[item]
-            old = best.get((text, item_id))
-            if old and old[0] == 1.0:
-                continue
-            margin = int(self.margin(item, end - start))
-            region = words[max(int(first[text]), start - margin) : min(int(first[text + 1]), end + margin)].tolist()
-            if len(masks.keys() & set(region)) < p.common * len(masks) * 0.75:
+            margin, least = int(self.margin(item, width)), p.common * len(masks) * 0.75
+            low, high = int(first[text]), int(first[text + 1])
+            if len(masks.keys() & set(words[max(low, int(starts[0]) - margin) : min(high, int(starts[-1]) + width + margin)].tolist())) < least:
                 continue  # too few of its words in any order
-            common = common_length(masks, len(own), region) / len(own)
-            if common < p.common or old and old[0] >= common:
-                continue
-            answer = common_length(ending, n_ending, region) / n_ending
-            if common >= p.sure or answer >= p.answer:
-                best[text, item_id] = (common, answer, cosine)
+            for start, cosine in zip(starts.tolist(), cosines.tolist(), strict=True):
+                old = best.get((text, item_id))
+                if old and old[0] == 1.0:
+                    break
+                region = words[max(low, start - margin) : min(high, start + width + margin)].tolist()
+                if len(masks.keys() & set(region)) < least:
+                    continue
+                common = common_length(masks, len(own), region) / len(own)
+                if common < p.common or old and old[0] >= common:
+                    continue
+                answer = common_length(ending, n_ending, region) / n_ending
+                if common >= p.sure or answer >= p.answer:
+                    best[text, item_id] = (common, answer, cosine)
         return best
 
 
 def _found(p: Decontamination, benchmark: Benchmark, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, raw, offsets in texts_of(_lower(batch), "text"):
+        for part, raw, offsets in lower_texts(batch):
             found = sorted(benchmark.matches(*_tokens(raw, offsets)).items())
             ids = part.column("doc_id").take(pa.array([t for (t, _), _ in found], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([i for (_, i), _ in found], pa.int64()), *(pa.array([x[k] for _, x in found], pa.float64()) for k in range(3))], names=["doc_id", "item_id", "common", "answer", "cosine"])
@@ -283,7 +290,7 @@ def _found(p: Decontamination, benchmark: Benchmark, batches: Iterator[pa.Record
 def _clean(p: Decontamination, benchmark: Benchmark, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         small, done = pa.RecordBatch.from_arrays([batch.column("text")], names=["text"]), 0
-        for part, raw, offsets in texts_of(_lower(small), "text"):
+        for part, raw, offsets in lower_texts(small):
             hit = {t for t, _ in benchmark.matches(*_tokens(raw, offsets))}
             yield batch.slice(done, part.num_rows).filter(pa.array([t not in hit for t in range(part.num_rows)], pa.bool_()))
             done += part.num_rows

@@ -132,6 +132,12 @@ def texts_of(batch: pa.RecordBatch, name: str, limit: int = 4 << 20):
         i = j
 
 
+def lower_texts(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch with about `limit` bytes of text each, their texts in lower case end to end, and offsets; only a slice is copied at a time."""
+    for part, _, _ in texts_of(batch, "text", limit):
+        yield part, *utf8(pc.utf8_lower(part.column("text").cast(pa.large_string())))
+
+
 def small_parts(batch: pa.RecordBatch, rows: int = 64, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a few rows and, unless one text is longer, a bounded number of bytes."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
