@@ -13,23 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.scratch import Scratch
-from tallyloom.llm.words import U64, texts_of, word_bounds, word_hashes
+from tallyloom.llm.words import U64, lower_texts, word_bounds, word_hashes
 
 
 @dataclass(frozen=True)
 class Toxicity:
     """bits: log2 of the hashed features.  max_rows: labelled rows that the fit may read, chosen by hash.
 
-    max_features: features with the largest association, of those of at least
-    min_z standard errors and min_rows rows.  A document is rejected from
-    reject_at expected severity on.
+    min_z: features whose shares in toxic and other rows differ by so many
+    standard errors have a weight.  A document is rejected from reject_at
+    expected severity on.
     """
 
     bits: int = 18
     max_rows: int = 20_000
-    max_features: int = 4096
     min_z: float = 4.0
-    min_rows: int = 3
     l2: float = 0.01
     rounds: int = 1500
     reject_at: float = 0.5
@@ -60,14 +58,9 @@ _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(97, 123)]] = True
 
 
-def _lower(batch: pa.RecordBatch) -> pa.RecordBatch:
-    at = batch.schema.get_field_index("text")
-    return batch.set_column(at, "text", pc.utf8_lower(batch.column("text").cast(pa.large_string())))
-
-
 def _extract(p: Toxicity, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, raw, offsets in texts_of(_lower(batch), "text"):
+        for part, raw, offsets in lower_texts(batch):
             text, ids = features(raw, offsets, p)
             both = np.unique(text << p.bits | ids)
             cut = np.searchsorted(both >> p.bits, np.arange(part.num_rows + 1))
@@ -109,7 +102,9 @@ def fit(docs: DataFrame, labels: DataFrame, params: Toxicity = Toxicity()) -> Mo
 
     labels know two classes, the regression takes three grades: 0 for toxic = 0,
     and for toxic = 1 grade 2 if its number of distinct toxic features is above
-    the median of the toxic rows, else 1.  Features are
+    the median of the toxic rows, else 1.  So only the step from grade 0 to 1 is
+    given by labels; that from 1 to 2 has no truth outside the text, and a
+    severity above 1 says how much toxic wording there is.  Features are
     presence of hashed words and word stems.  Rows with a null are left out; if
     either class is missing, nothing is learned and all severities are 0.
     """
@@ -128,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Toxicity = Toxicity()) -> Mo
     a, b, pooled = F.col("a") / n_toxic, (F.col("n") - F.col("a")) / (n - n_toxic), F.col("n") / n
     z = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / (n - n_toxic)) + 1e-12)
     counts = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n"))
-    best = counts.where(F.col("n") >= p.min_rows).select("feature", z.alias("z")).where(F.abs("z") >= p.min_z).orderBy(F.desc(F.abs("z")), "feature").limit(p.max_features).collect()
+    best = counts.select("feature", z.alias("z")).where(F.abs("z") >= p.min_z).collect()  # 2^bits rows at most
     if not best:
         return Model(weights)
     names = np.array(sorted(r.feature for r in best))
@@ -144,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Toxicity = Toxicity()) -> Mo
 
 def _score(p: Toxicity, model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, raw, offsets in texts_of(_lower(batch), "text"):
+        for part, raw, offsets in lower_texts(batch):
             severity = np.zeros(part.num_rows)
             grade = np.zeros(part.num_rows, dtype=np.int64)
             if len(model.thresholds):
@@ -170,9 +165,10 @@ def score(docs: DataFrame, model: Model, params: Toxicity = Toxicity()) -> DataF
 
 def _clean(p: Toxicity, model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        small = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], names=["doc_id", "text"])
-        toxic = [x for part in _score(p, model, iter([small])) for x in part.column("toxic").to_pylist()]
-        yield batch.filter(pa.array([not x for x in toxic], pa.bool_()))
+        small, done = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], names=["doc_id", "text"]), 0
+        for part in _score(p, model, iter([small])):
+            yield batch.slice(done, part.num_rows).filter(pc.invert(part.column("toxic")))
+            done += part.num_rows
 
 
 def drop_toxic(docs: DataFrame, model: Model, params: Toxicity = Toxicity()) -> DataFrame:
