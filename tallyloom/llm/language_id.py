@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.llm.words import U64, mix, small_parts, utf8
@@ -23,7 +24,7 @@ class LanguageId:
 
     clusters: centroids per language.  slack: a prediction is rejected if its
     distance from the centroid is over slack times the largest distance of a
-    fitted row.
+    fitted row.  most_langs: languages, all of whose centroids tasks receive; more are an error.
     """
 
     bits: int = 14
@@ -31,6 +32,7 @@ class LanguageId:
     clusters: int = 3
     rounds: int = 8
     slack: float = 1.1
+    most_langs: int = 4096
 
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -74,7 +76,6 @@ def _document_frequencies(bits: int, batches: Iterator[pa.RecordBatch]) -> Itera
 
 def _cluster(p: LanguageId, idf: np.ndarray, table: pa.Table) -> pa.Table:
     """Spherical k-means over one language's fitting rows."""
-    table = table.slice(0, 2 * p.per_lang)
     v = np.concatenate([unit_vectors(gram_counts(part.column("text"), p.bits), idf) for batch in table.combine_chunks().to_batches() for part in small_parts(batch)])
     centres = v.mean(axis=0, keepdims=True)
     while len(centres) < min(p.clusters, len(v)):  # farthest first
@@ -111,8 +112,13 @@ def _predict(p: LanguageId, model: dict, batches: Iterator[pa.RecordBatch]) -> I
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(far)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
 
+def rows_of_languages(train: DataFrame, counts: list) -> DataFrame:
+    """lang and its number of rows, as a table of at most most_langs rows."""
+    return train.sparkSession.createDataFrame(counts, "lang string, n long")
+
+
 def fit(train: DataFrame, params: LanguageId = LanguageId()) -> dict:
-    """The model, from train(doc_id, text, lang): IDF over all its rows, centroids from at most about per_lang rows of a language."""
+    """The model, from train(doc_id, text, lang): IDF over all its rows, centroids from at most per_lang rows of a language, those with the least hashes of doc_id and text."""
     p = params
     train = train.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     size = 1 << p.bits
@@ -121,9 +127,13 @@ def fit(train: DataFrame, params: LanguageId = LanguageId()) -> dict:
     for cell, n in df.collect():  # 2^bits + 1 rows at most
         found[cell] = n
     idf = (np.log((1 + found[-1]) / (1 + found[:-1])) + 1).astype(np.float32)
-    counts = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    chosen = train.join(counts, "lang").where(part < F.lit(p.per_lang) / F.col("n"))
+    counts = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(p.most_langs + 1).collect()
+    if len(counts) > p.most_langs:
+        raise ValueError(f"more than {p.most_langs} languages")
+    # Twice as many rows as are wanted by a hash, before any text moves; of those the first ones.
+    hashed, wanted = F.xxhash64("doc_id", "text"), F.broadcast(rows_of_languages(train, counts))
+    chosen = train.join(wanted, "lang").where(F.pmod(hashed, F.lit(1 << 30)) / (1 << 30) < F.lit(2 * p.per_lang) / F.col("n"))
+    chosen = chosen.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(hashed, "doc_id", "text"))).where(F.col("place") <= p.per_lang)
 
     def cluster(table: pa.Table) -> pa.Table:
         return _cluster(p, idf, table)
