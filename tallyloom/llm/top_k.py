@@ -26,14 +26,16 @@ from tallyloom.llm.scratch import Scratch
 
 @dataclass(frozen=True)
 class TopK:
-    """pivots: taken from at most sample vectors, chosen by hash.  annuli: for each pivot.  rows: vectors in a block of an annulus.
+    """pivots: at least so many, more by the square root of the number of vectors, at most most_pivots; taken from at most sample vectors, chosen by hash.
 
-    With pivots * annuli cells the table of cells is small whatever the input.
+    annuli: for each pivot.  rows: vectors in a block of an annulus.  With most_pivots * annuli cells the table of cells is small
+    whatever the input.
     """
 
     k: int = 10
     scale: int = 1024
     pivots: int = 32
+    most_pivots: int = 512
     annuli: int = 8
     rows: int = 2048
     queries: int = 512
@@ -46,12 +48,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact a @ b.T of integers: by doubles where every partial sum is below 2^53."""
+    """Exact a @ b.T of integers: by doubles where every partial sum is below 2^53, by unbounded integers where one may need over 63 bits."""
     if not a.size or not b.size:
         return np.zeros((len(a), len(b)), dtype=np.int64)
-    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0**53:
+    most = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1]
+    if most < 2.0**53:
         return np.rint(a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a @ b.T
+    if most < 2.0**62:
+        return a @ b.T
+    limit = np.iinfo(np.int64).max
+    return np.clip(a.astype(object) @ b.astype(object).T, -limit, limit).astype(np.int64)
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -92,7 +98,7 @@ def _blocks(table: pa.Table) -> pa.Table:
     table = table.combine_chunks()
     v = _matrix(table.column("v").combine_chunks())
     ids = table.column("vec_id").to_numpy()
-    return pa.table({"cell": table.column("cell").slice(0, 1), "n": pa.array([len(ids)], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([v.tobytes()], pa.binary())})
+    return pa.table({"cell": table.column("cell").slice(0, 1), "block": table.column("block").slice(0, 1), "n": pa.array([len(ids)], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([v.tobytes()], pa.binary())})
 
 
 def _visits(p: TopK, pivots: np.ndarray, squared: float, cells: dict[str, np.ndarray], again: bool):
@@ -173,7 +179,7 @@ def top_k(table: DataFrame, params: TopK = TopK(), is_query: str = "vec_id % 100
 
     table(vec_id, embedding, ...): of rows that repeat a vec_id the one with the
     least vector counts, rows with a null vec_id none.  Shorter vectors are filled
-    up with zeros.  Ties go to the smaller vec_id.  Fewer than k others are all
+    up with zeros; a score beyond 64 bits is the nearest one that fits.  Ties go to the smaller vec_id.  Fewer than k others are all
     returned.  Further columns are ignored.
     """
     spark, p = table.sparkSession, params
@@ -188,7 +194,7 @@ def top_k(table: DataFrame, params: TopK = TopK(), is_query: str = "vec_id % 100
     share = min(1.0, p.sample / n)
     sample = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("v").limit(2 * p.sample).toPandas()["v"]
     sample = np.array([list(x) for x in sample], dtype=np.int64).reshape(-1, width) if len(sample) else np.zeros((1, width), dtype=np.int64)
-    pivots = _lifted(choose_pivots(sample, p.pivots), squared)
+    pivots = _lifted(choose_pivots(sample, min(max(p.pivots, round(n**0.5 / 32)), p.most_pivots)), squared)
 
     keyed = scratch.write(vectors.mapInArrow(_keyed(pivots, squared), "vec_id long, v array<long>, pivot int, distance double"), "keyed")
     fractions = [i / p.annuli for i in range(1, p.annuli)]
@@ -199,13 +205,15 @@ def top_k(table: DataFrame, params: TopK = TopK(), is_query: str = "vec_id % 100
     table_of_cells = {c: cells[c].to_numpy() for c in cells.columns}
     blocks_of = F.broadcast(spark.createDataFrame(cells[["cell", "n"]]).select(F.col("cell").cast("int"), F.ceil(F.col("n") / p.rows).alias("blocks")))
     index = rings.join(blocks_of, "cell").select("cell", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"))
-    index = scratch.write(index.groupBy("cell", "block").applyInArrow(_blocks, "cell int, n long, ids binary, data binary"), "index")
+    index = scratch.write(index.groupBy("cell", "block").applyInArrow(_blocks, "cell int, block long, n long, ids binary, data binary"), "index")
 
     def search(queries: DataFrame, again: bool) -> DataFrame:
         visits = queries.mapInArrow(_visits(p, pivots, squared, table_of_cells, again), "cell int, query_id long, v array<long>")
         salt = F.pmod(F.xxhash64("query_id"), F.lit(salts))
         visitors = visits.groupBy("cell", salt.alias("salt")).applyInArrow(_gathered, "cell int, query_ids binary, queries binary")
-        found = visitors.join(index, "cell").mapInArrow(_scored(p, width), "query_id long, vec_id long, score long")
+        # Each block of a cell is a key of its own, so that a large cell isn't one task's work.
+        visitors = visitors.join(blocks_of, "cell").select("cell", "query_ids", "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        found = visitors.join(index, ["cell", "block"]).mapInArrow(_scored(p, width), "query_id long, vec_id long, score long")
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= p.k)
 

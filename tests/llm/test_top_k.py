@@ -44,3 +44,5 @@ def test_few_and_none(spark):
     assert run(spark, [(0, [1.0])]) == [] and run(spark, []) == [] and run(spark, [(0, None)]) == []
     big = [(0, [2.0**41, -(2.0**40)]), (5, [1.0, 1.0]), (7, [-1.0, 0.0])]
     assert run(spark, big) == brute(big)
+    far = [(0, [2.0**41]), (5, [2.0**41]), (7, [-(2.0**41)]), (9, [3.0])]
+    assert run(spark, far) == [(0, 1, 5, 2**63 - 1), (0, 2, 9, 2**51 * 3072), (0, 3, 7, 1 - 2**63)]
