@@ -33,8 +33,9 @@ class NearDedup:
 
     spread: a candidate is compared in full unless one bit of each coordinate
     differs in so many standard deviations more coordinates than a pair at the
-    threshold expects; 6 lose a link with a chance of 1e-9.  heads: heads that
-    the buckets of one group are given.  rounds: of comparing members with heads.
+    threshold expects; 6 lose a link with a chance of 1e-9.  rounds: of comparing
+    members with a head of their bucket, the first with the one that shares most
+    buckets, the others with one of `heads` in every group.
     """
 
     words: int = 5
@@ -45,7 +46,7 @@ class NearDedup:
     seed: int = 20210905
     spread: float = 6.0
     heads: int = 4
-    rounds: int = 2
+    rounds: int = 3
 
     @property
     def sketch_longs(self) -> int:
@@ -150,6 +151,20 @@ def _verified(p: NearDedup):
     return run
 
 
+def _shingles(p: NearDedup):
+    """id and each of its distinct shingles."""
+    schema = pa.schema([("id", pa.int64()), ("shingle", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, offsets in texts_of(batch, "text", 1 << 20):
+                sets = shingle_sets(raw, offsets, p.words)
+                own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(own)), pa.array(np.concatenate(sets).view(np.int64))], schema=schema)
+
+    return run
+
+
 def _links(pairs: DataFrame, texts: DataFrame, p: NearDedup) -> DataFrame:
     """The pairs (u, v) of classes whose texts are near."""
     left = texts.select(F.col("id").alias("u"), F.col("text").alias("left"))
@@ -204,8 +219,13 @@ class _Groups:
 
     def compare_with_heads(self, k: int) -> bool:
         """Every member of a bucket with one head of it; heads differ between buckets, and from round to round."""
+        placed = self.placed()
         order = F.xxhash64("id", F.pmod("key", F.lit(self.p.heads)), F.lit(k))
-        placed = self.scratch.write(self.placed(), f"placed-{k}")
+        if k == 0:  # what a group's members are copies of shares most buckets, with most others
+            sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+            central = placed.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("shares"))
+            placed, order = placed.join(central, "id"), -F.col("shares")
+        placed = self.scratch.write(placed, f"placed-{k}")
         heads = placed.groupBy("key").agg(F.min(F.struct(order.alias("order"), "id", "n_shingles", "component")).alias("h"))
         heads = heads.select("key", F.col("h.id").alias("head"), F.col("h.n_shingles").alias("n_head"), F.col("h.component").alias("own"))
         pairs = placed.join(heads, "key").where((F.col("component") != F.col("own")) & self.sizes_fit("n_shingles", "n_head"))
@@ -216,8 +236,14 @@ class _Groups:
 
     def compare_rest(self) -> None:
         """All pairs of members in a bucket that are in different components by now."""
-        placed = self.placed().join(self.sketches, "id").select("key", "id", "n_shingles", "component", "sketch")
-        placed = self.scratch.write(placed, "placed")
+        placed = self.scratch.write(self.placed(), "mixed")
+        # Shingles that only one of these documents has are in no intersection.
+        texts = self.texts.join(placed.select("id").distinct(), "id", "left_semi")
+        shingles = texts.mapInArrow(_shingles(self.p), "id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+        own = shingles.where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+        most = F.col("n_shingles") - F.coalesce("own", F.lit(0))
+        placed = placed.join(self.sketches, "id").join(own, "id", "left").select("key", "id", "n_shingles", "component", "sketch", most.alias("common"))
+        placed = self.scratch.write(placed.where(100 * most >= self.p.percent * F.col("n_shingles")), "placed")
         groups = placed.groupBy("key", "component").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.count(F.lit(1)).alias("members"))
         others = groups.select("key", *(F.col(c).alias(f"other_{c}") for c in ("component", "least", "most", "members")))
         fit = (100 * F.col("most") >= self.p.percent * F.col("other_least")) & (100 * F.col("other_most") >= self.p.percent * F.col("least"))
@@ -226,8 +252,10 @@ class _Groups:
         few = F.col("members") <= F.col("other_members")
         crossing = crossing.select("key", F.when(few, F.col("component")).otherwise(F.col("other_component")).alias("component"), F.when(few, F.col("other_component")).otherwise(F.col("component")).alias("far"))
         left = crossing.join(placed, ["key", "component"])
-        right = placed.select("key", F.col("component").alias("far"), F.col("id").alias("end"), F.col("n_shingles").alias("n_end"), F.col("sketch").alias("sketch_end"))
-        rest = left.join(right, ["key", "far"]).where(self.sizes_fit("n_shingles", "n_end") & self.close("sketch", "sketch_end"))
+        right = placed.select("key", F.col("component").alias("far"), F.col("id").alias("end"), F.col("n_shingles").alias("n_end"), F.col("sketch").alias("sketch_end"), F.col("common").alias("common_end"))
+        both = F.least("common", "common_end")
+        enough = 100 * both >= self.p.percent * (F.col("n_shingles") + F.col("n_end") - both)
+        rest = left.join(right, ["key", "far"]).where(enough & self.close("sketch", "sketch_end"))
         self.check(rest.select(F.least("id", "end").alias("u"), F.greatest("id", "end").alias("v")).distinct(), "rest")
 
 
@@ -250,7 +278,8 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
     in some rounds with other heads, so that the members of a group find each
     other by a row a member and round.  After them pairs that cross components
     are left, and all of those are checked.  A pair is checked on its full texts
-    unless sizes or sketches (one bit of each coordinate) rule it out.
+    unless sizes, sketches (one bit of each coordinate) or shingles that only
+    one document has rule it out.
     """
     spark, p = docs.sparkSession, params
     scratch = Scratch(spark, "near")
