@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,9 @@ class NearDedup:
     A pair at the threshold of 0.8 shares none of 76 bands of 8 coordinates with
     a chance of (1 - 0.8^8)^76 = 8e-7; one at 0.4 shares some with 5 %.
 
-    spread: a candidate is compared in full unless one bit of each coordinate
-    differs in so many standard deviations more coordinates than a pair at the
-    threshold expects; 6 lose a link with a chance of 1e-9.  rounds: of comparing
+    spread: a candidate is compared in full unless two bits of each coordinate
+    differ in so many standard deviations more coordinates than a pair at the
+    threshold expects; 5 lose a link with a chance of 3e-7.  rounds: of comparing
     members with a head of their bucket, the first with the one that shares most
     buckets, the others with one of `heads` in every group.
     """
@@ -44,7 +45,7 @@ class NearDedup:
     rows: int = 8
     universe_bits: int = 20
     seed: int = 20210905
-    spread: float = 6.0
+    spread: float = 5.0
     heads: int = 4
     rounds: int = 3
 
@@ -54,8 +55,8 @@ class NearDedup:
 
     @property
     def most_bits(self) -> int:
-        """Bits of two sketches that may differ."""
-        k, differ = self.bands * self.rows, (1 - self.percent / 100) / 2
+        """Coordinates in which two sketches may differ: unequal ones have equal bits by chance in a quarter of all cases."""
+        k, differ = self.bands * self.rows, (1 - self.percent / 100) * 0.75
         return math.floor(k * differ + self.spread * math.sqrt(k * differ * (1 - differ)))
 
 
@@ -96,10 +97,12 @@ def signature(cells: np.ndarray, p: NearDedup) -> np.ndarray:
 
 
 def _sketch(sig: np.ndarray, p: NearDedup) -> np.ndarray:
-    """One bit of every coordinate: as many words of 64 bits as are needed, a row for each signature."""
-    bits = np.zeros((len(sig), 64 * p.sketch_longs), dtype=np.uint8)
-    bits[:, : sig.shape[1]] = (mix(sig) >> U64(40)).astype(np.uint8) & 1
-    return np.packbits(bits, axis=1).view(np.int64)
+    """Two bits of every coordinate: words of 64 first bits, then as many of second ones, a row for each signature."""
+    bits = np.zeros((len(sig), 2, 64 * p.sketch_longs), dtype=np.uint8)
+    random = mix(sig) >> U64(40)
+    for k in range(2):
+        bits[:, k, : sig.shape[1]] = (random >> U64(k)).astype(np.uint8) & 1
+    return np.packbits(bits.reshape(len(sig), 128 * p.sketch_longs), axis=1).view(np.int64)
 
 
 SIGNED = "doc_id long, row long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"
@@ -196,8 +199,8 @@ class _Groups:
         return pairs.join(left, "u").join(right, ["v"]).where(self.close("sketch_u", "sketch_v")).select("u", "v")
 
     def close(self, a: str, b: str) -> Column:
-        differ = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(self.p.sketch_longs)), F.lit(0))
-        return differ <= self.p.most_bits
+        n, unequal = self.p.sketch_longs, lambda k: F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        return sum((F.bit_count(unequal(k).bitwiseOR(unequal(k + n))) for k in range(n)), F.lit(0)) <= self.p.most_bits
 
     def sizes_fit(self, a: str, b: str) -> Column:
         return 100 * F.least(a, b) >= self.p.percent * F.greatest(a, b)
@@ -205,8 +208,8 @@ class _Groups:
     def check(self, pairs: DataFrame, name: str) -> bool:
         """Verifies pairs that weren't before and joins the components that they link."""
         scratch = self.scratch
-        for old in self.checked:
-            pairs = pairs.join(old, ["u", "v"], "left_anti")
+        if self.checked:
+            pairs = pairs.join(reduce(DataFrame.unionByName, self.checked), ["u", "v"], "left_anti")
         pairs = scratch.write(pairs, f"pairs-{name}")
         self.checked.append(pairs)
         links = scratch.write(_links(pairs, self.texts, self.p), f"links-{name}")
@@ -228,6 +231,9 @@ class _Groups:
         placed = self.scratch.write(placed, f"placed-{k}")
         heads = placed.groupBy("key").agg(F.min(F.struct(order.alias("order"), "id", "n_shingles", "component")).alias("h"))
         heads = heads.select("key", F.col("h.id").alias("head"), F.col("h.n_shingles").alias("n_head"), F.col("h.component").alias("own"))
+        if k == 0:  # the head that a class meets in most of its buckets
+            met = placed.select("key", "id").join(heads.select("key", "head"), "key").groupBy("id", "head").agg(F.count(F.lit(1)).alias("n"))
+            self.centres = self.scratch.write(met.groupBy("id").agg(F.max(F.struct("n", "head")).alias("h")).select("id", F.col("h.head").alias("centre")), "centres")
         pairs = placed.join(heads, "key").where((F.col("component") != F.col("own")) & self.sizes_fit("n_shingles", "n_head"))
         pairs = pairs.select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
         more = self.check(self.sketched(pairs), f"heads-{k}")
@@ -237,13 +243,16 @@ class _Groups:
     def compare_rest(self) -> None:
         """All pairs of members in a bucket that are in different components by now."""
         placed = self.scratch.write(self.placed(), "mixed")
-        # Shingles that only one of these documents has are in no intersection.
+        # Shingles that only one of these documents has are in no intersection, nor those that only one with its centre has in one with another of them.
         texts = self.texts.join(placed.select("id").distinct(), "id", "left_semi")
-        shingles = texts.mapInArrow(_shingles(self.p), "id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-        own = shingles.where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-        most = F.col("n_shingles") - F.coalesce("own", F.lit(0))
-        placed = placed.join(self.sketches, "id").join(own, "id", "left").select("key", "id", "n_shingles", "component", "sketch", most.alias("common"))
-        placed = self.scratch.write(placed.where(100 * most >= self.p.percent * F.col("n_shingles")), "placed")
+        shingles = texts.mapInArrow(_shingles(self.p), "id long, shingle long").join(self.centres, "id")
+        by = shingles.groupBy("centre", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+        of_all = by.groupBy("shingle").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
+        of_all, of_centre = (x.where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias(c)) for x, c in ((of_all, "own"), (by, "own_here")))
+        placed = placed.join(self.sketches, "id").join(self.centres, "id").join(of_all, "id", "left").join(of_centre, "id", "left")
+        left = [(F.col("n_shingles") - F.coalesce(c, F.lit(0))).alias(name) for c, name in (("own", "common"), ("own_here", "common_here"))]
+        placed = placed.select("key", "id", "n_shingles", "component", "sketch", "centre", *left)
+        placed = self.scratch.write(placed.where(100 * F.col("common") >= self.p.percent * F.col("n_shingles")), "placed")
         groups = placed.groupBy("key", "component").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.count(F.lit(1)).alias("members"))
         others = groups.select("key", *(F.col(c).alias(f"other_{c}") for c in ("component", "least", "most", "members")))
         fit = (100 * F.col("most") >= self.p.percent * F.col("other_least")) & (100 * F.col("other_most") >= self.p.percent * F.col("least"))
@@ -252,8 +261,8 @@ class _Groups:
         few = F.col("members") <= F.col("other_members")
         crossing = crossing.select("key", F.when(few, F.col("component")).otherwise(F.col("other_component")).alias("component"), F.when(few, F.col("other_component")).otherwise(F.col("component")).alias("far"))
         left = crossing.join(placed, ["key", "component"])
-        right = placed.select("key", F.col("component").alias("far"), F.col("id").alias("end"), F.col("n_shingles").alias("n_end"), F.col("sketch").alias("sketch_end"), F.col("common").alias("common_end"))
-        both = F.least("common", "common_end")
+        right = placed.select("key", F.col("component").alias("far"), F.col("id").alias("end"), F.col("n_shingles").alias("n_end"), F.col("sketch").alias("sketch_end"), *(F.col(c).alias(f"{c}_end") for c in ("centre", "common", "common_here")))
+        both = F.when(F.col("centre") == F.col("centre_end"), F.least("common_here", "common_here_end")).otherwise(F.least("common", "common_end"))
         enough = 100 * both >= self.p.percent * (F.col("n_shingles") + F.col("n_end") - both)
         rest = left.join(right, ["key", "far"]).where(enough & self.close("sketch", "sketch_end"))
         self.check(rest.select(F.least("id", "end").alias("u"), F.greatest("id", "end").alias("v")).distinct(), "rest")
@@ -278,7 +287,7 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
     in some rounds with other heads, so that the members of a group find each
     other by a row a member and round.  After them pairs that cross components
     are left, and all of those are checked.  A pair is checked on its full texts
-    unless sizes, sketches (one bit of each coordinate) or shingles that only
+    unless sizes, sketches (two bits of each coordinate) or shingles that only
     one document has rule it out.
     """
     spark, p = docs.sparkSession, params
