@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from tallyloom.llm.words import small_parts
 
 #: Space-delimited pieces whose ids a Python worker remembers; the memory is emptied when full, results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Longer pieces are encoded each time.
 REMEMBERED_LENGTH = 64
 #: Bytes of text whose new pieces are encoded together.
-GROUP = 6 << 20
+GROUP = 4 << 20
 #: A space after white space: there the text can't be cut into pieces that match on their own.
 _RUN = re.compile(r"[\s\x1c-\x1f\x85\xa0] ")
 

@@ -130,6 +130,7 @@ def texts_of(batch: pa.RecordBatch, name: str, limit: int = 4 << 20):
         j = min(j, n)
         yield batch.slice(i, j - i), raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    pa.default_memory_pool().release_unused()  # workers live on; what the batch took doesn't
 
 
 def lower_texts(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
