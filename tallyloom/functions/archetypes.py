@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions.columns import any_of
+from tallyloom.functions.columns import any_of, trimmed
 
 # Leading verbs, keywords that give one vote and keywords that give two.
 LEADING = {
-    "debug_fix": "fix debug resolve diagnose investigate",
-    "build_new": "build create scaffold implement write design",
-    "single_file_edit": "add update edit change modify tweak",
-    "multi_file_refactor": "refactor restructure reorganize reorganise migrate rename clean",
-    "research_summarize": "summarize summarise research analyze analyse review read compare",
-    "qa_short": "explain what how why is can",
-    "ops_repo": "commit deploy push release publish",
+    "debug_fix": ["fix", "debug", "resolve", "diagnose", "investigate"],
+    "build_new": ["build", "create", "scaffold", "implement", "write", "design"],
+    "single_file_edit": ["add", "update", "edit", "change", "modify", "tweak"],
+    "multi_file_refactor": ["refactor", "restructure", "reorganize", "reorganise", "migrate", "rename", "clean"],
+    "research_summarize": ["summarize", "summarise", "research", "analyze", "analyse", "review", "read", "compare"],
+    "qa_short": ["explain", "what", "how", "why", "is", "can"],
+    "ops_repo": ["commit", "deploy", "push", "release", "publish"],
 }
 KEYWORDS = {
     "debug_fix": ["bug", "error", "crash", "fail", "broken", "traceback", "exception", "doesn't work", "not working"],
@@ -30,17 +30,17 @@ STRONG = {
     "exam_solver": ["cold solver", "hpat", "practice exam", "answer key", "blind sample", "question-generation"],
     "hackathon_build": ["built with claude", "hackathon", "builder track", "cerebral valley"],
 }
-QUESTION_WORDS = "what how why is can does"
+QUESTION_WORDS = ["what", "how", "why", "is", "can", "does"]
 SCAN = 1500
 FILE_NAME = r"\b[\w\-/\\]+\.\w{1,5}\b"
 
 
 def archetype(description: Column) -> Column:
     """The archetype with most votes; `misc` without votes or on a tie."""
-    text = F.substring(F.lower(F.trim(description)), 1, SCAN)
+    text = F.substring(F.lower(trimmed(description)), 1, SCAN)
     verb = F.regexp_extract(text, r"[a-z']+", 0)
     files = F.size(F.array_distinct(F.transform(F.regexp_extract_all(F.substring(description, 1, SCAN), F.lit(FILE_NAME), 0), lambda f: F.lower(f))))
-    question = F.rtrim(text).endswith("?") | verb.isin(QUESTION_WORDS.split())
+    question = trimmed(text).endswith("?") | verb.isin(QUESTION_WORDS)
     extra = {
         "qa_short": ((F.length(text) < 120) & question & (files == 0)).cast("int"),
         "multi_file_refactor": (files >= 3).cast("int"),
@@ -51,7 +51,7 @@ def archetype(description: Column) -> Column:
     for label in labels:
         n = F.lit(0)
         if label in LEADING:
-            n = n + 2 * verb.isin(LEADING[label].split()).cast("int")
+            n = n + 2 * verb.isin(LEADING[label]).cast("int")
         if label in KEYWORDS:
             n = n + any_of([text.contains(k) for k in KEYWORDS[label]]).cast("int")
         if label in STRONG:

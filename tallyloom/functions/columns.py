@@ -15,11 +15,28 @@ Z_95 = 1.959963984540054
 #: Counters of a call, in the order reports list them.
 COUNTERS = ("input_tokens", "cache_write_input_tokens", "cache_read_input_tokens", "output_tokens", "reasoning_output_tokens", "usage_records")
 
-# Histogram buckets as (name, least, largest); None is unbounded.
-RECORD_BUCKETS = (("one", 1, 1), ("two_to_four", 2, 4), ("five_to_nineteen", 5, 19), ("twenty_plus", 20, None))
-TOKEN_BUCKETS = (("under_10k", 0, 9_999), ("10k_to_50k", 10_000, 49_999), ("50k_to_200k", 50_000, 199_999), ("200k_to_1m", 200_000, 999_999), ("1m_plus", 1_000_000, None))
-ELAPSED_MINUTES = (("under_10m", 0, 10), ("10m_to_1h", 10, 60), ("1h_to_4h", 60, 240), ("4h_to_12h", 240, 720), ("12h_plus", 720, None))
-
+# Histogram buckets of reports as (name, least, largest); None is unbounded.
+RECORD_BUCKETS = (("zero", 0, 0), ("one", 1, 1), ("two_to_four", 2, 4), ("five_to_nineteen", 5, 19), ("twenty_plus", 20, None))
+TOKEN_BUCKETS = (
+    ("under_10k", 0, 9_999),
+    ("ten_to_49k", 10_000, 49_999),
+    ("fifty_to_199k", 50_000, 199_999),
+    ("two_hundred_to_999k", 200_000, 999_999),
+    ("one_million_plus", 1_000_000, None),
+)
+ELAPSED_MINUTES = (("under_10m", 0, 10), ("ten_to_59m", 10, 60), ("one_to_3h", 60, 240), ("four_to_11h", 240, 720), ("twelve_h_plus", 720, None))
+WORKFLOW_SHAPES = (("single_exchange", 1, 1), ("short_multi_exchange", 2, 4), ("sustained", 5, 19), ("high_iteration", 20, None))
+
+# The closed forms of model labels, longest label, and the grammar of a plain dollar amount.
+MODEL_LABELS = (
+    r"^claude-(?:(?:opus|sonnet|haiku|fable|mythos)-\d{1,2}(?:-\d{1,2}){0,2}|\d{1,2}(?:-\d{1,2}){0,2}-(?:opus|sonnet|haiku|fable|mythos))$",
+    r"^gpt-\d{1,2}(?:[.-]\d{1,2})*(?:-(?:sol|terra|luna|mini|nano|codex(?:-mini)?|chat|pro|turbo|preview))?$",
+    r"^o[1-9](?:-(?:mini|pro|preview|latest))?$",
+    r"^deepseek-v\d{1,2}(?:[.-]\d{1,2})*(?:-(?:pro|lite|chat|coder|reasoner))?$",
+    r"^codex-auto-review$",
+    r"^codex-(?:mini|large|latest)(?:-latest)?$",
+)
+LONGEST_LABEL = 160
 MONEY = r"(?i)^(?:(?:US\$|USD|\$) ?)?(-?(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)?(?:\.[0-9]+)?)(?: ?(?:USD|\$))?$"
 
 
@@ -51,18 +68,39 @@ def valid_calendar_day(day: Column) -> Column:
     return F.coalesce(day.rlike(r"^\d{4}-\d{2}-\d{2}$") & month.between(1, 12) & (date >= 1) & (date <= days), F.lit(False))
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\ufeff]+|[\s\ufeff]+$", "")
+
+
 def strict_money(text: Column) -> Column:
     """A plain dollar amount, or null; signs are kept and callers take negative amounts as missing."""
-    digits = F.regexp_extract(F.trim(text), MONEY, 1)
+    digits = F.regexp_extract(trimmed(text), MONEY, 1)
     return F.when(digits.rlike("[0-9]"), F.replace(digits, F.lit(","), F.lit("")).try_cast("double"))
 
 
 def sanitize_model_label(label: Column) -> Column:
-    """Lower case, control and markup signs blank, blanks single, a trailing date dropped; unknown families get the fallback."""
-    clean = F.lower(F.trim(F.regexp_replace(F.regexp_replace(label, r"[\x00-\x1f\x7f<>\\/`]", " "), r"\s+", " ")))
-    clean = F.regexp_replace(F.substring(clean, 1, 160), r"-(?:\d{8}|\d{4}-\d{2}-\d{2})$", "")
-    known = clean.rlike(r"^(?:claude|gpt|o\d|codex|gemini|composer|auto)(?:[a-z0-9._: -]*)$")
-    return F.when(known, clean).otherwise(F.lit(FALLBACK_MODEL))
+    """One of the closed forms of labels in lower case, a trailing date dropped; anything else, which may be private text, is the fallback."""
+    clean = F.lower(trimmed(F.regexp_replace(F.regexp_replace(label, r"[\x00-\x1f\x7f<>\\/]", " "), r"(?U)[\s\ufeff]+", " ")))
+    short = F.length(clean) <= LONGEST_LABEL
+    clean = F.regexp_replace(clean, r"-(?:\d{8}|\d{4}-\d{2}-\d{2})$", "")
+    return F.when(short & any_of([clean.rlike(p) for p in MODEL_LABELS]), clean).otherwise(F.lit(FALLBACK_MODEL))
+
+
+def safe_label(label: Column, longest: int = LONGEST_LABEL) -> Column:
+    """A label of a billing row as it may be shown: control and markup signs blank, blanks single, cut; null without any text."""
+    clean = trimmed(F.regexp_replace(F.regexp_replace(label, r"[\x00-\x1f\x7f<>\\/`\"']", " "), r"(?U)[\s\ufeff]+", " "))
+    return F.nullif(F.substring(clean, 1, longest), F.lit(""))
+
+
+def is_hostile(label: Column) -> Column:
+    """Labels with control or markup signs, or names that objects have anyway."""
+    return label.rlike(r"[\x00-\x1f\x7f<>\\/`]") | label.isin("__proto__", "constructor", "prototype")
+
+
+def retained_label(label: Column) -> Column:
+    """A label under which an export's usage stays visible, known or not: a common name stands for hostile and missing ones."""
+    return F.when(F.coalesce(is_hostile(label), F.lit(True)), F.lit(FALLBACK_MODEL)).otherwise(F.coalesce(safe_label(label), F.lit(FALLBACK_MODEL)))
 
 
 def in_bucket(c: Column, low: float, high: float | None, half_open: bool = False) -> Column:
@@ -99,6 +137,7 @@ def multiplicative_error(actual: Column, predicted: Column) -> Column:
     return F.greatest(actual / predicted, predicted / actual)
 
 
+# Fixed values of FNV-1a: offset 2166136261, prime 16777619.
 def fnv1a(text: Column) -> Column:
     """Unsigned 32-bit FNV-1a over a text's ASCII codes."""
     step = lambda h, ch: (h.bitwiseXOR(F.ascii(ch).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
@@ -115,8 +154,9 @@ def words_of(text: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
+    """Share of common elements; two empty sets have none in common."""
     both = F.size(F.array_intersect(a, b))
-    return F.try_divide(both.cast("double"), F.size(F.array_union(a, b)))
+    return F.coalesce(F.try_divide(both.cast("double"), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
 def gap_similarity(a: Column, b: Column) -> Column:

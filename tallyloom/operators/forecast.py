@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.columns import quantile_of
+from tallyloom.operators.ranks import medians, quantiles
 
 # The nominal one-sided quantile of an 80 % band; credibility without and with groups alike.
 Z_80 = 1.2816
@@ -81,10 +81,12 @@ def conformal_level(n: Column, alpha: float) -> Column:
 def calibrate(priors: Priors, tasks: DataFrame, alpha: float = 0.2, least: int = 20) -> Priors:
     """Finite-sample quantiles of |y - mu| / sigma for archetypes with at least `least` scores, and of all scores together."""
     scored = blend(tasks, priors).withColumn("score", F.abs(log_target(priors.regime) - F.col("mu")) / F.col("sigma")).where("score is not null")
-    by = scored.groupBy("archetype").agg(F.array_sort(F.collect_list("score")).alias("scores")).where(F.size("scores") >= least)
-    pooled = scored.agg(F.array_sort(F.collect_list("score")).alias("scores")).select(F.lit(None).cast("string").alias("archetype"), "scores")
-    q = F.when(F.size("scores") == 0, F.lit(Z_80)).otherwise(quantile_of(F.col("scores"), conformal_level(F.size("scores"), alpha)))
-    priors.quantiles = by.unionByName(pooled).select("archetype", q.alias("q"))
+    rows = scored.select(F.explode(F.array(F.struct(F.lit(True).alias("own"), "archetype"), F.struct(F.lit(False).alias("own"), F.lit(None).cast("string").alias("archetype")))).alias("g"), "score").select("g.*", "score")
+    found = quantiles(rows, ["own", "archetype"], "score", {"q": lambda n: conformal_level(n, alpha)})
+    none = tasks.sparkSession.range(1).select(F.lit(None).cast("string").alias("archetype"))  # one row: the pooled quantile is there without any score
+    by = found.where((F.col("n") >= least) & F.col("own")).select("archetype", "q")
+    pooled = none.join(found.where(~F.col("own")).select("q"), F.lit(True), "left").select("archetype", F.coalesce("q", F.lit(Z_80)).alias("q"))
+    priors.quantiles = by.unionByName(pooled)
     return priors
 
 
@@ -105,7 +107,9 @@ def forecast(tasks: DataFrame, priors: Priors) -> DataFrame:
 
 def forecast_metrics(rows: DataFrame, target: float = 0.8) -> DataFrame:
     """One row: n, hits, coverage in percent, its gap, medians of relative and log error and of p90 / p10."""
-    hit = F.col("cost_usd").between(F.col("p10"), F.col("p90"))
-    out = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"), F.median(F.abs(F.col("p50") - F.col("cost_usd")) / F.col("cost_usd")).alias("relative"), F.median(F.abs(F.log(F.col("cost_usd") / F.col("p50")))).alias("log_error"), F.median(F.col("p90") / F.col("p10")).alias("ratio"))
+    hit, cost, p50 = F.col("cost_usd").between(F.col("p10"), F.col("p90")), F.col("cost_usd"), F.col("p50")
+    rows = rows.select(hit.alias("hit"), (F.abs(p50 - cost) / cost).alias("relative"), F.abs(F.log(cost / p50)).alias("log_error"), (F.col("p90") / F.col("p10")).alias("ratio"))
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("hit")).alias("hits"))
+    out = counts.join(medians(rows, [], ["relative", "log_error", "ratio"]), F.lit(True), "left")  # one row each
     share = F.try_divide(F.col("hits").cast("double"), F.col("n"))
     return out.select("n", "hits", F.round(100 * share, 3).alias("coverage_pct"), F.round(100 * F.abs(share - target), 3).alias("calibration_gap_pct"), F.round(100 * F.col("relative"), 3).alias("median_relative_error_pct"), F.round("log_error", 6).alias("median_absolute_log_error"), F.round("ratio", 6).alias("median_interval_ratio_p90_p10"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,12 +36,11 @@ def nearest(pairs: DataFrame, similarity: Column, k: int) -> DataFrame:
     return pairs.withColumn("sim", similarity).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def shared_shingles(tasks: DataFrame, on: list[str]) -> DataFrame:
+def shared_shingles(queries: DataFrame, history: DataFrame) -> DataFrame:
     """Pairs with at least one shingle in common, and how many: an equi join on shingles that never makes the other pairs."""
-    each = tasks.select(*on, "task_id", "ts", F.explode("sh").alias("shingle"))
-    c = each.select(*on, "shingle", F.col("task_id").alias("c_task_id"), F.col("ts").alias("c_ts"))
-    q = each.select(*on, "shingle", F.col("task_id").alias("q_task_id"), F.col("ts").alias("q_ts"))
-    both = q.join(c, [*on, "shingle"]).where("c_ts < q_ts")
+    q = queries.select(F.col("task_id").alias("q_task_id"), F.col("ts").alias("q_ts"), F.explode("sh").alias("shingle"))
+    c = history.select(F.col("task_id").alias("c_task_id"), F.col("ts").alias("c_ts"), F.explode("sh").alias("shingle"))
+    both = q.join(c, "shingle").where("c_ts < q_ts")
     return both.groupBy("q_task_id", "c_task_id", "q_ts", "c_ts").agg(F.count(F.lit(1)).alias("common"))
 
 
@@ -57,34 +58,126 @@ def weighted_similarity(weights: dict[str, float]) -> Column:
     return sum(terms[1:], terms[0])
 
 
-def weighted_median(rows: DataFrame, by: list[str], value: str, weight: Column) -> DataFrame:
-    """The first value, in order, at which half of the weight is reached."""
-    w = W.partitionBy(*by)
-    total, upto = F.sum("_w").over(w), F.sum("_w").over(w.orderBy(value, "_w").rowsBetween(W.unboundedPreceding, 0))
-    reached = rows.withColumn("_w", weight).withColumns({"_total": total, "_upto": upto}).where("_upto >= _total / 2")
-    return reached.groupBy(*by).agg(F.min(value).alias("weighted_median"))
+def earlier_moments(queries: DataFrame, history: DataFrame, bucket: int) -> DataFrame:
+    """(task_id, history, history_s): number and sample deviation of y among strictly earlier history(ts, y), from sums by bucket of time."""
+    slot = F.floor(F.col("ts") / bucket).alias("_slot")
+    parts = {"_n": F.count(F.lit(1)), "_y": F.sum("y"), "_yy": F.sum(F.col("y") * F.col("y"))}
+    sums = history.groupBy(slot).agg(*(f.alias(c) for c, f in parts.items()))
+    asked = queries.select("task_id", F.col("ts").alias("q_ts"), slot)
+    zero = [F.lit(0.0 if c != "_n" else 0).cast("double" if c != "_n" else "long").alias(c) for c in parts]
+    sums = sums.unionByName(asked.select("_slot", *zero).distinct()).groupBy("_slot").agg(*(F.sum(c).alias(c) for c in parts))  # a row a bucket
+    before = W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("_slot", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in parts))
+    own = asked.join(history.select("ts", "y", slot), "_slot").where("ts < q_ts").groupBy("task_id").agg(*(f.alias(c) for c, f in parts.items()))
+    each = asked.join(sums, "_slot").select("task_id", *parts).unionByName(own).groupBy("task_id").agg(*(F.sum(c).alias(c) for c in parts))
+    variance = (F.col("_yy") - F.col("_y") * F.col("_y") / F.col("_n")) / (F.col("_n") - 1)
+    return each.select("task_id", F.col("_n").alias("history"), F.when(F.col("_n") > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).when(F.col("_n") == 1, 0.0).alias("history_s"))
+
+
+def running_sums(rows: DataFrame, value: str, weight: str, ranges: int = 64) -> DataFrame:
+    """x, w and upto, the sum of weights up to each row in the order of values; ranges of values are summed first, each is sorted on its own."""
+    edges = sorted(set(rows.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.001)))  # ranges - 1 numbers
+    rows = rows.select(F.col(value).cast("double").alias("x"), F.col(weight).alias("w")).withColumn("_range", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("x"))))
+    sums = rows.groupBy("_range").agg(F.sum("w").alias("_w"))  # a row a range
+    sums = sums.select("_range", F.coalesce(F.sum("_w").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    upto = F.col("_before") + F.sum("w").over(W.partitionBy("_range").orderBy("x", "w").rowsBetween(W.unboundedPreceding, 0))
+    return rows.join(sums, "_range").withColumn("upto", upto).select("_range", "x", "w", "upto")
+
+
+def first_reaching(asked: DataFrame, sums: DataFrame, share: float) -> DataFrame:
+    """asked(task_id, factor, ...) with x: the first value at which factor * upto reaches `share` of factor * total + 1; null if none does."""
+    ends = sums.groupBy("_range").agg(F.max("upto").alias("_end"))  # a row a range
+    total = ends.agg(F.max("_end").alias("_total"))
+    target = asked.crossJoin(F.broadcast(total)).withColumn("_target", share * (F.col("_total") + 1 / F.col("factor")))  # one row
+    found = target.crossJoin(F.broadcast(ends)).where("_end >= _target").groupBy("task_id").agg(F.min("_range").alias("_range"), F.first("_target").alias("_target"))
+    x = found.join(sums, "_range").where("upto >= _target").groupBy("task_id").agg(F.min("x").alias("x"))
+    return asked.join(x, "task_id", "left")
+
+
+@dataclass(frozen=True)
+class Stability:
+    """From unstable times the prior's spread on a neighbourhood is unstable, up to stable times it is stable; multipliers of a band's width.
+
+    abstain: unstable neighbourhoods, single neighbours and histories without any give no forecast.
+    """
 
+    unstable: float = 1.5
+    stable: float = 0.75
+    wider: float = 1.5
+    narrower: float = 1.0
+    abstain: bool = False
 
-def stability_band(spread: Column, prior: Column, n: Column) -> Column:
-    """How far a neighbourhood's spread is from its prior's; one neighbour is never stable."""
-    ratio = F.try_divide(spread, prior)
-    return F.when(n < 1, "no-analogy").when((n < 2) | ratio.isNull(), "unknown").when(ratio > 1.5, "unstable").when(ratio < 0.75, "stable").otherwise("mid")
 
+def stability_band(spread: Column, prior: Column, n: Column, analogy: Column, p: Stability = Stability()) -> Column:
+    """How far a neighbourhood's spread is from its prior's; one neighbour, or neighbours without any spread, are unknown and never stable."""
+    ratio = F.when((n >= 2) & (spread > 0) & (prior > 0), spread / prior)
+    band = F.when(ratio.isNull(), "unknown").when(ratio >= p.unstable, "unstable").when(ratio <= p.stable, "stable").otherwise("mid")
+    return F.when(F.coalesce(n < 1, F.lit(True)) | ~F.coalesce(analogy, F.lit(False)), "no-analogy").otherwise(band)
 
-def average_rank(by: list[str], value: str) -> Column:
-    """Rank of a value among its key's, ties sharing their mean rank."""
-    return F.rank().over(W.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(W.partitionBy(*by, value)) - 1) / 2
+
+def stability_multiplier(band: Column, p: Stability = Stability()) -> Column:
+    return F.when(band == "stable", p.narrower).when(band == "mid", 1.0).otherwise(p.wider)
 
 
-def order_statistic(values: Column, rank: Column) -> Column:
-    """The rank-th of a sorted array, ranks below 1 and beyond the end clamped."""
-    return F.get(values, F.least(F.greatest(rank, F.lit(1)), F.size(values)).cast("int") - 1)
+def abstains(band: Column, history: Column, least_history: int, p: Stability = Stability()) -> Column:
+    """No forecast: too little history always, and if asked for, whatever isn't known to be stable enough."""
+    return (history < least_history) | F.lit(p.abstain) & band.isin("no-analogy", "unknown", "unstable")
 
 
-def upper_statistic(values: Column, p: float) -> Column:
-    return order_statistic(values, F.ceil((F.size(values) + 1) * p))
+def latest_in_cells(history: DataFrame, queries: DataFrame, cell: list[str], k: int, bucket: int) -> DataFrame:
+    """For each query(task_id, ts) and each cell of history(task_id, ts, cell, ...): the latest k strictly earlier tasks, as q_ and c_ columns.
+
+    Where a similarity depends on the cell alone, the k most similar tasks are
+    among these, whatever the length of the history.  Tasks are numbered within
+    their cell by time: counts by bucket of time are summed first, so that a cell
+    that holds many tasks is numbered bucket by bucket.
+    """
+    slot = F.floor(F.col("ts") / bucket)
+    cells = history.select(*cell).distinct()
+    marks = queries.select(F.col("task_id").alias("q_task_id"), "ts").crossJoin(cells).withColumn("_slot", slot)  # a row a query and cell
+    rows = history.withColumn("_slot", slot)
+    counts = rows.groupBy(*cell, "_slot").agg(F.count(F.lit(1)).alias("_n")).unionByName(marks.select(*cell, "_slot", F.lit(0).cast("long").alias("_n")).distinct())
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*cell).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = counts.groupBy(*cell, "_slot").agg(F.sum("_n").alias("_n")).withColumn("_before", before).drop("_n")
+    both = rows.select(*cell, "_slot", "ts", "task_id", F.lit(None).cast("long").alias("q_task_id"), F.lit(1).alias("_task")).unionByName(marks.select(*cell, "_slot", "ts", F.lit(None).cast("long").alias("task_id"), "q_task_id", F.lit(0).alias("_task")))
+    upto = F.sum("_task").over(W.partitionBy(*cell, "_slot").orderBy("ts", "_task", "task_id").rowsBetween(W.unboundedPreceding, 0))  # a query before tasks of its time
+    both = both.withColumn("_upto", upto).join(before, [*cell, "_slot"]).withColumn("_number", F.col("_before") + F.col("_upto"))
+    numbered = rows.join(both.where("_task = 1").select("task_id", "_number"), "task_id")
+    values = [c for c in history.columns if c not in cell]
+    named = numbered.select(*(F.col(c).alias(f"c_{c}") for c in (*cell, *values)), F.col("_number").alias("_at"))
+    wanted = both.where("_task = 0 and _number > 0").select("q_task_id", F.col("ts").alias("q_ts"), *(F.col(c).alias(f"c_{c}") for c in cell), F.explode(F.sequence(F.greatest(F.col("_number") - (k - 1), F.lit(1)), F.col("_number"))).alias("_at"))
+    return wanted.join(named, [*(f"c_{c}" for c in cell), "_at"]).drop("_at")
+
+
+def recency_median(queries: DataFrame, history: DataFrame, half_life: float, bucket: int, ranges: int = 64) -> DataFrame:
+    """(task_id, recency_median): for each query(task_id, ts) the value y of strictly earlier history(ts, y) at which half of the weight 0.5^(age / half_life) is reached.
+
+    Weights of all queries differ by a common factor only.  They are summed by
+    bucket of time and range of values; a query adds the part of its own bucket,
+    and sorts only the range in which the half is reached.
+    """
+    latest = history.agg(F.max("ts")).first()[0]
+    if latest is None:
+        return queries.select("task_id", F.lit(None).cast("double").alias("recency_median"))
+    edges = sorted(set(history.approxQuantile("y", [i / ranges for i in range(1, ranges)], 0.001)))  # ranges - 1 numbers
+    at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("y")))
+    rows = history.select("ts", "y", at.alias("_range"), F.floor(F.col("ts") / bucket).alias("_slot"), F.pow(F.lit(0.5), (F.lit(latest) - F.col("ts")) / half_life).alias("_w"))
+    asked = queries.select("task_id", F.col("ts").alias("q_ts"), F.floor(F.col("ts") / bucket).alias("_slot"))
+    grid = asked.select("_slot").distinct().select("_slot", F.explode(F.sequence(F.lit(0), F.lit(len(edges)))).alias("_range"), F.lit(0.0).alias("_w"))
+    sums = rows.groupBy("_slot", "_range").agg(F.sum("_w").alias("_w")).unionByName(grid).groupBy("_slot", "_range").agg(F.sum("_w").alias("_w"))
+    earlier = F.coalesce(F.sum("_w").over(W.partitionBy("_range").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    sums = sums.withColumn("_w", earlier)
+    own = asked.join(rows, "_slot").where("ts < q_ts").groupBy("task_id", "_range").agg(F.sum("_w").alias("_w"))
+    each = asked.join(sums, "_slot").select("task_id", "_range", "_w").unionByName(own).groupBy("task_id", "_range").agg(F.sum("_w").alias("_w"))
+    of = W.partitionBy("task_id")
+    each = each.withColumns({"_upto": F.sum("_w").over(of.orderBy("_range").rowsBetween(W.unboundedPreceding, 0)), "_total": F.sum("_w").over(of)})
+    reached = each.where("_w > 0 and _upto >= _total / 2 * (1 - 1e-12) and _upto - _w < _total / 2").groupBy("task_id").agg(F.min(F.struct("_range", (F.col("_total") / 2 - F.col("_upto") + F.col("_w")).alias("_rest"), "_total")).alias("r"))
+    inside = asked.join(reached, "task_id").select("task_id", "q_ts", "r.*").join(rows.drop("_slot"), "_range").where("ts < q_ts")
+    inside = inside.withColumn("_sum", F.sum("_w").over(of.orderBy("y", "_w").rowsBetween(W.unboundedPreceding, 0)))
+    found = inside.groupBy("task_id").agg(F.coalesce(F.min(F.when(F.col("_sum") >= F.col("_rest") - 1e-12 * F.col("_total"), F.col("y"))), F.max("y")).alias("recency_median"))
+    return queries.select("task_id").join(found, "task_id", "left")
 
 
-def central_interval(values: Column, alpha: float) -> tuple[Column, Column]:
-    n = F.size(values) + 1
-    return order_statistic(values, F.floor(n * (alpha / 2))), order_statistic(values, F.ceil(n * (1 - alpha / 2)))
+def average_rank(by: list[str], value: str) -> Column:
+    """Rank of a value among its key's, ties sharing their mean rank."""
+    return F.rank().over(W.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(W.partitionBy(*by, value)) - 1) / 2

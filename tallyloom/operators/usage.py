@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.functions.columns import COUNTERS, FALLBACK_MODEL, month_of, total_tokens
+from tallyloom.functions.columns import COUNTERS, FALLBACK_MODEL, checked_sum, month_of, total_tokens
 
 
 def dedup_calls(calls: DataFrame, keys: list[str], counters: list[str], order: list[str]) -> DataFrame:
@@ -20,7 +20,8 @@ def dedup_calls(calls: DataFrame, keys: list[str], counters: list[str], order: l
 
 
 def usage_by(calls: DataFrame, *keys: str) -> DataFrame:
-    return calls.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in COUNTERS)).withColumn("total_tokens", total_tokens())
+    """Sums of the counters and the total; a sum that isn't an exact integer of a double any more fails."""
+    return calls.groupBy(*keys).agg(*(checked_sum(F.col(c)).alias(c) for c in COUNTERS)).withColumn("total_tokens", total_tokens())
 
 
 def session_rollup(calls: DataFrame, session: str = "session_key") -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.columns import sanitize_model_label, strict_money
+from tallyloom.functions.columns import strict_money
 from tallyloom.operators.pricing import cost_status, derived_rates, equivalent_range, snapshot_delta, with_cost
 from tallyloom.plans.registry import Tables, query
 from tallyloom.plans.usage_queries import CALLS, calls
+from tallyloom.sources.exports import billing_usage, excluded_skus
 
 # Dollars for a million tokens: (model, input, output). N-F has no rate on purpose.
 RATES = (("N-O", 3.0, 15.0), ("A-F", 5.0, 25.0), ("R-F", 1.0, 5.0), ("A-O", 0.25, 1.25))
@@ -69,17 +70,6 @@ def strict_money_parse(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", cell.alias("cell")).withColumn("amount", F.round(strict_money(F.col("cell")), 2))
 
 
-LABEL_TEXT = "CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN 'Claude-' || p_size || '-20250929' WHEN 1 THEN ' GPT-' || p_size || '  mini' WHEN 2 THEN p_name WHEN 3 THEN 'o3<b>' || p_size ELSE 'gemini-' || p_size || '-2025-01-02' END"
-
-
-@query(rf"""WITH m AS (SELECT {LABEL_TEXT} AS label FROM part), c AS (SELECT regexp_replace(substr(lower(trim(regexp_replace(regexp_replace(label, '[\x00-\x1f\x7f<>\\/`]', ' ', 'g'), '\s+', ' ', 'g'))), 1, 160), '-(?:\d{{8}}|\d{{4}}-\d{{2}}-\d{{2}})$', '') AS clean FROM m)
-  SELECT CASE WHEN regexp_matches(clean, '^(?:claude|gpt|o\d|codex|gemini|composer|auto)(?:[a-z0-9._: -]*)$') THEN clean ELSE 'Unrecognized AI version' END AS model, count(*) AS records FROM c GROUP BY ALL""")
-def model_label_sanitise(t: Tables) -> DataFrame:
-    kind, size = F.col("p_partkey") % 5, F.col("p_size").cast("string")
-    label = F.when(kind == 0, F.concat(F.lit("Claude-"), size, F.lit("-20250929"))).when(kind == 1, F.concat(F.lit(" GPT-"), size, F.lit("  mini"))).when(kind == 2, F.col("p_name")).when(kind == 3, F.concat(F.lit("o3<b>"), size)).otherwise(F.concat(F.lit("gemini-"), size, F.lit("-2025-01-02")))
-    return t.part.groupBy(sanitize_model_label(label).alias("model")).agg(F.count(F.lit(1)).alias("records"))
-
-
 STATUS = "count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS known, count(*) FILTER (WHERE event_type IN ('click', 'view')) AS estimated, count(*) FILTER (WHERE value < 5) AS covered"
 
 
@@ -97,21 +87,26 @@ def subscription_covered_flag(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_custkey").agg((known & included & (F.sum("o_totalprice") > 0)).alias("covered"), F.bool_and(F.col("o_orderpriority").contains("URGENT")).alias("models_undisclosed"))
 
 
-@query("""SELECT generation, model, count(*) AS records, round(sum(quantity), 4) AS quantity FROM (
-  SELECT 'modern' AS generation, l_shipmode AS model, l_quantity AS quantity FROM (SELECT l_returnflag AS l_shipmode, l_quantity FROM lineitem)
-  UNION ALL SELECT 'daily', event_type, value FROM events UNION ALL SELECT 'legacy', NULL, o_totalprice FROM orders) GROUP BY ALL""")
+def billing_rows(t: Tables) -> list[DataFrame]:
+    """Line items, orders and events as billing exports of three generations, all text as in a file."""
+    text = lambda c: F.col(c).cast("string")
+    sku = F.element_at(F.array(*map(F.lit, ("copilot_premium_request", "copilot_ai_credit", "coding_agent_ai_credit", "copilot_mystery_thing", "<b>odd</b>", "Copilot_AI_Credit ", "seat"))), F.col("l_linenumber"))
+    modern = t.lineitem.select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), sku.alias("sku"), text("l_quantity").alias("quantity"), F.when(F.col("l_returnflag") != "N", F.format_string("$%.2f", F.col("l_tax"))).alias("net_amount"), F.concat(F.lit("Model "), "l_linestatus").alias("model"))
+    legacy = t.orders.select(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.lit("private").alias("user"), F.when(F.col("o_orderstatus") == "P", "<img>").otherwise(F.col("o_orderstatus")).alias("model"), F.lit("0.25").alias("requests used"))
+    daily = t.events.select(F.date_format("ts", "yyyy-MM-dd").alias("date"), F.lit("private").alias("username"), F.col("event_type").alias("model"), text("value").alias("quantity"))
+    return [modern, legacy, daily]
+
+
+@query("""WITH b AS (SELECT 'Model ' || l_linestatus AS model, CASE WHEN l_linenumber = 1 THEN 'requests' WHEN l_linenumber IN (2, 3, 6) THEN 'credits' END AS unit, l_quantity AS quantity, CASE WHEN l_returnflag <> 'N' THEN CAST(printf('%.2f', l_tax) AS DOUBLE) END AS cost FROM lineitem
+  UNION ALL SELECT CASE WHEN o_orderstatus = 'P' THEN 'Unrecognized AI version' ELSE o_orderstatus END, 'requests', 0.25::DOUBLE, NULL FROM orders UNION ALL SELECT event_type, 'requests', value, NULL FROM events)
+  SELECT model, unit, count(*) AS records, round(sum(quantity), 4) AS quantity, round(sum(cost), 4) AS cost, count(*) FILTER (WHERE cost IS NULL) AS missing_cost_rows FROM b WHERE unit IS NOT NULL GROUP BY ALL""")
 def copilot_generations_union(t: Tables) -> DataFrame:
-    """Exports of several generations under one schema; columns that one lacks are null."""
-    modern = t.lineitem.select(F.lit("modern").alias("generation"), F.col("l_returnflag").alias("model"), F.col("l_quantity").alias("quantity"))
-    daily = t.events.select(F.lit("daily").alias("generation"), F.col("event_type").alias("model"), F.col("value").alias("quantity"))
-    legacy = t.orders.select(F.lit("legacy").alias("generation"), F.col("o_totalprice").alias("quantity"))
-    rows = modern.unionByName(daily).unionByName(legacy, allowMissingColumns=True)
-    return rows.groupBy("generation", "model").agg(F.count(F.lit(1)).alias("records"), F.round(F.sum("quantity"), 4).alias("quantity"))
+    """Billing exports of three generations under one schema; older ones have no amounts."""
+    rows = billing_usage(billing_rows(t)).where("counted")
+    return rows.groupBy("model", "unit").agg(F.count(F.lit(1)).alias("records"), F.round(F.sum("quantity"), 4).alias("quantity"), F.round(F.sum("cost"), 4).alias("cost"), F.count_if(F.col("cost").isNull()).alias("missing_cost_rows"))
 
 
-@query("SELECT p_brand AS sku, p_brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21') AS counted, count(*) AS rows FROM part GROUP BY ALL")
+@query("SELECT CASE l_linenumber WHEN 4 THEN 'copilot_mystery_thing' WHEN 5 THEN 'b odd b' ELSE 'seat' END AS sku, count(*) AS rows FROM lineitem WHERE l_linenumber IN (4, 5, 7) GROUP BY ALL")
 def sku_exclusion_counts(t: Tables) -> DataFrame:
-    """Rows of unknown SKUs are left out of totals and counted by name."""
-    known = t.spark.createDataFrame([(x,) for x in ("Brand#11", "Brand#12", "Brand#13", "Brand#21")], "sku string").withColumn("counted", F.lit(True))
-    each = t.part.groupBy(F.col("p_brand").alias("sku")).agg(F.count(F.lit(1)).alias("rows"))
-    return each.join(known, "sku", "left").select("sku", F.coalesce("counted", F.lit(False)).alias("counted"), "rows")
+    """Rows of unknown SKUs are left out of totals and counted by a name that is safe to show."""
+    return excluded_skus(billing_usage(billing_rows(t)))

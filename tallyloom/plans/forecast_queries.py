@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.functions.columns import interval_score, multiplicative_error, quantile_of, wilson
+from tallyloom.functions.columns import interval_score, multiplicative_error, quantile_of, wilson, words_of
 from tallyloom.operators.forecast import Priors, blend, calibrate, fit_priors, forecast, forecast_metrics
-from tallyloom.operators.retrieval import average_rank, central_interval, earlier_pairs, nearest, shared_shingles, stability_band, upper_statistic, weighted_median, weighted_similarity
+from tallyloom.operators.ranks import medians, quantiles, ranked_values
+from tallyloom.operators.retrieval import Stability, abstains, average_rank, earlier_moments, first_reaching, latest_in_cells, nearest, recency_median, running_sums, shared_shingles, stability_band, stability_multiplier, weighted_similarity
 from tallyloom.operators.usage import keep_recent
+from tallyloom.operators.vectors import nearest_vectors
 from tallyloom.plans.registry import Tables, query
+from tallyloom.plans.shared import written
 
 TASKS = """tasks AS (SELECT event_id AS task_id, epoch_us(ts) // 1000 AS ts, 'u' || user_id AS project, event_type AS archetype, value AS cost_usd, CAST(json_extract_string(props, '$.k') AS BIGINT) AS turn_count, ln(value) AS y FROM events),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts, task_id) AS rn, count(*) OVER (PARTITION BY project) AS cnt FROM tasks),
@@ -49,7 +52,7 @@ def splits(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     w = W.partitionBy("project")
     rows = tasks(t).withColumns({"rn": F.row_number().over(w.orderBy("ts", "task_id")), "cnt": F.count(F.lit(1)).over(w)})
     a, b = F.floor(F.col("cnt") * 0.6), F.floor(F.col("cnt") * 0.8)
-    rn = F.col("rn")
+    rows, rn = written(rows, "splits"), F.col("rn")
     return tuple(rows.where(c).drop("rn", "cnt") for c in (rn <= a, (rn > a) & (rn <= b), rn > b))
 
 
@@ -96,7 +99,7 @@ def eb_blend_bands(t: Tables) -> DataFrame:
   round(100 * abs(count(*) FILTER (WHERE cost_usd BETWEEN p10 AND p90) / count(*) - 0.8::DOUBLE), 3) AS calibration_gap_pct, round(100 * median(abs(p50 - cost_usd) / cost_usd), 3) AS median_relative_error_pct,
   round(median(abs(ln(cost_usd / p50))), 6) AS median_absolute_log_error, round(median(p90 / p10), 6) AS median_interval_ratio_p90_p10 FROM bands""")
 def forecast_coverage(t: Tables) -> DataFrame:
-    return forecast_metrics(bands(t))
+    return forecast_metrics(written(bands(t), "bands"))
 
 
 @query(f"WITH {QUANTILES} SELECT a.archetype, q.q IS NOT NULL AS own FROM (SELECT DISTINCT archetype FROM tasks) a LEFT JOIN q USING (archetype)")
@@ -114,7 +117,9 @@ SCORE = "(p90 - p10 + 10 * greatest(p10 - cost_usd, 0) + 10 * greatest(cost_usd
 def interval_metrics(t: Tables) -> DataFrame:
     score = interval_score(F.col("p10"), F.col("p90"), F.col("cost_usd"))
     miss = lambda c: F.round(F.avg(c.cast("double")), 6)
-    return bands(t).groupBy("archetype").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 3).alias("interval_score"), miss(F.col("cost_usd") < F.col("p10")).alias("below"), miss(F.col("cost_usd") > F.col("p90")).alias("above"), F.round(F.median(multiplicative_error(F.col("cost_usd"), F.col("p50"))), 5).alias("median_error"))
+    rows = written(bands(t).withColumn("median_error", multiplicative_error(F.col("cost_usd"), F.col("p50"))), "bands")
+    out = rows.groupBy("archetype").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 3).alias("interval_score"), miss(F.col("cost_usd") < F.col("p10")).alias("below"), miss(F.col("cost_usd") > F.col("p90")).alias("above"))
+    return out.join(medians(rows, ["archetype"], ["median_error"]), "archetype").withColumn("median_error", F.round("median_error", 5))
 
 
 W2 = "1.959963984540054::DOUBLE"
@@ -132,8 +137,15 @@ def wilson_interval(t: Tables) -> DataFrame:
   FROM orders GROUP BY GROUPING SETS ((), (o_orderstatus), (o_orderpriority))""")
 def attempt_summary_grouping_sets(t: Tables) -> DataFrame:
     """Overall, by state and by class in one query."""
-    rows = t.orders.withColumnsRenamed({"o_orderstatus": "state", "o_orderpriority": "task_class"})
-    return rows.groupingSets([[], ["state"], ["task_class"]], "state", "task_class").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("o_totalprice") > 100000).alias("paired"), F.round(F.avg("o_totalprice"), 4).alias("mean_usd"), F.round(F.median("o_totalprice"), 4).alias("median_usd"), F.count_distinct("o_custkey").alias("participants"))
+    none = F.lit(None).cast("string")
+    level = lambda n, state, task_class: F.struct(F.lit(n).alias("level"), state.alias("state"), task_class.alias("task_class"))
+    sets = F.array(level(0, none, none), level(1, F.col("o_orderstatus"), none), level(2, none, F.col("o_orderpriority")))
+    rows, keys = t.orders.select(F.explode(sets).alias("g"), "o_totalprice", "o_custkey").select("g.*", "o_totalprice", "o_custkey"), ["level", "state", "task_class"]
+    by_one = rows.groupBy(*keys, "o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") > 100000).alias("p"), F.sum("o_totalprice").alias("usd"))  # so that participants are counted without a set
+    out = by_one.groupBy(*keys).agg(F.sum("n").alias("attempts"), F.sum("p").alias("paired"), F.round(F.sum("usd") / F.sum("n"), 4).alias("mean_usd"), F.count("o_custkey").alias("participants"))
+    middle = medians(rows, keys, ["o_totalprice"]).withColumnsRenamed({k: f"m_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys]
+    return out.join(middle, same[0] & same[1] & same[2]).select("state", "task_class", "attempts", "paired", "mean_usd", F.round("o_totalprice", 4).alias("median_usd"), "participants")
 
 
 @query("WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS n FROM events) SELECT CASE WHEN rn <= floor(n * 0.55::DOUBLE) THEN 'fit' WHEN rn <= floor(n * 0.55::DOUBLE) + floor(n * 0.2::DOUBLE) THEN 'calibration' WHEN rn <= floor(n * 0.55::DOUBLE) + floor(n * 0.2::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'development' ELSE 'sealed_test' END AS split, count(*) AS n FROM r GROUP BY ALL")
@@ -165,22 +177,35 @@ def duplicate_stats(t: Tables) -> DataFrame:
     return c.agg(F.count(F.lit(1)).alias("unique_texts"), F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("duplicate_rows"), F.max("n").alias("most"))
 
 
-PROMPTS = "prompts AS (SELECT conv_id * 1000 + turn AS task_id, conv_id * 1000 + turn AS ts, role AS project, list_distinct(string_split(lower(text), ' ')) AS sh, text FROM conversations)"
+# Conversation turns stand for prompts: distinct word trigrams, or all words where there are fewer.
+PROMPTS = """turns AS (SELECT conv_id * 1000 + turn AS task_id, conv_id * 1000 + turn AS ts, min(role) AS role, min(text) AS text FROM conversations GROUP BY ALL),
+  worded AS (SELECT *, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM turns),
+  prompts AS (SELECT *, ln(1 + length(text)) AS y, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh FROM worded)"""
+JACCARD = """jac AS (SELECT q.task_id AS q_task_id, c.task_id AS c_task_id, c.ts AS c_ts, c.y AS c_y, CASE WHEN len(q.sh) = 0 OR len(c.sh) = 0 THEN 0 ELSE len(list_intersect(q.sh, c.sh)) / len(list_distinct(list_concat(q.sh, c.sh))) END AS sim
+  FROM prompts q JOIN prompts c ON c.ts < q.ts WHERE q.task_id % 50 = 0), best AS (SELECT *, row_number() OVER (PARTITION BY q_task_id ORDER BY sim DESC, c_ts DESC) AS rank FROM jac WHERE sim > 0)"""
+ASKED = "task_id % 50 = 0"
 
 
 def prompts(t: Tables) -> DataFrame:
-    return t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("task_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ts"), F.col("role").alias("project"), F.array_distinct(F.split(F.lower("text"), " ")).alias("sh"), "text", F.col("conv_id"))
+    each = t.conversations.groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("task_id")).agg(F.min("role").alias("role"), F.min("text").alias("text"))
+    w = words_of(F.col("text"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat_ws(" ", F.slice("w", i, 3)))
+    sh = F.when(F.size("w") == 0, F.array().cast("array<string>")).when(F.size("w") < 3, F.array(F.concat_ws(" ", "w"))).otherwise(F.array_distinct(grams))
+    return each.withColumns({"ts": F.col("task_id"), "y": F.log1p(F.length("text")), "w": w}).withColumn("sh", sh)
 
 
-@query("""WITH p AS (SELECT conv_id, turn AS ts, conv_id * 1000 + turn AS task_id, list_distinct(string_split(lower(text), ' ')) AS sh FROM conversations),
-  j AS (SELECT q.task_id AS q_task_id, c.task_id AS c_task_id, c.ts AS c_ts, len(list_intersect(q.sh, c.sh)) / len(list_distinct(list_concat(q.sh, c.sh))) AS sim FROM p q JOIN p c ON q.conv_id = c.conv_id AND c.ts < q.ts)
-  SELECT q_task_id, rank, c_task_id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY q_task_id ORDER BY sim DESC, c_ts DESC, c_task_id DESC) AS rank FROM j WHERE sim > 0) WHERE rank <= 3""")
-def temporal_knn_jaccard(t: Tables) -> DataFrame:
-    """Three most similar strictly earlier turns of the same conversation, through shared words only."""
-    rows = prompts(t).withColumn("ts", F.col("ts") % 1000)
+def jaccard_pairs(rows: DataFrame) -> DataFrame:
+    """Queries with the strictly earlier prompts that share a trigram, and their similarity; others have none."""
     sizes = rows.select("task_id", F.size("sh").alias("n"))
-    pairs = shared_shingles(rows, ["conv_id"]).join(sizes.withColumnsRenamed({"task_id": "q_task_id", "n": "q_n"}), "q_task_id").join(sizes.withColumnsRenamed({"task_id": "c_task_id", "n": "c_n"}), "c_task_id")
-    return nearest(pairs, F.col("common") / (F.col("q_n") + F.col("c_n") - F.col("common")), 3).select("q_task_id", "rank", "c_task_id", F.round("sim", 6).alias("sim"))
+    pairs = shared_shingles(rows.where(ASKED), rows)
+    pairs = pairs.join(sizes.withColumnsRenamed({"task_id": "q_task_id", "n": "q_n"}), "q_task_id").join(sizes.withColumnsRenamed({"task_id": "c_task_id", "n": "c_n"}), "c_task_id")
+    return pairs.withColumn("jaccard", F.col("common") / (F.col("q_n") + F.col("c_n") - F.col("common")))
+
+
+@query(f"WITH {PROMPTS}, {JACCARD} SELECT q_task_id, rank, c_task_id, round(sim, 6) AS sim FROM best WHERE rank <= 3")
+def temporal_knn_jaccard(t: Tables) -> DataFrame:
+    """Three most similar strictly earlier prompts of the whole history, found through shared trigrams only."""
+    return nearest(jaccard_pairs(prompts(t)), F.col("jaccard"), 3).select("q_task_id", "rank", "c_task_id", F.round("sim", 6).alias("sim"))
 
 
 @query(f"""WITH {TASKS}, r AS (SELECT *, median(y) OVER w AS med, count(*) OVER w AS n FROM tasks WINDOW w AS (PARTITION BY project, archetype, turn_count ORDER BY ts, task_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
@@ -192,26 +217,30 @@ def exact_repeat_median(t: Tables) -> DataFrame:
     return rows.where(F.size("before") > 0).select("task_id", F.size("before").cast("long").alias("n"), F.round(quantile_of(F.col("before"), F.lit(0.5)), 6).alias("med"))
 
 
-@query(f"""WITH {TASKS}, m AS (SELECT project, max(ts) AS last FROM tasks GROUP BY project), w AS (SELECT project, y, pow(0.5::DOUBLE, (last - ts) / 432000000.0::DOUBLE) AS w FROM tasks JOIN m USING (project)),
-  c AS (SELECT project, y, sum(w) OVER (PARTITION BY project ORDER BY y, w ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY project) AS total FROM w) SELECT project, round(min(y), 6) AS weighted_median FROM c WHERE upto >= total / 2 GROUP BY project""")
+HALF_LIFE = 5 * 86_400_000
+DAY = 86_400_000
+RECENCY = f"""past AS (SELECT q.task_id, c.y, pow(0.5::DOUBLE, (q.ts - c.ts) / {HALF_LIFE}.0::DOUBLE) AS w FROM tasks q JOIN tasks c ON c.ts < q.ts WHERE q.task_id % 50 = 0),
+  sums AS (SELECT task_id, y, sum(w) OVER (PARTITION BY task_id ORDER BY y, w ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY task_id) AS total FROM past)"""
+
+
+@query(f"WITH {TASKS}, {RECENCY}, m AS (SELECT task_id, min(y) AS y FROM sums WHERE upto >= total / 2 GROUP BY task_id) SELECT t.task_id, round(m.y, 6) AS recency_median FROM tasks t LEFT JOIN m USING (task_id) WHERE t.task_id % 50 = 0")
 def recency_weighted_median(t: Tables) -> DataFrame:
-    """Half of the weight lies in five days."""
+    """Of all strictly earlier tasks of each query; half of the weight lies in five days."""
     rows = tasks(t).withColumn("y", F.log("cost_usd"))
-    last = rows.groupBy("project").agg(F.max("ts").alias("last"))
-    found = weighted_median(rows.join(last, "project"), ["project"], "y", F.pow(F.lit(0.5), (F.col("last") - F.col("ts")) / 432000000.0))
-    return found.select("project", F.round("weighted_median", 6).alias("weighted_median"))
+    return recency_median(rows.where(ASKED), rows.where("y is not null"), HALF_LIFE, DAY).select("task_id", F.round("recency_median", 6).alias("recency_median"))
 
 
-SIM = "(0.6::DOUBLE * (1 / (1 + abs(ln(1 + q.turn_count) - ln(1 + c.turn_count)))) + 0.4::DOUBLE * CAST(q.archetype = c.archetype AS INT)::DOUBLE)"
-DAY = 86_400_000
-NEAR = f"{TASKS}, j AS (SELECT q.task_id AS q_task_id, c.task_id AS c_task_id, c.ts AS c_ts, c.y AS c_y, q.y AS q_y, {SIM} AS sim FROM tasks q JOIN tasks c ON q.project = c.project AND c.ts < q.ts AND c.ts >= q.ts - {DAY}), n AS (SELECT *, row_number() OVER (PARTITION BY q_task_id ORDER BY sim DESC, c_ts DESC, c_task_id DESC) AS rank FROM j)"
+SIM = "round(0.6::DOUBLE * (1 / (1 + abs(ln(1 + q.turn_count) - ln(1 + c.turn_count)))) + 0.4::DOUBLE * CAST(q.archetype = c.archetype AS INT)::DOUBLE, 9)"
+NEAR = f"{TASKS}, j AS (SELECT q.task_id AS q_task_id, c.task_id AS c_task_id, c.ts AS c_ts, c.y AS c_y, q.y AS q_y, {SIM} AS sim FROM tasks q JOIN tasks c ON c.ts < q.ts WHERE q.task_id % 50 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY q_task_id ORDER BY sim DESC, c_ts DESC, c_task_id DESC) AS rank FROM j)"
 
 
 def neighbours(t: Tables, k: int) -> DataFrame:
-    """Within a day before, by weighted similarity."""
-    rows = tasks(t).withColumns({"y": F.log("cost_usd"), "ntok": F.col("turn_count")})
-    pairs = earlier_pairs(rows, ["project"], ["archetype", "ntok", "y"], horizon=DAY)
-    return nearest(pairs, weighted_similarity({"ntok": 0.6, "arch": 0.4}), k)
+    """The k most similar of all strictly earlier tasks: similarity depends on archetype and turns alone, so the latest k of each such cell are enough."""
+    rows = tasks(t).select("task_id", "ts", "archetype", F.col("turn_count").alias("ntok"), F.log("cost_usd").alias("y"))
+    asked = rows.where(ASKED)
+    pairs = latest_in_cells(rows, asked, ["archetype", "ntok"], k, DAY)
+    own = asked.select(F.col("task_id").alias("q_task_id"), F.col("archetype").alias("q_archetype"), F.col("ntok").alias("q_ntok"), F.col("y").alias("q_y"))
+    return nearest(pairs.join(own, "q_task_id"), F.round(weighted_similarity({"ntok": 0.6, "arch": 0.4}), 9), k)
 
 
 @query(f"WITH {NEAR} SELECT q_task_id, c_task_id, rank, round(sim, 6) AS sim FROM n WHERE rank <= 3")
@@ -219,125 +248,200 @@ def weighted_similarity_topk(t: Tables) -> DataFrame:
     return neighbours(t, 3).select("q_task_id", "c_task_id", "rank", F.round("sim", 6).alias("sim"))
 
 
-@query(f"""WITH {NEAR}, g AS (SELECT q_task_id, count(*) AS n, round(median(c_y), 6) AS mu, coalesce(stddev_samp(c_y), 0) AS s FROM n WHERE rank <= 5 GROUP BY q_task_id), a AS (SELECT stddev_samp(y) AS prior FROM tasks)
-  SELECT q_task_id, n, mu, CASE WHEN n < 2 THEN 'unknown' WHEN s / prior > 1.5::DOUBLE THEN 'unstable' WHEN s / prior < 0.75::DOUBLE THEN 'stable' ELSE 'mid' END AS band FROM g CROSS JOIN a""")
-def neighbour_stability_bands(t: Tables) -> DataFrame:
-    prior = tasks(t).agg(F.stddev_samp(F.log("cost_usd")).alias("prior"))  # one row
-    g = neighbours(t, 5).groupBy("q_task_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("c_y"), 6).alias("mu"), F.coalesce(F.stddev_samp("c_y"), F.lit(0.0)).alias("s"))
-    return g.crossJoin(F.broadcast(prior)).select("q_task_id", "n", "mu", stability_band(F.col("s"), F.col("prior"), F.col("n")).alias("band"))
+FLOOR = 0.22
+STAGES = f"""{PROMPTS}, {JACCARD}, same AS (SELECT q.task_id, c.y, row_number() OVER (PARTITION BY q.task_id ORDER BY c.ts DESC) AS r FROM prompts q JOIN prompts c ON c.ts < q.ts AND lower(c.text) = lower(q.text) WHERE q.task_id % 50 = 0),
+  exact AS (SELECT task_id, median(y) AS mu, coalesce(stddev_samp(y), 0) AS s, count(*) AS n FROM same WHERE r <= 3 GROUP BY task_id),
+  analogy AS (SELECT q_task_id AS task_id, median(c_y) AS mu, coalesce(stddev_samp(c_y), 0) AS s, count(*) AS n FROM best WHERE rank <= 3 GROUP BY q_task_id HAVING max(sim) >= {FLOOR}::DOUBLE),
+  past AS (SELECT q.task_id, c.y, pow(0.5::DOUBLE, (q.ts - c.ts) / 50000.0::DOUBLE) AS w FROM prompts q JOIN prompts c ON c.ts < q.ts WHERE q.task_id % 50 = 0),
+  sums AS (SELECT task_id, y, sum(w) OVER (PARTITION BY task_id ORDER BY y, w ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY task_id) AS total FROM past),
+  recent AS (SELECT task_id, min(y) FILTER (WHERE upto >= total / 2) AS mu, count(*) AS history, coalesce(stddev_samp(y), 0) AS s FROM sums GROUP BY task_id),
+  staged AS (SELECT p.task_id, p.role, p.ts, CASE WHEN e.n IS NOT NULL THEN 'exact' WHEN a.n IS NOT NULL THEN 'analogy' WHEN r.history IS NOT NULL THEN 'recency' ELSE 'none' END AS source, coalesce(e.mu, a.mu, r.mu) AS mu, CASE WHEN e.n IS NOT NULL THEN e.s WHEN a.n IS NOT NULL THEN a.s ELSE r.s END AS s,
+    coalesce(e.n, a.n, CASE WHEN r.history IS NOT NULL THEN 1 END, 0) AS n, coalesce(r.history, 0) AS history FROM prompts p LEFT JOIN exact e USING (task_id) LEFT JOIN analogy a USING (task_id) LEFT JOIN recent r USING (task_id) WHERE p.task_id % 50 = 0)"""
+
+
+def staged(t: Tables) -> DataFrame:
+    """What is known of each query before it runs: exact repeats, else analogies, else the history's recency-weighted median; strictly earlier prompts only."""
+    rows = prompts(t)
+    asked = rows.where(ASKED).select("task_id", "ts", "role", F.sha2(F.lower("text"), 256).alias("ph"))
+    spread = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
+    c = rows.select(F.sha2(F.lower("text"), 256).alias("ph"), F.col("ts").alias("c_ts"), F.col("y").alias("c_y"))
+    latest = F.row_number().over(W.partitionBy("task_id").orderBy(F.desc("c_ts")))
+    exact = asked.join(c, "ph").where("c_ts < ts").withColumn("r", latest).where("r <= 3").groupBy("task_id").agg(F.median("c_y").alias("e_mu"), spread("c_y").alias("e_s"), F.count(F.lit(1)).alias("e_n"))
+    near = nearest(jaccard_pairs(rows), F.col("jaccard"), 3).join(rows.select(F.col("task_id").alias("c_task_id"), F.col("y").alias("c_y")), "c_task_id")
+    analogy = near.groupBy(F.col("q_task_id").alias("task_id")).agg(F.median("c_y").alias("a_mu"), spread("c_y").alias("a_s"), F.count(F.lit(1)).alias("a_n"), F.max("sim").alias("best")).where(F.col("best") >= FLOOR)
+    recent = recency_median(asked, rows, 50_000.0, 1000)
+    moments = earlier_moments(asked, rows, 1000)
+    out = asked.join(exact, "task_id", "left").join(analogy, "task_id", "left").join(recent, "task_id", "left").join(moments, "task_id", "left")
+    e, a, h = F.col("e_n").isNotNull(), F.col("a_n").isNotNull(), F.col("history") > 0
+    source = F.when(e, "exact").when(a, "analogy").when(h, "recency").otherwise("none")
+    s = F.when(e, F.col("e_s")).when(a, F.col("a_s")).otherwise(F.col("history_s"))
+    return out.select("task_id", "role", "ts", source.alias("source"), F.coalesce("e_mu", "a_mu", "recency_median").alias("mu"), s.alias("s"), F.coalesce("e_n", "a_n", F.when(h, 1), F.lit(0)).alias("n"), "history")
+
+
+@query(f"WITH {STAGES} SELECT task_id, source, round(mu, 6) AS mu, round(s, 5) AS s, n, history FROM staged")
+def retrieval_three_stage(t: Tables) -> DataFrame:
+    return staged(t).select("task_id", "source", F.round("mu", 6).alias("mu"), F.round("s", 5).alias("s"), "n", "history")
 
 
-@query(f"""WITH {NEAR}, x AS (SELECT project, archetype, turn_count, task_id, median(y) OVER (PARTITION BY project, archetype, turn_count ORDER BY ts, task_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS med FROM tasks),
-  a AS (SELECT q_task_id, median(c_y) AS med FROM n WHERE rank <= 3 AND sim >= 0.5::DOUBLE GROUP BY q_task_id), f AS (SELECT median(y) AS med FROM tasks)
-  SELECT x.task_id, CASE WHEN x.med IS NOT NULL THEN 'exact' WHEN a.med IS NOT NULL THEN 'analogy' ELSE 'fallback' END AS source, round(coalesce(x.med, a.med, f.med), 6) AS mu FROM x LEFT JOIN a ON a.q_task_id = x.task_id CROSS JOIN f""")
-def retrieval_three_stage(t: Tables) -> DataFrame:
-    """Exact repeats, else analogies above a floor, else the corpus median."""
-    w = W.partitionBy("project", "archetype", "turn_count").orderBy("ts", "task_id").rowsBetween(-3, -1)
-    exact = tasks(t).select("task_id", F.array_sort(F.collect_list(F.log("cost_usd")).over(w)).alias("before"))
-    analogy = neighbours(t, 3).where("sim >= 0.5").groupBy(F.col("q_task_id").alias("task_id")).agg(F.median("c_y").alias("analogy"))
-    fallback = tasks(t).agg(F.median(F.log("cost_usd")).alias("fallback"))  # one row
-    med = quantile_of(F.col("before"), F.lit(0.5))
-    source = F.when(F.size("before") > 0, "exact").when(F.col("analogy").isNotNull(), "analogy").otherwise("fallback")
-    mu = F.when(F.size("before") > 0, med).otherwise(F.coalesce("analogy", "fallback"))
-    return exact.join(analogy, "task_id", "left").crossJoin(F.broadcast(fallback)).select("task_id", source.alias("source"), F.round(mu, 6).alias("mu"))
+@query(f"""WITH {STAGES}, cut AS (SELECT (max(task_id) // 1000 + 1) // 2 * 1000 AS bound FROM prompts), prior AS (SELECT role, stddev_samp(y) AS s_p FROM prompts WHERE ts < (SELECT bound FROM cut) GROUP BY role),
+  d AS (SELECT g.*, CASE WHEN n >= 2 AND s > 0 AND s_p > 0 THEN s / s_p END AS ratio FROM staged g LEFT JOIN prior USING (role) WHERE ts >= (SELECT bound FROM cut)),
+  b AS (SELECT *, CASE WHEN source NOT IN ('exact', 'analogy') THEN 'no-analogy' WHEN ratio IS NULL THEN 'unknown' WHEN ratio >= 1.5::DOUBLE THEN 'unstable' WHEN ratio <= 0.75::DOUBLE THEN 'stable' ELSE 'mid' END AS band FROM d)
+  SELECT task_id, source, n, band, CASE band WHEN 'stable' THEN 1.0::DOUBLE WHEN 'mid' THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END AS multiplier, history < 30 OR band IN ('no-analogy', 'unknown', 'unstable') AS abstains FROM b""")
+def neighbour_stability_bands(t: Tables) -> DataFrame:
+    """Whether a neighbourhood is tight enough against its role's prior, which the earlier half of the prompts gives."""
+    rows = prompts(t)
+    cut = (rows.agg(F.max("task_id")).first()[0] // 1000 + 1) // 2 * 1000
+    prior = rows.where(F.col("ts") < cut).groupBy("role").agg(F.stddev_samp("y").alias("s_p"))
+    p = Stability(abstain=True)
+    band = stability_band(F.col("s"), F.col("s_p"), F.col("n"), F.col("source").isin("exact", "analogy"), p)
+    out = staged(t).where(F.col("ts") >= cut).join(prior, "role", "left").withColumn("band", band)
+    return out.select("task_id", "source", "n", "band", stability_multiplier(F.col("band"), p).alias("multiplier"), abstains(F.col("band"), F.col("history"), 30, p).alias("abstains"))
 
 
-RESIDUALS = f"{NEAR}, p AS (SELECT q_task_id, any_value(q_y) AS y, median(c_y) AS mu, coalesce(stddev_samp(c_y), 0) AS s FROM n WHERE rank <= 3 GROUP BY q_task_id), r AS (SELECT t.archetype, t.ts, p.y - p.mu AS r, s FROM p JOIN tasks t ON t.task_id = p.q_task_id)"
+PREDICTED = f"""{NEAR}, p AS (SELECT q_task_id AS task_id, any_value(q_y) AS y, median(c_y) AS mu, sum(1 - sim) AS density FROM n WHERE rank <= 3 GROUP BY q_task_id), cut AS (SELECT quantile_cont(ts, 0.8) AS bound FROM tasks WHERE task_id % 50 = 0),
+  all_ AS (SELECT p.*, archetype, ts, ts <= (SELECT bound FROM cut) AS first FROM p JOIN tasks USING (task_id)), known AS (SELECT *, y - mu AS r FROM all_ WHERE first), dev AS (SELECT * FROM all_ WHERE NOT first)"""
 
 
-def residuals(t: Tables) -> DataFrame:
-    p = neighbours(t, 3).groupBy(F.col("q_task_id").alias("task_id")).agg(F.max("q_y").alias("y"), F.median("c_y").alias("mu"), F.coalesce(F.stddev_samp("c_y"), F.lit(0.0)).alias("s"))
-    return tasks(t).select("task_id", "archetype", "ts").join(p, "task_id").select("archetype", "ts", (F.col("y") - F.col("mu")).alias("r"), "s")
+def predicted(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Predictions of the queries by three neighbours: the first 80 % by time for calibration, and those to come."""
+    near = neighbours(t, 3).groupBy(F.col("q_task_id").alias("task_id")).agg(F.max("q_y").alias("y"), F.median("c_y").alias("mu"), F.sum(1 - F.col("sim")).alias("density"))
+    asked = tasks(t).where(ASKED).select("task_id", "archetype", "ts")
+    cut = quantiles(asked, [], "ts", {"cut": 0.8}).select("cut")
+    rows = written(asked.join(near, "task_id").crossJoin(F.broadcast(cut)), "predicted")  # cut: one row
+    return rows.where("ts <= cut").withColumn("r", F.col("y") - F.col("mu")), rows.where("ts > cut")
 
 
 def _at(n: str) -> str:
     return f"list_sort(list(x))[CAST(least(greatest({n}, 1), count(*)) AS INT)]"
 
 
-@query(f"WITH {RESIDUALS}, s AS (SELECT archetype, abs(r) AS x FROM r) SELECT archetype, round({_at('ceil((count(*) + 1) * 0.8::DOUBLE)')}, 6) AS half_width FROM s GROUP BY archetype")
+UPPER = {"q": lambda n: F.ceil((n + 1) * F.lit(0.8))}
+
+
+@query(f"WITH {PREDICTED}, s AS (SELECT abs(r) AS x FROM known), q AS (SELECT {_at('ceil((count(*) + 1) * 0.8::DOUBLE)')} AS q FROM s) SELECT task_id, round(mu - q, 6) AS lo, round(mu + q, 6) AS hi FROM dev CROSS JOIN q")
 def symmetric_band(t: Tables) -> DataFrame:
-    each = residuals(t).groupBy("archetype").agg(F.array_sort(F.collect_list(F.abs("r"))).alias("x"))
-    return each.select("archetype", F.round(upper_statistic(F.col("x"), 0.8), 6).alias("half_width"))
+    cal, dev = predicted(t)
+    q = ranked_values(cal.select(F.abs("r").alias("x")), [], "x", UPPER).select("q")
+    return dev.crossJoin(F.broadcast(q)).select("task_id", F.round(F.col("mu") - F.col("q"), 6).alias("lo"), F.round(F.col("mu") + F.col("q"), 6).alias("hi"))  # q: one row
 
 
-@query(f"WITH {RESIDUALS}, s AS (SELECT archetype, r AS x FROM r) SELECT archetype, round({_at('floor((count(*) + 1) * 0.1::DOUBLE)')}, 6) AS low, round({_at('ceil((count(*) + 1) * 0.9::DOUBLE)')}, 6) AS high FROM s GROUP BY archetype")
-def local_asymmetric_band(t: Tables) -> DataFrame:
-    each = residuals(t).groupBy("archetype").agg(F.array_sort(F.collect_list("r")).alias("x"))
-    low, high = central_interval(F.col("x"), 0.2)
-    return each.select("archetype", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+LEAST_STRATUM = 20
 
 
-@query(f"WITH {RESIDUALS}, s AS (SELECT archetype, abs(r) / (s + 0.1::DOUBLE) AS x FROM r) SELECT archetype, round({_at('ceil((count(*) + 1) * 0.8::DOUBLE)')}, 5) AS scale FROM s GROUP BY archetype")
+@query(f"""WITH {PREDICTED}, s AS (SELECT archetype, r AS x FROM known UNION ALL SELECT NULL, r FROM known), g AS (SELECT archetype, count(*) AS n, {_at('floor((count(*) + 1) * 0.1::DOUBLE)')} AS low, {_at('ceil((count(*) + 1) * 0.9::DOUBLE)')} AS high FROM s GROUP BY archetype)
+  SELECT task_id, CASE WHEN o.n >= 20 THEN d.archetype ELSE 'all' END AS stratum, round(mu + least(0, CASE WHEN o.n >= 20 THEN o.low ELSE a.low END), 6) AS lo, round(mu + greatest(0, CASE WHEN o.n >= 20 THEN o.high ELSE a.high END), 6) AS hi
+  FROM dev d LEFT JOIN g o ON o.archetype = d.archetype CROSS JOIN (SELECT * FROM g WHERE archetype IS NULL) a""")
+def local_asymmetric_band(t: Tables) -> DataFrame:
+    """Residuals of the task's own archetype if it has twenty, else of all."""
+    cal, dev = predicted(t)
+    ranks = {"low": lambda n: F.floor((n + 1) * F.lit(0.1)), "high": lambda n: F.ceil((n + 1) * F.lit(0.9))}
+    strata = ranked_values(cal.select("archetype", "r"), ["archetype"], "r", ranks).where(F.col("n") >= LEAST_STRATUM)
+    everything = ranked_values(cal.select("r"), [], "r", ranks).select(F.col("low").alias("all_low"), F.col("high").alias("all_high"))
+    rows = dev.join(strata, "archetype", "left").crossJoin(F.broadcast(everything))  # one row
+    low, high = F.coalesce("low", "all_low"), F.coalesce("high", "all_high")
+    stratum = F.when(F.col("n").isNotNull(), F.col("archetype")).otherwise("all")
+    return rows.select("task_id", stratum.alias("stratum"), F.round(F.col("mu") + F.least(F.lit(0.0), low), 6).alias("lo"), F.round(F.col("mu") + F.greatest(F.lit(0.0), high), 6).alias("hi"))
+
+
+@query(f"""WITH {PREDICTED}, m AS (SELECT median(density) AS m FROM known), s AS (SELECT abs(r) / (1 + density / m) AS x FROM known CROSS JOIN m), q AS (SELECT {_at('ceil((count(*) + 1) * 0.8::DOUBLE)')} AS q FROM s)
+  SELECT task_id, round(mu - q * (1 + density / m), 5) AS lo, round(mu + q * (1 + density / m), 5) AS hi FROM dev CROSS JOIN q CROSS JOIN m""")
 def distance_normalised_band(t: Tables) -> DataFrame:
-    each = residuals(t).groupBy("archetype").agg(F.array_sort(F.collect_list(F.abs("r") / (F.col("s") + 0.1))).alias("x"))
-    return each.select("archetype", F.round(upper_statistic(F.col("x"), 0.8), 5).alias("scale"))
+    """Wider where neighbours are far, against the median distance of the calibration tasks."""
+    cal, dev = predicted(t)
+    m = quantiles(cal, [], "density", {"m": 0.5}).select("m")
+    far = 1 + F.col("density") / F.col("m")
+    q = ranked_values(cal.crossJoin(F.broadcast(m)).select((F.abs("r") / far).alias("x")), [], "x", UPPER).select("q")  # one row each
+    half = F.col("q") * far
+    return dev.crossJoin(F.broadcast(m)).crossJoin(F.broadcast(q)).select("task_id", F.round(F.col("mu") - half, 5).alias("lo"), F.round(F.col("mu") + half, 5).alias("hi"))
 
 
-@query(f"""WITH {RESIDUALS}, m AS (SELECT archetype, max(ts) AS last FROM r GROUP BY archetype), w AS (SELECT archetype, abs(r) AS x, pow(0.5::DOUBLE, (last - ts) / 432000000.0::DOUBLE) AS w FROM r JOIN m USING (archetype)),
-  c AS (SELECT archetype, x, sum(w) OVER (PARTITION BY archetype ORDER BY x, w ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY archetype) + 1 AS total FROM w) SELECT archetype, round(coalesce(min(x) FILTER (WHERE upto >= 0.8::DOUBLE * total), 'Infinity'::DOUBLE), 6) AS q FROM c GROUP BY archetype""")
+@query(f"""WITH {PREDICTED}, w AS (SELECT d.task_id, abs(r) AS x, pow(0.5::DOUBLE, (d.ts - c.ts) / {HALF_LIFE}.0::DOUBLE) AS w FROM dev d CROSS JOIN known c), c AS (SELECT *, sum(w) OVER (PARTITION BY task_id ORDER BY x, w ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY task_id) + 1 AS total FROM w)
+  SELECT task_id, round(coalesce(min(x) FILTER (WHERE upto >= 0.8::DOUBLE * total), 'Infinity'::DOUBLE), 6) AS half_width FROM c GROUP BY task_id""")
 def recency_conformal_band(t: Tables) -> DataFrame:
-    """Residual quantile by recency weights, the task to come counting 1; infinite if the history weighs too little."""
-    rows = residuals(t)
-    rows = rows.join(rows.groupBy("archetype").agg(F.max("ts").alias("last")), "archetype").select("archetype", F.abs("r").alias("x"), F.pow(F.lit(0.5), (F.col("last") - F.col("ts")) / 432000000.0).alias("w"))
-    own = W.partitionBy("archetype")
-    c = rows.withColumns({"upto": F.sum("w").over(own.orderBy("x", "w").rowsBetween(W.unboundedPreceding, 0)), "total": F.sum("w").over(own) + 1})
-    return c.groupBy("archetype").agg(F.round(F.coalesce(F.min(F.when(F.col("upto") >= 0.8 * F.col("total"), F.col("x"))), F.lit(float("inf"))), 6).alias("q"))
+    """For each task the residual quantile by recency weights, the task itself counting 1; infinite if the history weighs too little.
 
+    Weights of all tasks differ by a common factor, so one running sum over the
+    calibration tasks serves them all: the task's own 1 is divided by its factor.
+    """
+    cal, dev = predicted(t)
+    last = cal.agg(F.max("ts").alias("last"))
+    rows = cal.crossJoin(F.broadcast(last)).select(F.abs("r").alias("x"), F.pow(F.lit(0.5), (F.col("last") - F.col("ts")) / float(HALF_LIFE)).alias("w"))  # one row
+    sums = running_sums(rows, "x", "w")
+    asked = dev.crossJoin(F.broadcast(last)).select("task_id", F.pow(F.lit(0.5), (F.col("ts") - F.col("last")) / float(HALF_LIFE)).alias("factor"))
+    return first_reaching(asked, sums, 0.8).select("task_id", F.round(F.coalesce("x", F.lit(float("inf"))), 6).alias("half_width"))
 
-@query(f"""WITH {NEAR}, b AS (SELECT q_task_id, any_value(q_y) AS y, quantile_cont(c_y, 0.1) AS lo, quantile_cont(c_y, 0.9) AS hi FROM n WHERE rank <= 20 GROUP BY q_task_id), s AS (SELECT archetype, greatest(lo - b.y, b.y - hi) AS x FROM b JOIN tasks t ON t.task_id = b.q_task_id)
-  SELECT archetype, round({_at('ceil((count(*) + 1) * 0.8::DOUBLE)')}, 5) AS correction FROM s GROUP BY archetype""")
+
+@query(f"""WITH {PREDICTED}, b AS (SELECT q_task_id AS task_id, quantile_cont(c_y, 0.1) AS low, quantile_cont(c_y, 0.9) AS high FROM n WHERE rank <= 20 GROUP BY q_task_id), s AS (SELECT greatest(low - y, y - high) AS x FROM known JOIN b USING (task_id)), q AS (SELECT {_at('ceil((count(*) + 1) * 0.8::DOUBLE)')} AS q FROM s)
+  SELECT task_id, round(low - q, 5) AS lo, round(high + q, 5) AS hi FROM dev JOIN b USING (task_id) CROSS JOIN q""")
 def cqr_band(t: Tables) -> DataFrame:
-    """Conformal correction of the neighbours' own quantiles."""
-    b = neighbours(t, 20).groupBy(F.col("q_task_id").alias("task_id")).agg(F.max("q_y").alias("y"), F.percentile("c_y", 0.1).alias("lo"), F.percentile("c_y", 0.9).alias("hi"))
-    each = b.join(tasks(t).select("task_id", "archetype"), "task_id").groupBy("archetype").agg(F.array_sort(F.collect_list(F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi")))).alias("x"))
-    return each.select("archetype", F.round(upper_statistic(F.col("x"), 0.8), 5).alias("correction"))
+    """Conformal correction of twenty neighbours' own quantiles."""
+    cal, dev = predicted(t)
+    b = neighbours(t, 20).groupBy(F.col("q_task_id").alias("task_id")).agg(F.percentile("c_y", 0.1).alias("low"), F.percentile("c_y", 0.9).alias("high"))
+    b = written(b, "neighbour-quantiles")
+    q = ranked_values(cal.join(b, "task_id").select(F.greatest(F.col("low") - F.col("y"), F.col("y") - F.col("high")).alias("x")), [], "x", UPPER).select("q")
+    return dev.join(b, "task_id").crossJoin(F.broadcast(q)).select("task_id", F.round(F.col("low") - F.col("q"), 5).alias("lo"), F.round(F.col("high") + F.col("q"), 5).alias("hi"))  # q: one row
 
 
-@query("""WITH d AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT dim, median(x) AS med, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM d GROUP BY dim),
-  a AS (SELECT d.dim, any_value(med) AS med, any_value(iqr) AS iqr, 1.4826::DOUBLE * median(abs(x - med)) AS mad FROM d JOIN m ON m.dim = d.dim GROUP BY d.dim)
-  SELECT CAST(dim AS INT) AS dim, round(med, 6) AS med, round(CASE WHEN mad > 1e-12::DOUBLE THEN mad ELSE iqr / 1.349::DOUBLE END, 6) AS scale FROM a""")
-def robust_scaler(t: Tables) -> DataFrame:
-    """Median and scaled MAD of every dimension, the quartile range where the MAD is nothing."""
+SCALED = """d AS (SELECT unnest(range(1, len(embedding) + 1)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT dim, median(x) AS med, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM d GROUP BY dim),
+  a AS (SELECT d.dim, any_value(med) AS med, any_value(iqr) AS iqr, 1.4826::DOUBLE * median(abs(x - med)) AS mad FROM d JOIN m ON m.dim = d.dim GROUP BY d.dim), scaler AS (SELECT dim, med, CASE WHEN mad > 1e-12::DOUBLE THEN mad ELSE iqr / 1.349::DOUBLE END AS scale FROM a)"""
+
+
+def scaler(t: Tables) -> DataFrame:
+    """dim (from 1), med, scale, active: scaled MAD of every dimension, the quartile range where the MAD is nothing."""
     d = t.embeddings.select(F.posexplode("embedding").alias("dim", "x")).select((F.col("dim") + 1).alias("dim"), F.col("x").cast("double").alias("x"))
-    m = d.groupBy("dim").agg(F.median("x").alias("med"), (F.percentile("x", 0.75) - F.percentile("x", 0.25)).alias("iqr"))
-    a = d.join(m, "dim").groupBy("dim").agg(F.max("med").alias("med"), F.max("iqr").alias("iqr"), (1.4826 * F.median(F.abs(F.col("x") - F.col("med")))).alias("mad"))
-    return a.select("dim", F.round("med", 6).alias("med"), F.round(F.when(F.col("mad") > 1e-12, F.col("mad")).otherwise(F.col("iqr") / 1.349), 6).alias("scale"))
+    m = quantiles(d, ["dim"], "x", {"med": 0.5, "low": 0.25, "high": 0.75})
+    mad = quantiles(d.join(m.select("dim", "med"), "dim").select("dim", F.abs(F.col("x") - F.col("med")).alias("off")), ["dim"], "off", {"mad": 0.5}).drop("n")
+    scale = F.when(1.4826 * F.col("mad") > 1e-12, 1.4826 * F.col("mad")).otherwise((F.col("high") - F.col("low")) / 1.349)
+    return m.join(mad, "dim").select("dim", "med", scale.alias("scale"), (scale > 1e-12).alias("active"))
 
 
-def _vector_sql(distance: str) -> str:
-    return f"""WITH v AS (SELECT vec_id, label, vec_id // 32 AS slot, embedding::DOUBLE[] AS e FROM embeddings), j AS (SELECT q.vec_id AS q_task_id, c.vec_id AS c_task_id, {distance} AS d FROM v q JOIN v c ON q.slot = c.slot AND c.vec_id < q.vec_id)
-      SELECT q_task_id, c_task_id, rank, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY q_task_id ORDER BY d, c_task_id DESC) AS rank FROM j) WHERE rank <= 3"""
+@query(f"WITH {SCALED} SELECT CAST(dim AS INT) AS dim, round(med, 6) AS med, round(scale, 6) AS scale, scale > 1e-12::DOUBLE AS active FROM scaler")
+def robust_scaler(t: Tables) -> DataFrame:
+    """Dimensions without any spread are inactive."""
+    return scaler(t).select("dim", F.round("med", 6).alias("med"), F.round("scale", 6).alias("scale"), "active")
 
 
-def vector_pairs(t: Tables) -> DataFrame:
-    """Vectors with the earlier ones of their time slot."""
-    v = t.embeddings.select(F.col("vec_id").alias("task_id"), F.col("vec_id").alias("ts"), F.expr("vec_id div 32").alias("slot"), F.col("embedding").cast("array<double>").alias("e"))
-    return earlier_pairs(v, ["slot"], ["e"])
+def _vector_sql(of_delta: str, whole: str) -> str:
+    return f"""WITH {SCALED}, s AS (SELECT list(scale ORDER BY dim) AS sc FROM scaler), v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sc, list_filter(range(1, len(sc) + 1), lambda i: sc[i] > 1e-12::DOUBLE) AS active FROM embeddings CROSS JOIN s),
+      j AS (SELECT q.vec_id AS q_task_id, c.vec_id AS c_task_id, list_sum(list_transform(q.active, lambda i: {of_delta.format(d='abs((q.e[i] - c.e[i]) / q.sc[i])')})) / len(q.active) AS mean FROM v q JOIN v c ON c.vec_id < q.vec_id WHERE q.vec_id % 50 = 0)
+      SELECT q_task_id, c_task_id, CAST(rank AS INT) AS rank, round({whole}, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY q_task_id ORDER BY mean, c_task_id DESC) AS rank FROM j) WHERE rank <= 3"""
 
 
-def _distance(power: int):
-    return F.aggregate(F.zip_with("q_e", "c_e", lambda a, b: F.abs(a - b) if power == 1 else (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+def vector_neighbours(t: Tables, kind: str) -> DataFrame:
+    """All strictly earlier vectors are candidates; vec_id stands for the time."""
+    rows = t.embeddings.select(F.col("vec_id").alias("task_id"), F.col("vec_id").alias("ts"), F.col("embedding").cast("array<double>").alias("v"))
+    scales = [r.scale for r in scaler(t).orderBy("dim").collect()]  # a row a dimension
+    found = nearest_vectors(rows, ASKED, scales, kind)
+    return found.select("q_task_id", "c_task_id", "rank", F.round("distance", 6).alias("distance"))
 
 
-@query(_vector_sql("list_sum(list_transform(range(1, len(q.e) + 1), lambda i: abs(q.e[i] - c.e[i])))"))
+@query(_vector_sql("{d}", "mean"))
 def manhattan_knn(t: Tables) -> DataFrame:
-    near = nearest(vector_pairs(t), -_distance(1), 3)
-    return near.select("q_task_id", "c_task_id", "rank", F.round(-F.col("sim"), 6).alias("distance"))
+    return vector_neighbours(t, "manhattan")
 
 
-@query(_vector_sql("sqrt(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i]))))"))
+@query(_vector_sql("{d} * {d}", "sqrt(mean)"))
 def euclidean_knn(t: Tables) -> DataFrame:
-    near = nearest(vector_pairs(t), -F.sqrt(_distance(2)), 3)
-    return near.select("q_task_id", "c_task_id", "rank", F.round(-F.col("sim"), 6).alias("distance"))
+    return vector_neighbours(t, "euclidean")
 
 
-VOTES = f"{TASKS}, j AS (SELECT q.task_id AS q_task_id, c.task_id AS c_task_id, c.ts AS c_ts, abs(q.turn_count - c.turn_count) AS d1, CAST(q.archetype <> c.archetype AS INT) AS d2 FROM tasks q JOIN tasks c ON q.project = c.project AND c.ts < q.ts AND c.ts >= q.ts - {DAY})"
+VOTES = f"""{PROMPTS}, feat AS (SELECT *, len(w) AS words, CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0 END AS uniq, CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^0-9]', '', 'g')) / length(text) ELSE 0 END AS digits FROM prompts),
+  v AS (SELECT q.task_id AS q_task_id, c.task_id AS c_task_id, c.ts AS c_ts, -CASE WHEN len(q.sh) = 0 OR len(c.sh) = 0 THEN 0 ELSE len(list_intersect(q.sh, c.sh)) / len(list_distinct(list_concat(q.sh, c.sh))) END AS d1, round(abs(ln(1 + q.words) - ln(1 + c.words)), 9) AS d2, round(abs(q.uniq - c.uniq), 9) AS d3, round(abs(q.digits - c.digits), 9) AS d4, CAST(q.role <> c.role AS INT) AS d5
+    FROM feat q JOIN feat c ON c.ts < q.ts WHERE q.task_id % 50 = 0)"""
+_RANKS = " + ".join(f"rank() OVER (PARTITION BY q_task_id ORDER BY d{i}) + (count(*) OVER (PARTITION BY q_task_id, d{i}) - 1) / 2.0::DOUBLE" for i in range(1, 6))
 
 
-@query(f"""WITH {VOTES}, r AS (SELECT *, (rank() OVER (PARTITION BY q_task_id ORDER BY d1) + (count(*) OVER (PARTITION BY q_task_id, d1) - 1) / 2.0::DOUBLE + rank() OVER (PARTITION BY q_task_id ORDER BY d2) + (count(*) OVER (PARTITION BY q_task_id, d2) - 1) / 2.0::DOUBLE) / 2 AS borda FROM j)
-  SELECT q_task_id, c_task_id, rank, round(borda, 4) AS borda FROM (SELECT *, row_number() OVER (PARTITION BY q_task_id ORDER BY borda, c_ts DESC, c_task_id DESC) AS rank FROM r) WHERE rank <= 3""")
+@query(f"""WITH {VOTES}, r AS (SELECT *, ({_RANKS}) / 5 AS borda FROM v)
+  SELECT q_task_id, c_task_id, CAST(rank AS INT) AS rank, round(borda, 4) AS borda FROM (SELECT *, row_number() OVER (PARTITION BY q_task_id ORDER BY borda, c_ts DESC) AS rank FROM r) WHERE rank <= 3""")
 def borda_rank(t: Tables) -> DataFrame:
-    """Mean of two voters' ranks."""
-    pairs = earlier_pairs(tasks(t), ["project"], ["archetype", "turn_count"], horizon=DAY).withColumns({"d1": F.abs(F.col("q_turn_count") - F.col("c_turn_count")), "d2": (F.col("q_archetype") != F.col("c_archetype")).cast("int")})
-    pairs = pairs.withColumn("borda", (average_rank(["q_task_id"], "d1") + average_rank(["q_task_id"], "d2")) / 2)
+    """Mean rank by five voters: trigrams, words, unique words, digits and project, over all strictly earlier prompts of each query."""
+    digits = F.length(F.regexp_replace("text", "[^0-9]", "")) / F.length("text")
+    rows = prompts(t).select("task_id", "ts", "role", F.size("w").alias("words"), F.coalesce(F.try_divide(F.size(F.array_distinct("w")).cast("double"), F.size("w")), F.lit(0.0)).alias("uniq"), F.when(F.length("text") > 0, digits).otherwise(0.0).alias("digits"))
+    q, c = (rows.select(*(F.col(x).alias(f"{side}_{x}") for x in rows.columns)) for side in "qc")
+    alike = jaccard_pairs(prompts(t)).select("q_task_id", "c_task_id", "jaccard")
+    pairs = q.where("q_task_id % 50 = 0").join(c, F.col("c_ts") < F.col("q_ts")).join(alike, ["q_task_id", "c_task_id"], "left")  # the stated queries against all rows
+    gap = lambda x: F.round(F.abs(F.col(f"q_{x}") - F.col(f"c_{x}")), 9)
+    pairs = pairs.select("q_task_id", "c_task_id", "c_ts", (-F.coalesce("jaccard", F.lit(0.0))).alias("d1"), F.round(F.abs(F.log1p("q_words") - F.log1p("c_words")), 9).alias("d2"), gap("uniq").alias("d3"), gap("digits").alias("d4"), (F.col("q_role") != F.col("c_role")).cast("int").alias("d5"))
+    voters = [average_rank(["q_task_id"], f"d{i}") for i in range(1, 6)]
+    pairs = pairs.withColumn("borda", sum(voters[1:], voters[0]) / 5)
     return nearest(pairs, -F.col("borda"), 3).select("q_task_id", "c_task_id", "rank", F.round("borda", 4).alias("borda"))

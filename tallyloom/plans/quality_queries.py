@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.archetypes import archetype
 from tallyloom.functions.columns import TOKEN_BUCKETS, bucket_of, fnv1a, month_of, token_estimate, words_of
 from tallyloom.operators.conversations import best_snapshots, visible_branch
+from tallyloom.operators.ranks import numbered
 from tallyloom.operators.rules import closed_keys, histogram_feasible, violations
 from tallyloom.operators.usage import session_rollup, session_starts, usage_by
 from tallyloom.plans.registry import Tables, query
@@ -76,7 +77,8 @@ def reconcile_by_model(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {SESSIONS} SELECT (SELECT count(*) FROM sessions) AS sessions, (SELECT count(*) FROM sessions WHERE first_day IS NOT NULL) AS starts, CAST((SELECT sum(tokens) FROM sessions) AS BIGINT) AS tokens,
-  CAST((SELECT sum(CAST(trunc(value * 10) AS BIGINT)) FROM events) AS BIGINT) AS monthly_tokens, true AS agrees""")
+  CAST((SELECT sum(CAST(trunc(value * 10) AS BIGINT)) FROM events) AS BIGINT) AS monthly_tokens, (SELECT sum(tokens) FROM sessions) = (SELECT sum(CAST(trunc(value * 10) AS BIGINT)) FROM events)
+  AND (SELECT count(*) FROM sessions) = (SELECT count(*) FROM sessions WHERE first_day IS NOT NULL) AS agrees""")
 def reconcile_timeline(t: Tables) -> DataFrame:
     sessions = session_rollup(session_records(t))
     months = session_records(t).groupBy(month_of(F.col("day")).alias("period")).agg(F.sum("tokens").alias("tokens"))
@@ -131,13 +133,14 @@ def retention_state_fold(t: Tables) -> DataFrame:
     return d.select("user_id", "n", state.alias("state"), first.alias("asked_first"))
 
 
-@query("""WITH f AS (SELECT user_id, min((ts, event_id)) AS first FROM events WHERE value > 0 GROUP BY user_id), p AS (SELECT user_id, 'project_' || lpad(CAST(row_number() OVER (ORDER BY first) AS VARCHAR), 3, '0') AS project FROM f)
+@query("""WITH f AS (SELECT user_id, min((ts, event_id)) AS first FROM events WHERE value > 0 GROUP BY user_id), p AS (SELECT user_id, 'project_' || lpad(CAST(n AS VARCHAR), CAST(greatest(length(CAST(n AS VARCHAR)), 3) AS INTEGER), '0') AS project FROM (SELECT user_id, row_number() OVER (ORDER BY first) AS n FROM f))
   SELECT event_id, project, event_type AS archetype, value AS cost_usd, row_number() OVER (PARTITION BY project ORDER BY ts, event_id) AS position FROM events JOIN p USING (user_id) WHERE value > 0""")
 def sanitised_corpus(t: Tables) -> DataFrame:
     """Priced tasks without content: projects by first appearance, positions within them."""
     rows = t.events.where("value > 0")
     first = rows.groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("first"))
-    names = first.select("user_id", F.concat(F.lit("project_"), F.lpad(F.row_number().over(W.orderBy("first")).cast("string"), 3, "0")).alias("project"))
+    first = numbered(first.select("user_id", F.col("first.ts").alias("ts"), F.col("first.event_id").alias("event_id")), ["ts", "event_id"], "n")
+    names = first.select("user_id", F.concat(F.lit("project_"), F.expr("lpad(cast(n as string), greatest(length(cast(n as string)), 3), '0')")).alias("project"))
     position = F.row_number().over(W.partitionBy("project").orderBy("ts", "event_id"))
     return rows.join(names, "user_id").select("event_id", "project", F.col("event_type").alias("archetype"), F.col("value").alias("cost_usd"), position.alias("position"))
 

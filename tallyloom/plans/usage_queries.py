@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.functions.columns import ELAPSED_MINUTES, RECORD_BUCKETS, TOKEN_BUCKETS, bucket_of, in_bucket, month_of, total_tokens
+from tallyloom.functions.columns import ELAPSED_MINUTES, RECORD_BUCKETS, TOKEN_BUCKETS, WORKFLOW_SHAPES, bucket_of, in_bucket, month_of, total_tokens
 from tallyloom.operators.components import shared_identities
+from tallyloom.operators.ranks import numbered
 from tallyloom.operators.usage import counter_deltas, dedup_calls, forward_fill, session_rollup, session_starts, usage_by
 from tallyloom.plans.registry import Tables, query
 from tallyloom.plans.shared import shared_folder
@@ -86,14 +87,10 @@ def session_rollups(t: Tables) -> DataFrame:
     return session_rollup(session_records(t))
 
 
-def _case(c: str, buckets: tuple, half_open: bool = False) -> str:
-    whens = [f"WHEN {c} >= {low}" + (f" AND {c} {'<' if half_open else '<='} {high}" if high is not None else "") + f" THEN '{name}'" for name, low, high in buckets]
-    return "CASE " + " ".join(whens) + " END"
-
-
-@query(f"""WITH {SESSIONS} SELECT 'records' AS histogram, {_case('records', RECORD_BUCKETS)} AS bucket, count(*) AS sessions FROM sessions GROUP BY ALL
-  UNION ALL SELECT 'tokens', {_case('tokens', TOKEN_BUCKETS)}, count(*) FROM sessions GROUP BY ALL
-  UNION ALL SELECT 'elapsed', {_case('(last_ms - first_ms) / 60000.0::DOUBLE', ELAPSED_MINUTES, True)}, count(*) FROM sessions GROUP BY ALL""")
+@query(f"""WITH {SESSIONS}, m AS (SELECT records, tokens, (last_ms - first_ms) / 60000.0::DOUBLE AS minutes FROM sessions)
+  SELECT 'records' AS histogram, CASE WHEN records = 1 THEN 'one' WHEN records <= 4 THEN 'two_to_four' WHEN records <= 19 THEN 'five_to_nineteen' ELSE 'twenty_plus' END AS bucket, count(*) AS sessions FROM m GROUP BY ALL
+  UNION ALL SELECT 'tokens', CASE WHEN tokens < 10000 THEN 'under_10k' WHEN tokens < 50000 THEN 'ten_to_49k' WHEN tokens < 200000 THEN 'fifty_to_199k' WHEN tokens < 1000000 THEN 'two_hundred_to_999k' ELSE 'one_million_plus' END, count(*) FROM m GROUP BY ALL
+  UNION ALL SELECT 'elapsed', CASE WHEN minutes < 10 THEN 'under_10m' WHEN minutes < 60 THEN 'ten_to_59m' WHEN minutes < 240 THEN 'one_to_3h' WHEN minutes < 720 THEN 'four_to_11h' ELSE 'twelve_h_plus' END, count(*) FROM m GROUP BY ALL""")
 def session_histograms(t: Tables) -> DataFrame:
     """The three histograms of sessions in one pass over the roll-up."""
     minutes = (F.col("last_ms") - F.col("first_ms")) / 60000
@@ -105,11 +102,12 @@ def session_histograms(t: Tables) -> DataFrame:
     return rows.groupBy("histogram", "bucket").agg(F.count(F.lit(1)).alias("sessions"))
 
 
-@query(f"WITH {SESSIONS} SELECT " + ", ".join(f"CAST(count(*) FILTER (WHERE records >= {low}{'' if high is None else f' AND records <= {high}'}) AS BIGINT) AS {name}" for name, low, high in RECORD_BUCKETS) + " FROM sessions")
+@query(f"""WITH {SESSIONS} SELECT count(*) FILTER (WHERE records = 1) AS single_exchange, count(*) FILTER (WHERE records BETWEEN 2 AND 4) AS short_multi_exchange,
+  count(*) FILTER (WHERE records BETWEEN 5 AND 19) AS sustained, count(*) FILTER (WHERE records >= 20) AS high_iteration FROM sessions""")
 def workflow_shape(t: Tables) -> DataFrame:
     """Zero-filled counts of one-shot to long sessions."""
     sessions = session_rollup(session_records(t))
-    return sessions.agg(*(F.count_if(in_bucket(F.col("records"), low, high)).alias(name) for name, low, high in RECORD_BUCKETS))
+    return sessions.agg(*(F.count_if(in_bucket(F.col("records"), low, high)).alias(name) for name, low, high in WORKFLOW_SHAPES))
 
 
 @query(f"WITH {CALLS} SELECT coalesce(substr(day, 1, 7), 'undated') AS period, {SUMS}, count(DISTINCT day) AS active_days, {TOTAL} FROM calls GROUP BY ALL")
@@ -182,11 +180,12 @@ def semi_rate_models(t: Tables) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT user_id, min(epoch_us(ts) // 1000) AS first_ms, min_by(event_id, (ts, event_id)) AS first_id FROM events GROUP BY user_id)
-  SELECT user_id, 'project_' || lpad(CAST(row_number() OVER (ORDER BY first_ms, first_id) AS VARCHAR), 3, '0') AS label FROM f""")
+  SELECT user_id, 'project_' || lpad(CAST(n AS VARCHAR), CAST(greatest(length(CAST(n AS VARCHAR)), 3) AS INTEGER), '0') AS label FROM (SELECT user_id, row_number() OVER (ORDER BY first_ms, first_id) AS n FROM f)""")
 def first_seen_labels(t: Tables) -> DataFrame:
-    """Projects are named in the order they are first seen; only one row a project is ordered globally."""
+    """Projects are named in the order they are first seen, numbered range by range."""
     first = t.events.groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("first"))
-    return first.select("user_id", F.concat(F.lit("project_"), F.lpad(F.row_number().over(W.orderBy("first")).cast("string"), 3, "0")).alias("label"))
+    first = numbered(first.select("user_id", F.col("first.ts").alias("ts"), F.col("first.event_id").alias("event_id")), ["ts", "event_id"], "n")
+    return first.select("user_id", F.concat(F.lit("project_"), F.expr("lpad(cast(n as string), greatest(length(cast(n as string)), 3), '0')")).alias("label"))
 
 
 @query("""WITH g AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.columns import sanitize_model_label, strict_money
+from tallyloom.functions.columns import is_hostile, retained_label, safe_label, strict_money, trimmed
 
-# Columns of the exports, and billing units that are counted.
+# Columns of the exports.
 EDITOR = {"date": "date", "kind": "kind", "model": "model", "input (w/ cache write)": "with_write", "input (w/o cache write)": "without_write", "cache read": "cache_read", "output tokens": "output", "total tokens": "total", "cost": "cost"}
 BILLING_KINDS = {
     "modern": {"date", "product", "sku", "quantity", "net_amount", "model"},
     "legacy": {"timestamp", "user", "model", "requests used"},
     "daily": {"date", "username", "model", "quantity"},
 }
-COUNTED_UNITS = ("ai-credits", "requests", "premium-requests")
+# SKUs that are counted, with what a row's quantity is of.
+COUNTED_SKUS = {"copilot_premium_request": "requests", "copilot_ai_credit": "credits", "coding_agent_ai_credit": "credits"}
+BILLING_JSON = (
+    "timePeriod struct<year: int, month: int, day: int>, usageItems array<struct<product: string, sku: string, model: string, unitType: string, pricePerUnit: double,"
+    " grossQuantity: double, grossAmount: double, discountQuantity: double, discountAmount: double, netQuantity: double, netAmount: double>>"
+)
 TREE = "array<struct<id: string, title: string, current_node: string, default_model_slug: string, mapping: map<string, struct<id: string, parent: string, message: struct<author: struct<role: string>, content: struct<content_type: string, parts: array<string>>>>>>>"
 FLAT = "array<struct<uuid: string, name: string, chat_messages: array<struct<sender: string, text: string, content: struct<text: string>>>>>"
 
@@ -42,7 +49,10 @@ def one_kind(kinds: set[str]) -> str:
 
 
 def editor_usage(rows: DataFrame) -> DataFrame:
-    """Calls of an editor's CSV with the class of each row's charge: included, not_charged (a recorded 0), charged, unreadable (missing)."""
+    """Calls of an editor's CSV with the class of each row's charge: included, not_charged (a recorded 0), charged, unreadable (missing).
+
+    An included row keeps an amount that its cost cell has.
+    """
     count = lambda c: F.replace(F.trim(c), F.lit(","), F.lit("")).try_cast("long")
     named = rows.select(*(F.col(f"`{c}`").alias(n) for c, n in EDITOR.items() if c in rows.columns))
     kind = F.lower(F.trim(F.coalesce(F.col("kind"), F.lit("")))) if "kind" in named.columns else F.lit("")
@@ -50,34 +60,49 @@ def editor_usage(rows: DataFrame) -> DataFrame:
     money = strict_money(F.col("cost"))
     charge = F.when(kind.startswith("included") | (cell == "included"), "included").when(kind.startswith("errored") | kind.startswith("aborted") | cell.isin("-", "free"), "not_charged").when(money >= 0, "charged").otherwise("unreadable")
     return named.select(
-        F.substring(F.trim("date"), 1, 10).alias("day"), F.when(F.col("date").rlike(r"T\d{2}"), F.substring(F.trim("date"), 1, 13)).alias("hour"), sanitize_model_label(F.col("model")).alias("model"),
+        F.substring(F.trim("date"), 1, 10).alias("day"), F.when(F.col("date").rlike(r"T\d{2}"), F.substring(F.trim("date"), 1, 13)).alias("hour"), retained_label(F.col("model")).alias("model"),
         count(F.col("without_write")).alias("input_tokens"), (count(F.col("with_write")) - count(F.col("without_write"))).alias("cache_write_input_tokens"), count(F.col("cache_read")).alias("cache_read_input_tokens"),
-        count(F.col("output")).alias("output_tokens"), charge.alias("charge"), F.when(charge == "charged", money).when(charge == "not_charged", 0.0).alias("cost"),
+        count(F.col("output")).alias("output_tokens"), charge.alias("charge"), F.when(charge.isin("charged", "included") & (money >= 0), money).when(charge == "not_charged", 0.0).alias("cost"),
     )
 
 
 def billing_usage(files: list[DataFrame]) -> DataFrame:
-    """Rows of billing CSVs of any generation under one schema: day, model, unit, quantity, cost and whether the unit is counted."""
+    """Rows of billing CSVs of any generation: day, model, sku, unit (requests or credits), quantity, cost and whether the row is counted.
+
+    A SKU decides what a row counts; rows of others are not counted and keep
+    their SKU's name, made safe.  Older generations have requests only and no
+    amounts.  Labels that aren't known stay, without a cost if they aren't safe.
+    """
     parts = []
     for rows in files:
         have = set(rows.columns)
         pick = lambda *names: F.coalesce(*(F.col(f"`{n}`") for n in names if n in have), F.lit(None).cast("string"))  # noqa: B023, E731
-        unit = F.lower(pick("sku")) if "sku" in have else F.lit("requests")
-        parts.append(rows.select(F.substring(pick("date", "timestamp"), 1, 10).alias("day"), sanitize_model_label(pick("model")).alias("model"), unit.alias("unit"), pick("quantity", "requests used").try_cast("double").alias("quantity"), strict_money(pick("net_amount")).alias("cost")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.withColumn("counted", F.col("unit").isin(*COUNTED_UNITS))
+        sku = F.lower(trimmed(pick("sku"))) if "sku" in have else F.lit("copilot_premium_request")
+        parts.append(rows.select(F.substring(pick("date", "timestamp"), 1, 10).alias("day"), pick("model").alias("label"), sku.alias("sku"), pick("quantity", "requests used").try_cast("double").alias("quantity"), strict_money(pick("net_amount")).alias("amount")))
+    out = reduce(DataFrame.unionByName, parts)
+    unit = F.create_map(*(F.lit(x) for pair in COUNTED_SKUS.items() for x in pair))[F.col("sku")]
+    cost = F.when(~F.coalesce(is_hostile(F.col("label")), F.lit(False)) & (F.col("amount") >= 0), F.col("amount"))
+    return out.select("day", retained_label(F.col("label")).alias("model"), safe_label(F.col("sku")).alias("sku"), unit.alias("unit"), "quantity", cost.alias("cost"), unit.isNotNull().alias("counted"))
+
+
+def billing_items(spark: SparkSession, path: str) -> DataFrame:
+    """The same from saved JSON of the billing service: net quantities before gross ones."""
+    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", BILLING_JSON).alias("j"))
+    rows = whole.select("j.timePeriod", F.inline("j.usageItems"))
+    unit = F.create_map(*(F.lit(x) for pair in COUNTED_SKUS.items() for x in pair))[F.regexp_replace(F.lower(F.regexp_replace("sku", " ", "_")), "s$", "")]
+    day = F.when(F.col("timePeriod.day").isNotNull(), F.format_string("%04d-%02d-%02d", "timePeriod.year", "timePeriod.month", "timePeriod.day"))
+    cost = F.when(F.col("netAmount") >= 0, F.col("netAmount"))
+    return rows.select(day.alias("day"), retained_label(F.col("model")).alias("model"), safe_label(F.col("sku")).alias("sku"), unit.alias("unit"), F.coalesce("netQuantity", "grossQuantity").alias("quantity"), cost.alias("cost"), unit.isNotNull().alias("counted"))
 
 
-def excluded_units(rows: DataFrame) -> DataFrame:
-    return rows.where("not counted").groupBy("unit").agg(F.count(F.lit(1)).alias("rows"))
+def excluded_skus(rows: DataFrame) -> DataFrame:
+    return rows.where("not counted").groupBy("sku").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def console_usage(rows: DataFrame) -> DataFrame:
     """A console's CSV: rows without usage and cost are left out, a negative cost is missing."""
     cost = strict_money(F.col("cost_usd")) if "cost_usd" in rows.columns else F.lit(None).cast("double")
-    out = rows.select(sanitize_model_label(F.col("model")).alias("model"), F.col("input_tokens").try_cast("long").alias("input_tokens"), F.col("output_tokens").try_cast("long").alias("output_tokens"), F.when(cost >= 0, cost).alias("cost"))
+    out = rows.select(retained_label(F.col("model")).alias("model"), F.col("input_tokens").try_cast("long").alias("input_tokens"), F.col("output_tokens").try_cast("long").alias("output_tokens"), F.when(cost >= 0, cost).alias("cost"))
     return out.where("coalesce(input_tokens, 0) + coalesce(output_tokens, 0) > 0 or cost is not null")
 
 

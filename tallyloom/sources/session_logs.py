@@ -1,7 +1,7 @@
 """Session logs: JSON lines of assistant calls, and rollouts with cumulative counters.
 
-Files are read whole and split in their tasks, so that lines keep their
-numbers; a folder that isn't there gives an empty table.
+Files are read by lines, in as many tasks as their size needs; a folder that
+isn't there gives an empty table.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import FALLBACK_MODEL, MAX_COUNT, sanitize_model_label
+from tallyloom.operators.ranks import numbered
 from tallyloom.operators.usage import dedup_calls
 
 #: Longer lines are counted and not parsed.
@@ -22,17 +23,20 @@ ROLLOUT = f"timestamp string, type string, payload struct<id: string, model: str
 
 
 def jsonl_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, line_no, line) of all .jsonl files below a folder, in any case; a trailing CR is taken off."""
+    """(file, line_no, line) of all .jsonl files below a folder, in any case; a trailing CR is taken off.
+
+    Files are split between tasks. line_no is (start of the split, number within
+    the task), which orders the lines of a file.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]").option("lineSep", "\n")
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        lines = reader.text(folder)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "file string, line_no long, line string")
-    files = files.where(F.lower("path").endswith(".jsonl"))
-    text = F.decode("content", "UTF-8")
-    lines = files.select(F.col("path").alias("file"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return lines.select("file", F.col("line_no").cast("long").alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line")).where(F.trim("line") != "")
+        return spark.createDataFrame([], "file string, line_no struct<start: long, row: long>, line string")
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return lines.select(F.col("_metadata.file_path").alias("file"), place.alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line")).where(F.trim("line") != "")
 
 
 def _coerced_count(v: Column, path: str) -> Column:
@@ -107,3 +111,17 @@ def rollout_usage(lines: DataFrame) -> DataFrame:
         "file", "line_no", "model", "repeated", "reset", (F.col("used_input_tokens") - F.col("used_cached_input_tokens")).alias("input_tokens"), F.lit(0).cast("long").alias("cache_write_input_tokens"),
         F.col("used_cached_input_tokens").alias("cache_read_input_tokens"), F.col("used_output_tokens").alias("output_tokens"), F.col("used_reasoning_output_tokens").alias("reasoning_output_tokens"), F.lit(1).cast("long").alias("usage_records"),
     )
+
+
+def cleaned_rows(calls: DataFrame) -> DataFrame:
+    """Calls without ids or text: session_number (sessions in the order of their first line), day, model and counters; repeats within a session are one."""
+    rows = unique_calls(calls, within_session=True)
+    named = calls.where("status = 'call'").groupBy("session_id").agg(F.min(F.struct("file", "line_no")).alias("first"))
+    named = numbered(named.select("session_id", F.col("first.file").alias("file"), F.col("first.line_no").alias("line_no")), ["file", "line_no"], "session_number")
+    return rows.join(named.select("session_id", "session_number"), rows["session_id"].eqNullSafe(named["session_id"])).select("session_number", "day", "model", *CALL_COUNTERS)
+
+
+def default_roots(home: str, source: str) -> list[str]:
+    """Where a source keeps its logs below a home folder."""
+    folders = {"claude_code": [".claude/projects"], "codex": [".codex/sessions", ".codex/archived_sessions"]}  # fixed values
+    return [f"{home.rstrip('/')}/{x}" for x in folders[source]]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.archetypes import archetype
 from tallyloom.functions.columns import COUNTERS, sanitize_model_label, strict_money, valid_calendar_day, wilson
 from tallyloom.operators.conversations import visible_branch
-from tallyloom.sources.exports import billing_usage, console_usage, csv_kind, editor_usage, excluded_units, flat_conversations, one_kind, read_csv, tree_conversations
+from tallyloom.sources.exports import billing_items, billing_usage, console_usage, csv_kind, editor_usage, excluded_skus, flat_conversations, one_kind, read_csv, tree_conversations
 from tallyloom.sources.sinks import cost_cell, report_document, write_new_json
 from tallyloom.streaming.usage import _drained, counter_delta_stream
 
@@ -17,11 +17,11 @@ def column(spark, values, f):
 
 
 def test_scalar_functions(spark):
-    assert column(spark, ["$1,234.50", "USD 3", " 2.5 usd", "US$ 7", "-4", ".5", "1,23", "abc", "", "$", "$1 000", "1e5", None], strict_money) == [1234.5, 3, 2.5, 7, -4, 0.5, None, None, None, None, None, None, None]
-    assert column(spark, ["Claude-4-5-Haiku-20251001", "evil<script>", "GPT-5  mini"], sanitize_model_label) == ["claude-4-5-haiku", "Unrecognized AI version", "gpt-5 mini"]
+    assert column(spark, ["$1,234.50", "USD 3", " 2.5 usd", "US$ 7", "-4", ".5", "1,23", "abc", "", "$", "$1 000", "1e5", None, "\t$5\n"], strict_money) == [1234.5, 3, 2.5, 7, -4, 0.5, None, None, None, None, None, None, None, 5]
+    assert column(spark, ["Claude-4-5-Haiku-20251001", "evil<script>", "GPT-5  mini", "GPT-5-mini", "claude alice smith payroll", "deepseek-v3-chat", "a" * 200], sanitize_model_label) == ["claude-4-5-haiku", "Unrecognized AI version", "Unrecognized AI version", "gpt-5-mini", "Unrecognized AI version", "deepseek-v3-chat", "Unrecognized AI version"]
     assert column(spark, ["2024-02-29", "2023-02-29", "0000-02-29", "2024-13-01", "x", None], valid_calendar_day) == [True, False, True, False, False, False]
-    probes = ["Fix the crash in login", "what is this?", "build a new app from scratch", "", "hello there", "Refactor a.py b.py c.py", "practice exam answer key"]
-    assert column(spark, probes, archetype) == ["debug_fix", "qa_short", "build_new", "misc", "misc", "multi_file_refactor", "exam_solver"]
+    probes = ["Fix the crash in login", "what is this?", "build a new app from scratch", "", "hello there", "Refactor a.py b.py c.py", "practice exam answer key", "the login page works, right?\n"]
+    assert column(spark, probes, archetype) == ["debug_fix", "qa_short", "build_new", "misc", "misc", "multi_file_refactor", "exam_solver", "qa_short"]
     low, high = wilson(F.lit(5), F.lit(10))
     r = spark.range(1).select(low.alias("a"), high.alias("b")).first()
     assert (round(r.a, 8), round(r.b, 8)) == (0.23659309, 0.76340691)
@@ -33,13 +33,19 @@ def test_editor_billing_and_console_csv(spark, tmp_path):
     assert csv_kind(rows.columns) == "editor"
     got = [(r.model, r.input_tokens, r.cache_write_input_tokens, r.charge, r.cost, r.hour) for r in editor_usage(rows).collect()]
     assert got == [("auto", 1000, 200, "included", None, "2026-01-02T03"), ("claude-4.5-sonnet", 1500, 0, "charged", 1.95, None), ("gpt-5", 100, 0, "not_charged", 0.0, None), ("gpt-5", 1, 0, "unreadable", None, None)]
-    (tmp_path / "b.csv").write_text("date,product,sku,quantity,net_amount,model\n2026-01-01,x,ai-credits,100.5,$1.00,gpt-5\n2026-01-01,x,seat,3,$9.00,\n")
+    (tmp_path / "b.csv").write_text("date,product,sku,quantity,unit_type,net_amount,model\n2026-06-02,copilot,copilot_premium_request,12,requests,0.40,Claude Sonnet 4.5\n2026-06-02,copilot,copilot_ai_credit,250.5,ai-credits,2.505,Claude Opus 4.6\n2026-06-03,copilot,coding_agent_ai_credit,40,ai-credits,0.4,GPT-5.2\n2026-06-03,copilot,copilot_mystery_thing,5,ai-credits,0.05,Claude Opus 4.6\n2026-06-04,copilot,copilot_ai_credit,1,ai-credits,0.01,<img src=x>\n")
     (tmp_path / "l.csv").write_text('"Timestamp","User","Model","Requests Used"\n2025-01-01T00:00:00Z,u,gpt-4,1.25\n')
     both = [read_csv(spark, str(tmp_path / f)) for f in ("b.csv", "l.csv")]
     assert [csv_kind(b.columns) for b in both] == ["modern", "legacy"]
     usage = billing_usage(both)
-    assert sorted((r.unit, r.quantity, r.cost) for r in usage.where("counted").collect()) == [("ai-credits", 100.5, 1.0), ("requests", 1.25, None)]
-    assert [tuple(r) for r in excluded_units(usage).collect()] == [("seat", 1)]
+    want = [("credits", "Claude Opus 4.6", 250.5, 2.505), ("credits", "GPT-5.2", 40.0, 0.4), ("credits", "Unrecognized AI version", 1.0, None), ("requests", "Claude Sonnet 4.5", 12.0, 0.4), ("requests", "gpt-4", 1.25, None)]
+    assert sorted((r.unit, r.model, r.quantity, r.cost) for r in usage.where("counted").collect()) == want
+    assert [tuple(r) for r in excluded_skus(usage).collect()] == [("copilot_mystery_thing", 1)]
+    items = [{"sku": "Copilot AI Credits", "model": "Auto: Claude Haiku 4.5", "grossQuantity": 120, "netQuantity": 100, "netAmount": 1}, {"sku": "Copilot Mystery Credits", "model": "Claude Haiku 4.5", "grossQuantity": 5, "netQuantity": 5, "netAmount": 0.05}]
+    (tmp_path / "api.json").write_text(json.dumps({"timePeriod": {"year": 2026, "month": 7, "day": 2}, "user": "private", "usageItems": items}))
+    api = billing_items(spark, str(tmp_path / "api.json"))
+    assert [tuple(r) for r in api.where("counted").select("day", "model", "unit", "quantity", "cost").collect()] == [("2026-07-02", "Auto: Claude Haiku 4.5", "credits", 100.0, 1.0)]
+    assert [tuple(r) for r in excluded_skus(api).collect()] == [("Copilot Mystery Credits", 1)]
     (tmp_path / "c.csv").write_text("model,input_tokens,output_tokens,cost_usd\nclaude-x,1,2,-3\nclaude-y,0,0,\n")
     assert [tuple(r) for r in console_usage(read_csv(spark, str(tmp_path / "c.csv"))).collect()] == [("claude-x", 1, 2, None)]
     with pytest.raises(ValueError):
