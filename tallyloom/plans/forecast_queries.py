@@ -343,12 +343,12 @@ def local_asymmetric_band(t: Tables) -> DataFrame:
     return rows.select("task_id", stratum.alias("stratum"), F.round(F.col("mu") + F.least(F.lit(0.0), low), 6).alias("lo"), F.round(F.col("mu") + F.greatest(F.lit(0.0), high), 6).alias("hi"))
 
 
-@query(f"""WITH {PREDICTED}, m AS (SELECT median(density) AS m FROM known), s AS (SELECT abs(r) / (1 + density / m) AS x FROM known CROSS JOIN m), q AS (SELECT {_at('ceil((count(*) + 1) * 0.8::DOUBLE)')} AS q FROM s)
+@query(f"""WITH {PREDICTED}, m AS (SELECT CASE WHEN median(density) > 0 THEN median(density) ELSE 1 END AS m FROM known), s AS (SELECT abs(r) / (1 + density / m) AS x FROM known CROSS JOIN m), q AS (SELECT {_at('ceil((count(*) + 1) * 0.8::DOUBLE)')} AS q FROM s)
   SELECT task_id, round(mu - q * (1 + density / m), 5) AS lo, round(mu + q * (1 + density / m), 5) AS hi FROM dev CROSS JOIN q CROSS JOIN m""")
 def distance_normalised_band(t: Tables) -> DataFrame:
     """Wider where neighbours are far, against the median distance of the calibration tasks."""
     cal, dev = predicted(t)
-    m = quantiles(cal, [], "density", {"m": 0.5}).select("m")
+    m = quantiles(cal, [], "density", {"m": 0.5}).select(F.when(F.col("m") > 0, F.col("m")).otherwise(1.0).alias("m"))
     far = 1 + F.col("density") / F.col("m")
     q = ranked_values(cal.crossJoin(F.broadcast(m)).select((F.abs("r") / far).alias("x")), [], "x", UPPER).select("q")  # one row each
     half = F.col("q") * far

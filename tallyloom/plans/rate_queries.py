@@ -80,11 +80,11 @@ def source_usage(t: Tables) -> DataFrame:
 @query(f"""WITH {LABEL_SQL}, {GROUPS}, r AS (SELECT g.*, label, family, (a * input + b * output + c * input * 1.25::DOUBLE + d * input * 0.1::DOUBLE) / 1e6::DOUBLE AS whole, (ma * input + mb * output) / 1e6::DOUBLE AS part FROM g JOIN labels USING (i))
   SELECT source, label AS model, CASE WHEN source IN ('codex', 'chat', 'chatgpt') THEN NULL ELSE family END AS key,
   round(CASE source WHEN 'claude_code' THEN whole WHEN 'copilot' THEN CASE WHEN cost_rows > 0 THEN recorded END WHEN 'console' THEN CASE WHEN missing > 0 AND part IS NOT NULL THEN CASE WHEN cost_rows > 0 THEN recorded ELSE 0 END + part WHEN cost_rows > 0 THEN recorded END
-    WHEN 'cursor' THEN CASE WHEN missing > 0 AND part IS NOT NULL THEN CASE WHEN cost_rows > 0 THEN recorded ELSE 0 END + part WHEN cost_rows > 0 THEN recorded END END, 4) AS cost,
+    WHEN 'cursor' THEN CASE WHEN missing > 0 AND part IS NOT NULL THEN CASE WHEN cost_rows > 0 THEN recorded ELSE 0 END + part WHEN cost_rows > 0 THEN recorded END END, 8) AS cost,
   CASE source WHEN 'claude_code' THEN family IS NOT NULL WHEN 'copilot' THEN missing = 0 AND cost_rows > 0 WHEN 'console' THEN CASE WHEN missing > 0 THEN family IS NOT NULL ELSE cost_rows > 0 END WHEN 'cursor' THEN CASE WHEN missing > 0 THEN family IS NOT NULL ELSE cost_rows > 0 END ELSE false END AS complete FROM r""")
 def cost_by_source(t: Tables) -> DataFrame:
     """What each source's usage of each model costs, and whether that is all of it."""
-    return resolve_cost(source_usage(t)).select("source", "model", "key", F.round("cost", 4).alias("cost"), "complete")
+    return resolve_cost(source_usage(t)).select("source", "model", "key", F.round("cost", 8).alias("cost"), "complete")
 
 
 @query(f"""WITH {LABEL_SQL}, {GROUPS}, r AS (SELECT * FROM g JOIN labels USING (i) WHERE source = 'codex')
