@@ -99,11 +99,17 @@ def _sketched(p: Decontamination, batches: Iterator[pa.RecordBatch]) -> Iterator
         if not batch.num_rows:
             continue
         cell = np.frombuffer(b"".join(batch.column("cells").to_pylist()), dtype=np.uint32).astype(np.int64)
-        passage = np.repeat(np.arange(batch.num_rows), pc.binary_length(batch.column("cells")).to_numpy() // 4)
+        lengths = pc.binary_length(batch.column("cells")).to_numpy() // 4
+        passage = np.repeat(np.arange(batch.num_rows), lengths)
         random = batch.column("passage").to_numpy().view(U64)  # by content: the same in every attempt
         column, sign = (random % U64(p.sketch)).astype(np.int64), 1.0 - 2.0 * (random >> U64(63)).astype(float)
         total += np.bincount(cell * p.sketch + column[passage], sign[passage], size * p.sketch).astype(np.int64)
-        df += np.bincount(np.unique(passage << p.bits | cell) & size - 1, minlength=size)
+        of_passage = np.full((batch.num_rows, p.passage), size, dtype=np.uint32)
+        of_passage[passage, np.arange(len(cell)) - (np.cumsum(lengths) - lengths)[passage]] = cell
+        of_passage.sort(axis=1)
+        distinct = of_passage < size
+        distinct[:, 1:] &= of_passage[:, 1:] != of_passage[:, :-1]
+        df += np.bincount(of_passage[distinct], minlength=size)
         n += batch.num_rows
     if n:
         rows = size // p.slices
@@ -239,9 +245,11 @@ class Benchmark:
                     v, have = longer, 2 * have
                 window = v[:own] / np.maximum(np.linalg.norm(v[:own], axis=1, keepdims=True), 1e-12)
                 cosine = window @ vectors
-                column, row = np.nonzero(cosine.T >= p.cosine)
+                row, column = np.divmod(np.flatnonzero(cosine >= p.cosine), cosine.shape[1])
                 if not len(row):
                     continue
+                order = np.argsort(column, kind="stable")
+                row, column = row[order], column[order]
                 # Windows of one text and item that follow each other are looked at together, up to `together` of them.
                 apart = (np.diff(column) != 0) | (np.diff(row) != 1) | (np.diff(row // p.together) != 0) | (np.diff(owner[row]) != 0)
                 begin = np.flatnonzero(np.append(True, apart))
