@@ -107,7 +107,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 4096) -> D
     n_tokens) keyed by the SHA-256 of the content and of the tokenizer's file.
     Content is normalised to UTF-8 with null as the empty text, and no further,
     since any other change could change a count.  Of the contents the cache
-    lacks, each is encoded once, however many rows share it, and appended.
+    lacks, each is encoded once, however many documents share it, and appended;
+    rows that repeat doc_id and text alike are each encoded, with the same count.
 
     A null text counts 0 bytes and 0 tokens.  Rows that repeat, or repeat a
     doc_id, each get their own count; further columns are ignored.
