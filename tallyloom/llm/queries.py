@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.byte_bpe import round_trip_digests
+from tallyloom.llm.conversation_trie import conversation_trie
 from tallyloom.llm.decontaminate import contaminated
 from tallyloom.llm.language_id import identify_languages
 from tallyloom.llm.line_dedup import drop_duplicate_lines
@@ -68,6 +69,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(spark, table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations")).drop("preorder", "subtree_end")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -79,10 +84,15 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+#: CRC-32 of a column's decimal digits, bit by bit.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}::VARCHAR, ''), lambda s: list_transform(range(8), lambda i: (ascii(s) >> i) & 1)))),
+    lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"""
+
 #: The others have no SQL form that DuckDB can run; their tests hold them against brute force or libraries.
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": f"""WITH d AS (SELECT doc_id, coalesce({WORDS.format('text')}, []) AS w FROM documents),
@@ -105,4 +115,15 @@ ORACLE_SQL: dict[str, str] = {
   e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
   reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a), m AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a)
   SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(least, doc_id)) AS kept FROM n LEFT JOIN m USING (doc_id)""",
+    "op13_prefix_trie": f"""WITH f AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+  t AS (SELECT conv_id, turn, role, left(text, 64) AS head, sha256(strlen(role) || ':' || role || text) AS k, len({WORDS.format('text')}) AS w FROM f),
+  l AS (SELECT conv_id, list({{k: k, w: w}} ORDER BY turn NULLS FIRST, role, head, k) AS turns FROM t GROUP BY conv_id),
+  c AS (SELECT *, {CRC32.format('conv_id')} % 4 AS h FROM l),
+  p AS (SELECT c.conv_id, list_concat(coalesce(b.turns[1:h], []), c.turns[h + 1:]) AS path FROM c LEFT JOIN l b ON b.conv_id = c.conv_id - c.conv_id % 20),
+  m AS (SELECT conv_id, d, path[1:d] AS node, len(path) = d AS stops FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM p)),
+  n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE stops), '')) AS ends_sha256 FROM m GROUP BY node, d),
+  k AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+  v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * node[d].w ELSE 0 END AS saved FROM n LEFT JOIN k USING (node)),
+  u AS (SELECT node[1:i] AS node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM v) GROUP BY 1)
+  SELECT v.conv_id, v.d AS depth, o.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256 FROM v JOIN u USING (node) LEFT JOIN n o ON o.d = v.d - 1 AND o.node = v.node[1:v.d - 1]""",
 }
