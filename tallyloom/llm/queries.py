@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.byte_bpe import round_trip_digests
 from tallyloom.llm.conversation_trie import conversation_trie
+from tallyloom.llm.covering_simhash import simhash_duplicates
 from tallyloom.llm.decontaminate import contaminated
 from tallyloom.llm.language_id import identify_languages
 from tallyloom.llm.line_dedup import drop_duplicate_lines
@@ -16,6 +17,7 @@ from tallyloom.llm.substring_dedup import parse
 from tallyloom.llm.token_counts import count_tokens
 from tallyloom.llm.top_k import top_k
 from tallyloom.llm.toxicity import fit, score
+from tallyloom.llm.vector_codes import vector_codes, with_label_errors
 from tallyloom.llm.warc import read_archives, write_archives
 
 
@@ -69,6 +71,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_label_errors(vector_codes(table(spark, sf_dir, "embeddings"))).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations")).drop("preorder", "subtree_end")
 
@@ -84,6 +94,8 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_vector_codes": op12_vector_codes,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -93,6 +105,25 @@ WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}::VARCHAR, ''), lambda s: list_transform(range(8), lambda i: (ascii(s) >> i) & 1)))),
     lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"""
 
+
+
+def _lloyd_sql(rounds: int = 4) -> str:
+    """Plain Lloyd rounds: assignment a0 from codebook c0, codebook c1 from its means, and so on."""
+    distance = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT row, p, min((d, k)) AS m FROM (SELECT row, p, k, {distance} AS d FROM parts JOIN c{r} USING (p)) GROUP BY row, p)")
+        if r < rounds:
+            mean = f"SELECT p, k, list(m ORDER BY i) AS y FROM (SELECT p, k, i, CAST(floor(sum(v) / count(*)) AS BIGINT) AS m FROM (SELECT p, m[2] AS k, unnest(x) AS v, unnest(range(len(x))) AS i FROM a{r} JOIN parts USING (row, p)) GROUP BY p, k, i) GROUP BY p, k"
+            steps.append(f"n{r} AS ({mean}), c{r + 1} AS (SELECT p, k, coalesce(n.y, o.y) AS y FROM c{r} o LEFT JOIN n{r} n USING (p, k))")
+    return f"""WITH v AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  parts AS (SELECT row, p, e[len(e) // 4 * p + 1 : len(e) // 4 * (p + 1)] AS x FROM v CROSS JOIN (SELECT unnest(range(4)) AS p)), c0 AS (SELECT p, row - 1 AS k, x AS y FROM parts WHERE row <= 256), {', '.join(steps)},
+  b AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c{rounds}),
+  f AS (SELECT row, string_agg(printf('%02x', m[2]), '' ORDER BY p) AS code, CAST(sum(m[1]) AS BIGINT) AS error FROM a{rounds} GROUP BY row)
+  SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN f USING (row) CROSS JOIN b"""
+
+
 #: The others have no SQL form that DuckDB can run; their tests hold them against brute force or libraries.
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": f"""WITH d AS (SELECT doc_id, coalesce({WORDS.format('text')}, []) AS w FROM documents),
@@ -115,6 +146,7 @@ ORACLE_SQL: dict[str, str] = {
   e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
   reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a), m AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a)
   SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(least, doc_id)) AS kept FROM n LEFT JOIN m USING (doc_id)""",
+    "op12_vector_codes": _lloyd_sql(),
     "op13_prefix_trie": f"""WITH f AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
   t AS (SELECT conv_id, turn, role, left(text, 64) AS head, sha256(strlen(role) || ':' || role || text) AS k, len({WORDS.format('text')}) AS w FROM f),
   l AS (SELECT conv_id, list({{k: k, w: w}} ORDER BY turn NULLS FIRST, role, head, k) AS turns FROM t GROUP BY conv_id),
