@@ -1,9 +1,10 @@
 """Vectorised word and shingle hashing shared by the text operators.
 
 A batch of texts is joined into one UTF-8 buffer and every word is hashed with
-numpy: a polynomial in an odd base modulo 2^64, read off prefix sums, then
-mixed.  The hash of a word depends on its bytes alone, never on its place, so
-hashes computed in different tasks can be compared.
+numpy: blocks of eight bytes from the word's start are mixed with their place
+and summed, then mixed with the length.  The hash of a word depends on its
+bytes alone, never on its place in the buffer, so hashes computed in different
+tasks can be compared.
 """
 
 from __future__ import annotations
@@ -15,9 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-#: Odd base of the polynomial and its inverse modulo 2^64.
+#: Odd base of the polynomial over the hashes of a few words.
 BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes hashed at a time; a longer word is hashed alone.
 BLOCK = 1 << 20
 
@@ -25,6 +25,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: The first one to eight bytes of a block.
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(1, 9)], dtype=U64)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -40,18 +42,6 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(BLOCK + 1, n + 1)
-    if size > BLOCK + 1:  # one very long word: built for it and dropped again
-        return powers(BASE, size), powers(BASE_INV, size)
-    if 0 not in _POW:
-        _POW[0] = (powers(BASE, size), powers(BASE_INV, size))
-    return _POW[0]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit."""
     x = x ^ (x >> U64(30))
@@ -87,23 +77,26 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, none of them empty; another salt gives an independent one."""
     out = np.empty(len(starts), dtype=U64)
+    first, last = mix(np.array([salt, ~salt & 0xFFFFFFFFFFFFFFFF], dtype=U64))
     i = 0
     while i < len(starts):
         lo = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, lo + BLOCK, side="right")))
         part = raw[lo : ends[j - 1]]
-        up, down = _power_tables(len(part))
-        terms = (_LOWER[part] if lower else part).astype(U64)
-        terms += U64(1)
-        terms *= up[: len(part)]
-        sums = np.empty(len(part) + 1, dtype=U64)
-        sums[0] = 0
-        np.cumsum(terms, out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U64))
+        padded = np.zeros(len(part) + 8, dtype=np.uint8)
+        padded[: len(part)] = _LOWER[part] if lower else part
+        at_byte = np.ndarray(shape=(len(part),), dtype="<u8", buffer=padded, strides=(1,))  # eight bytes from each place
+        size = ends[i:j] - starts[i:j]
+        blocks = (size + 7) >> 3
+        begin = np.cumsum(blocks) - blocks
+        within = np.arange(blocks.sum()) - np.repeat(begin, blocks)
+        values = at_byte[np.repeat(starts[i:j] - lo, blocks) + 8 * within]
+        values[begin + blocks - 1] &= _TAIL[(size - 1) & 7]
+        values = mix(values ^ (first + within.astype(U64) * U64(0xD6E8FEB86659FD93)))
+        out[i:j] = mix(np.add.reduceat(values, begin) + size.astype(U64) * U64(0xA0761D6478BD642F) + last)
         i = j
     return out
 
