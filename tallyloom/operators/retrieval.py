@@ -1,4 +1,4 @@
-"""Earlier neighbours of a task: strictly earlier, most similar, weighted by recency; bands from their residuals."""
+"""Earlier neighbours of a task: strictly earlier, most similar, weighted by recency; whether they are steady enough to forecast from."""
 
 from __future__ import annotations
 
@@ -44,6 +44,13 @@ def shared_shingles(queries: DataFrame, history: DataFrame) -> DataFrame:
     return both.groupBy("q_task_id", "c_task_id", "q_ts", "c_ts").agg(F.count(F.lit(1)).alias("common"))
 
 
+def jaccard_pairs(queries: DataFrame, history: DataFrame) -> DataFrame:
+    """Queries with the strictly earlier tasks that share a shingle, and their similarity; others have none."""
+    sizes = lambda rows, side: rows.select(F.col("task_id").alias(f"{side}_task_id"), F.size("sh").alias(f"{side}_n"))
+    pairs = shared_shingles(queries, history).join(sizes(queries, "q"), "q_task_id").join(sizes(history, "c"), "c_task_id")
+    return pairs.withColumn("jaccard", F.col("common") / (F.col("q_n") + F.col("c_n") - F.col("common")))
+
+
 def weighted_similarity(weights: dict[str, float]) -> Column:
     """Weights, brought to a sum of 1, over Jaccard, same archetype, same project and gaps of length and position."""
     total = sum(weights.values())
@@ -98,7 +105,10 @@ def first_reaching(asked: DataFrame, sums: DataFrame, share: float) -> DataFrame
 class Stability:
     """From unstable times the prior's spread on a neighbourhood is unstable, up to stable times it is stable; multipliers of a band's width.
 
-    abstain: unstable neighbourhoods, single neighbours and histories without any give no forecast.
+    Three switches say what gives no forecast: abstain for unstable
+    neighbourhoods, abstain_on_unknown for those without a known spread,
+    abstain_on_recency for tasks that nothing resembles.  Not enabled, a
+    neighbourhood's spread changes nothing.
     """
 
     unstable: float = 1.5
@@ -106,22 +116,36 @@ class Stability:
     wider: float = 1.5
     narrower: float = 1.0
     abstain: bool = False
+    abstain_on_unknown: bool = False
+    abstain_on_recency: bool = False
+    enabled: bool = True
+
+    @property
+    def refused(self) -> list[str]:
+        return [band for band, on in (("unstable", self.abstain), ("unknown", self.abstain_on_unknown), ("no-analogy", self.abstain_on_recency)) if on and self.enabled]
+
+
+def dispersion_ratio(spread: Column, prior: Column, n: Column) -> Column:
+    """A neighbourhood's spread over its prior's; null for one neighbour, or for neighbours without any spread."""
+    return F.when((n >= 2) & (spread > 0) & (prior > 0), spread / prior)
 
 
 def stability_band(spread: Column, prior: Column, n: Column, analogy: Column, p: Stability = Stability()) -> Column:
     """How far a neighbourhood's spread is from its prior's; one neighbour, or neighbours without any spread, are unknown and never stable."""
-    ratio = F.when((n >= 2) & (spread > 0) & (prior > 0), spread / prior)
+    if not p.enabled:
+        return F.lit("off")
+    ratio = dispersion_ratio(spread, prior, n)
     band = F.when(ratio.isNull(), "unknown").when(ratio >= p.unstable, "unstable").when(ratio <= p.stable, "stable").otherwise("mid")
     return F.when(F.coalesce(n < 1, F.lit(True)) | ~F.coalesce(analogy, F.lit(False)), "no-analogy").otherwise(band)
 
 
 def stability_multiplier(band: Column, p: Stability = Stability()) -> Column:
-    return F.when(band == "stable", p.narrower).when(band == "mid", 1.0).otherwise(p.wider)
+    return F.when(band == "stable", p.narrower).when(band.isin("mid", "off"), 1.0).otherwise(p.wider)
 
 
 def abstains(band: Column, history: Column, least_history: int, p: Stability = Stability()) -> Column:
-    """No forecast: too little history always, and if asked for, whatever isn't known to be stable enough."""
-    return (history < least_history) | F.lit(p.abstain) & band.isin("no-analogy", "unknown", "unstable")
+    """No forecast: too little history always, and the bands whose switches are on."""
+    return (history < least_history) | band.isin(*p.refused)
 
 
 def latest_in_cells(history: DataFrame, queries: DataFrame, cell: list[str], k: int, bucket: int) -> DataFrame:
@@ -132,9 +156,20 @@ def latest_in_cells(history: DataFrame, queries: DataFrame, cell: list[str], k:
     their cell by time: counts by bucket of time are summed first, so that a cell
     that holds many tasks is numbered bucket by bucket.
     """
-    slot = F.floor(F.col("ts") / bucket)
     cells = history.select(*cell).distinct()
-    marks = queries.select(F.col("task_id").alias("q_task_id"), "ts").crossJoin(cells).withColumn("_slot", slot)  # a row a query and cell
+    return _latest(history, queries.select(F.col("task_id").alias("q_task_id"), "ts").crossJoin(cells), cell, k, bucket)  # a row a query and cell
+
+
+def latest_repeats(history: DataFrame, queries: DataFrame, key: str, k: int, bucket: int) -> DataFrame:
+    """For each query(task_id, ts, key): the latest k strictly earlier tasks of history(task_id, ts, key, ...) with its key, as q_ and c_ columns; a null key has none."""
+    asked = queries.where(F.col(key).isNotNull()).select(F.col("task_id").alias("q_task_id"), "ts", key)
+    return _latest(history.where(F.col(key).isNotNull()), asked, [key], k, bucket)
+
+
+def _latest(history: DataFrame, asked: DataFrame, cell: list[str], k: int, bucket: int) -> DataFrame:
+    """The latest k tasks of its cell before each of asked(q_task_id, ts, cell)."""
+    slot = F.floor(F.col("ts") / bucket)
+    marks = asked.withColumn("_slot", slot)
     rows = history.withColumn("_slot", slot)
     counts = rows.groupBy(*cell, "_slot").agg(F.count(F.lit(1)).alias("_n")).unionByName(marks.select(*cell, "_slot", F.lit(0).cast("long").alias("_n")).distinct())
     before = F.coalesce(F.sum("_n").over(W.partitionBy(*cell).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -149,6 +184,51 @@ def latest_in_cells(history: DataFrame, queries: DataFrame, cell: list[str], k:
     return wanted.join(named, [*(f"c_{c}" for c in cell), "_at"]).drop("_at")
 
 
+@dataclass(frozen=True)
+class Retrieval:
+    """k: neighbours.  floor: the best analogy's least similarity.  half_life, bucket: of times, in their unit.
+
+    mode: a neighbourhood is blended with the prior (eb), or stands for it (replace).
+    least_history: with fewer strictly earlier tasks there is no forecast.
+    """
+
+    k: int = 3
+    floor: float = 0.22
+    half_life: float = 5 * 86_400_000.0
+    bucket: int = 86_400_000
+    mode: str = "eb"
+    least_history: int = 0
+
+
+def neighbourhoods(history: DataFrame, queries: DataFrame, p: Retrieval = Retrieval()) -> DataFrame:
+    """task_id, source, nb_mu, nb_s, nb_n, sim, history of every query(task_id, ts, ph, sh) among strictly earlier history(task_id, ts, y, ph, sh).
+
+    Exact repeats of ph first, the latest k of them; else the k most similar by
+    Jaccard of sh, if the best reaches the floor; else the median of all by
+    recency, which counts as one neighbour.  Without any earlier task the source
+    is none.  A null ph repeats nothing, a null or empty sh resembles nothing.
+    """
+    spread = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
+    value = history.select(F.col("task_id").alias("c_task_id"), F.col("y").alias("c_y"))
+    repeats = latest_repeats(history.select("task_id", "ts", "ph", "y"), queries, "ph", p.k, p.bucket)
+    exact = repeats.groupBy(F.col("q_task_id").alias("task_id")).agg(F.median("c_y").alias("e_mu"), spread("c_y").alias("e_s"), F.count(F.lit(1)).alias("e_n"))
+    near = nearest(jaccard_pairs(queries, history), F.col("jaccard"), p.k).join(value, "c_task_id")
+    analogy = near.groupBy(F.col("q_task_id").alias("task_id")).agg(F.median("c_y").alias("a_mu"), spread("c_y").alias("a_s"), F.count(F.lit(1)).alias("a_n"), F.max("sim").alias("best"))
+    recent = recency_median(queries, history, p.half_life, p.bucket)
+    moments = earlier_moments(queries, history, p.bucket)
+    out = queries.select("task_id")
+    for part in (exact, analogy, recent, moments):
+        out = out.join(part, "task_id", "left")
+    e, h = F.col("e_n").isNotNull(), F.col("history") > 0
+    a = F.coalesce(F.col("best") >= p.floor, F.lit(False))
+    pick = lambda x, y, z: F.when(e, x).when(a, y).otherwise(z)
+    return out.select(
+        "task_id", F.when(e, "exact").when(a, "analogy").when(h, "recency").otherwise("none").alias("source"), pick(F.col("e_mu"), F.col("a_mu"), F.col("recency_median")).alias("nb_mu"),
+        pick(F.col("e_s"), F.col("a_s"), F.col("history_s")).alias("nb_s"), F.coalesce(pick(F.col("e_n"), F.col("a_n"), F.when(h, 1)), F.lit(0)).cast("long").alias("nb_n"),
+        F.when(e, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("sim"), F.coalesce("history", F.lit(0)).cast("long").alias("history"),
+    )
+
+
 def recency_median(queries: DataFrame, history: DataFrame, half_life: float, bucket: int, ranges: int = 64) -> DataFrame:
     """(task_id, recency_median): for each query(task_id, ts) the value y of strictly earlier history(ts, y) at which half of the weight 0.5^(age / half_life) is reached.
 

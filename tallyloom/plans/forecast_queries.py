@@ -6,14 +6,18 @@ user the project, props.k the number of turns.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import interval_score, multiplicative_error, quantile_of, wilson, words_of
-from tallyloom.operators.forecast import Priors, blend, calibrate, fit_priors, forecast, forecast_metrics
+from tallyloom.operators.forecast import Priors, blend, calibrate, fit_priors, forecast, forecast_metrics, with_analogies
 from tallyloom.operators.ranks import medians, quantiles, ranked_values
-from tallyloom.operators.retrieval import Stability, abstains, average_rank, earlier_moments, first_reaching, latest_in_cells, nearest, recency_median, running_sums, shared_shingles, stability_band, stability_multiplier, weighted_similarity
+from tallyloom.operators.retrieval import (
+    Retrieval, Stability, abstains, average_rank, first_reaching, jaccard_pairs, latest_in_cells, nearest, neighbourhoods, recency_median, running_sums, stability_band, stability_multiplier, weighted_similarity,
+)
 from tallyloom.operators.usage import keep_recent
 from tallyloom.operators.vectors import nearest_vectors
 from tallyloom.plans.registry import Tables, query
@@ -22,12 +26,13 @@ from tallyloom.plans.shared import written
 TASKS = """tasks AS (SELECT event_id AS task_id, epoch_us(ts) // 1000 AS ts, 'u' || user_id AS project, event_type AS archetype, value AS cost_usd, CAST(json_extract_string(props, '$.k') AS BIGINT) AS turn_count, ln(value) AS y FROM events),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts, task_id) AS rn, count(*) OVER (PARTITION BY project) AS cnt FROM tasks),
   fit AS (SELECT * FROM ranked WHERE rn <= floor(cnt * 0.6)), cal AS (SELECT * FROM ranked WHERE rn > floor(cnt * 0.6) AND rn <= floor(cnt * 0.8)), test AS (SELECT * FROM ranked WHERE rn > floor(cnt * 0.8))"""
-FITTED = f"""{TASKS}, cells AS (SELECT project, archetype, count(*) AS n, avg(y) AS mu, coalesce(var_pop(y) * count(*), 0) AS ss FROM fit GROUP BY ALL),
+_FIT = """cells AS (SELECT project, archetype, count(*) AS n, avg(y) AS mu, coalesce(var_pop(y) * count(*), 0) AS ss FROM fit GROUP BY ALL),
   prior AS (SELECT archetype, avg(y) AS prior_mu, stddev_samp(y) AS prior_s FROM fit GROUP BY archetype),
   z AS (SELECT sum(n) AS n, count(*) AS g, sum(n * mu) / sum(n) AS m, sum(ss) AS within_, sum(CASE WHEN n >= 2 THEN n - 1 END) AS free, sum(n * mu * mu) AS sq, sum(n * n) AS n2 FROM cells),
   e AS (SELECT *, within_ / free AS epv, sq - n * m * m AS between_ FROM z),
   v AS (SELECT *, (between_ - (g - 1) * epv) / (n - n2 / n) AS vhm FROM e),
   tot AS (SELECT CASE WHEN vhm <= 0 THEN 200.0::DOUBLE ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, epv / vhm)) END AS k FROM v)"""
+FITTED = f"{TASKS}, {_FIT}"
 
 
 def _blend_sql(name: str, rows: str) -> str:
@@ -194,18 +199,14 @@ def prompts(t: Tables) -> DataFrame:
     return each.withColumns({"ts": F.col("task_id"), "y": F.log1p(F.length("text")), "w": w}).withColumn("sh", sh)
 
 
-def jaccard_pairs(rows: DataFrame) -> DataFrame:
-    """Queries with the strictly earlier prompts that share a trigram, and their similarity; others have none."""
-    sizes = rows.select("task_id", F.size("sh").alias("n"))
-    pairs = shared_shingles(rows.where(ASKED), rows)
-    pairs = pairs.join(sizes.withColumnsRenamed({"task_id": "q_task_id", "n": "q_n"}), "q_task_id").join(sizes.withColumnsRenamed({"task_id": "c_task_id", "n": "c_n"}), "c_task_id")
-    return pairs.withColumn("jaccard", F.col("common") / (F.col("q_n") + F.col("c_n") - F.col("common")))
+def asked_pairs(rows: DataFrame) -> DataFrame:
+    return jaccard_pairs(rows.where(ASKED), rows)
 
 
 @query(f"WITH {PROMPTS}, {JACCARD} SELECT q_task_id, rank, c_task_id, round(sim, 6) AS sim FROM best WHERE rank <= 3")
 def temporal_knn_jaccard(t: Tables) -> DataFrame:
     """Three most similar strictly earlier prompts of the whole history, found through shared trigrams only."""
-    return nearest(jaccard_pairs(prompts(t)), F.col("jaccard"), 3).select("q_task_id", "rank", "c_task_id", F.round("sim", 6).alias("sim"))
+    return nearest(asked_pairs(prompts(t)), F.col("jaccard"), 3).select("q_task_id", "rank", "c_task_id", F.round("sim", 6).alias("sim"))
 
 
 @query(f"""WITH {TASKS}, r AS (SELECT *, median(y) OVER w AS med, count(*) OVER w AS n FROM tasks WINDOW w AS (PARTITION BY project, archetype, turn_count ORDER BY ts, task_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
@@ -259,23 +260,19 @@ STAGES = f"""{PROMPTS}, {JACCARD}, same AS (SELECT q.task_id, c.y, row_number()
     coalesce(e.n, a.n, CASE WHEN r.history IS NOT NULL THEN 1 END, 0) AS n, coalesce(r.history, 0) AS history FROM prompts p LEFT JOIN exact e USING (task_id) LEFT JOIN analogy a USING (task_id) LEFT JOIN recent r USING (task_id) WHERE p.task_id % 50 = 0)"""
 
 
+PROMPT_RETRIEVAL = Retrieval(floor=FLOOR, half_life=50_000.0, bucket=1000)
+
+
+def fingerprinted(t: Tables) -> DataFrame:
+    return prompts(t).withColumn("ph", F.sha2(F.lower("text"), 256))
+
+
 def staged(t: Tables) -> DataFrame:
     """What is known of each query before it runs: exact repeats, else analogies, else the history's recency-weighted median; strictly earlier prompts only."""
-    rows = prompts(t)
-    asked = rows.where(ASKED).select("task_id", "ts", "role", F.sha2(F.lower("text"), 256).alias("ph"))
-    spread = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
-    c = rows.select(F.sha2(F.lower("text"), 256).alias("ph"), F.col("ts").alias("c_ts"), F.col("y").alias("c_y"))
-    latest = F.row_number().over(W.partitionBy("task_id").orderBy(F.desc("c_ts")))
-    exact = asked.join(c, "ph").where("c_ts < ts").withColumn("r", latest).where("r <= 3").groupBy("task_id").agg(F.median("c_y").alias("e_mu"), spread("c_y").alias("e_s"), F.count(F.lit(1)).alias("e_n"))
-    near = nearest(jaccard_pairs(rows), F.col("jaccard"), 3).join(rows.select(F.col("task_id").alias("c_task_id"), F.col("y").alias("c_y")), "c_task_id")
-    analogy = near.groupBy(F.col("q_task_id").alias("task_id")).agg(F.median("c_y").alias("a_mu"), spread("c_y").alias("a_s"), F.count(F.lit(1)).alias("a_n"), F.max("sim").alias("best")).where(F.col("best") >= FLOOR)
-    recent = recency_median(asked, rows, 50_000.0, 1000)
-    moments = earlier_moments(asked, rows, 1000)
-    out = asked.join(exact, "task_id", "left").join(analogy, "task_id", "left").join(recent, "task_id", "left").join(moments, "task_id", "left")
-    e, a, h = F.col("e_n").isNotNull(), F.col("a_n").isNotNull(), F.col("history") > 0
-    source = F.when(e, "exact").when(a, "analogy").when(h, "recency").otherwise("none")
-    s = F.when(e, F.col("e_s")).when(a, F.col("a_s")).otherwise(F.col("history_s"))
-    return out.select("task_id", "role", "ts", source.alias("source"), F.coalesce("e_mu", "a_mu", "recency_median").alias("mu"), s.alias("s"), F.coalesce("e_n", "a_n", F.when(h, 1), F.lit(0)).alias("n"), "history")
+    rows = fingerprinted(t)
+    asked = rows.where(ASKED)
+    found = neighbourhoods(rows, asked, PROMPT_RETRIEVAL)
+    return asked.select("task_id", "role", "ts").join(found, "task_id").withColumnsRenamed({"nb_mu": "mu", "nb_s": "s", "nb_n": "n"})
 
 
 @query(f"WITH {STAGES} SELECT task_id, source, round(mu, 6) AS mu, round(s, 5) AS s, n, history FROM staged")
@@ -290,14 +287,95 @@ def retrieval_three_stage(t: Tables) -> DataFrame:
 def neighbour_stability_bands(t: Tables) -> DataFrame:
     """Whether a neighbourhood is tight enough against its role's prior, which the earlier half of the prompts gives."""
     rows = prompts(t)
-    cut = (rows.agg(F.max("task_id")).first()[0] // 1000 + 1) // 2 * 1000
+    cut = prompt_cut(rows)
     prior = rows.where(F.col("ts") < cut).groupBy("role").agg(F.stddev_samp("y").alias("s_p"))
-    p = Stability(abstain=True)
+    p = Stability(abstain=True, abstain_on_unknown=True, abstain_on_recency=True)
     band = stability_band(F.col("s"), F.col("s_p"), F.col("n"), F.col("source").isin("exact", "analogy"), p)
     out = staged(t).where(F.col("ts") >= cut).join(prior, "role", "left").withColumn("band", band)
     return out.select("task_id", "source", "n", "band", stability_multiplier(F.col("band"), p).alias("multiplier"), abstains(F.col("band"), F.col("history"), 30, p).alias("abstains"))
 
 
+def prompt_cut(rows: DataFrame) -> int:
+    """Half of the conversations come before it."""
+    return ((rows.agg(F.max("task_id")).first()[0] or 0) // 1000 + 1) // 2 * 1000
+
+
+ALL_REFUSED = "'no-analogy', 'unknown', 'unstable', 'cold-start'"
+
+
+def _refusing_sql(kept: str, least: int, unstable: float, mode: str, refused: str) -> str:
+    """Tasks `nb` (archetype, y, is_cal, source, mu, s, n, history; named n_mu, n_s, n_n) with bands and refusals, given the fitted CTEs; `kept` are the result's columns."""
+    ratio = "CASE WHEN n_n >= 2 AND n_s > 0 AND s_p > 0 THEN n_s / s_p END"
+    own, w = "CASE WHEN n_n >= 2 AND n_s > 0 THEN n_s ELSE s_p END", "(n_n / (n_n + k))"
+    times = "CASE band WHEN 'stable' THEN 1.0::DOUBLE WHEN 'mid' THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END"
+    eb = f"{w} * n_mu + (1 - {w}) * mu_p", f"sqrt(greatest({w} * ({own}) ** 2 + (1 - {w}) * s_p ** 2 + {w} ** 2 * ({own}) ** 2 / n_n, 1e-9::DOUBLE)) * {times}"
+    mu, sigma = eb if mode == "eb" else ("n_mu", f"sqrt(greatest((({own}) * {times}) ** 2, 1e-9::DOUBLE))")
+    return f"""gp AS (SELECT avg(y) AS gm, stddev_samp(y) AS gs FROM fit),
+      r1 AS (SELECT nb.*, coalesce(prior_mu, gm) AS mu_p, CASE WHEN prior_mu IS NULL THEN gs WHEN coalesce(prior_s, 0) > 0 THEN prior_s ELSE gs END AS s_p, k FROM nb LEFT JOIN prior USING (archetype) CROSS JOIN gp CROSS JOIN tot),
+      r2 AS (SELECT *, CASE WHEN history < {least} OR source = 'none' THEN NULL ELSE {ratio} END AS ratio FROM r1),
+      r3 AS (SELECT *, CASE WHEN history < {least} THEN 'cold-start' WHEN source = 'none' THEN 'none' WHEN source NOT IN ('exact', 'analogy') THEN 'no-analogy' WHEN ratio IS NULL THEN 'unknown'
+        WHEN ratio >= {unstable}::DOUBLE THEN 'unstable' WHEN ratio <= 0.75::DOUBLE THEN 'stable' ELSE 'mid' END AS band FROM r2),
+      r4 AS (SELECT *, band IN ({refused}) AS abstain FROM r3),
+      r5 AS (SELECT *, CASE WHEN abstain OR band = 'none' THEN mu_p ELSE {mu} END AS mu, CASE WHEN abstain OR band = 'none' THEN s_p ELSE {sigma} END AS sigma FROM r4),
+      sc AS (SELECT archetype, abs(y - mu) / sigma AS score FROM r5 WHERE is_cal AND NOT abstain),
+      lv AS (SELECT archetype, count(*) AS m, least(1.0::DOUBLE, ceil((count(*) + 1) * (1 - 0.2::DOUBLE)) / count(*)) AS lvl, list_sort(list(score)) AS l FROM sc GROUP BY GROUPING SETS ((archetype), ())),
+      q AS (SELECT archetype, m, l[CAST(floor(lvl * (m - 1)) AS INT) + 1] + (l[CAST(ceil(lvl * (m - 1)) AS INT) + 1] - l[CAST(floor(lvl * (m - 1)) AS INT) + 1]) * (lvl * (m - 1) - floor(lvl * (m - 1))) AS q FROM lv WHERE archetype IS NULL OR m >= 20),
+      r6 AS (SELECT r5.*, coalesce(q1.q, CASE WHEN q0.q > 0 THEN q0.q ELSE 1.2816::DOUBLE END) AS qq FROM r5 LEFT JOIN q q1 ON q1.archetype = r5.archetype CROSS JOIN (SELECT q FROM q WHERE archetype IS NULL) q0),
+      r7 AS (SELECT *, CASE WHEN NOT abstain THEN exp(mu - qq * sigma) END AS p10, CASE WHEN NOT abstain THEN exp(mu) END AS p50, CASE WHEN NOT abstain THEN exp(mu + qq * sigma) END AS p90 FROM r6),
+      ms AS (SELECT count(*) FILTER (WHERE NOT abstain) AS measured_n, count(*) FILTER (WHERE NOT abstain AND exp(y) BETWEEN p10 AND p90) / nullif(count(*) FILTER (WHERE NOT abstain), 0) AS measured_coverage FROM r7 WHERE is_cal)
+      SELECT task_id, source, history, band AS stability_band, abstain, round(ratio, 5) AS dispersion_ratio, round(p10, 4) AS p10, round(p50, 4) AS p50, round(p90, 4) AS p90, measured_n, round(measured_coverage, 6) AS measured_coverage FROM r7 CROSS JOIN ms WHERE {kept}"""
+
+
+def refusing_columns(rows: DataFrame) -> DataFrame:
+    rounded = (("dispersion_ratio", 5), ("p10", 4), ("p50", 4), ("p90", 4), ("measured_coverage", 6))
+    return rows.select("task_id", "source", "history", "stability_band", "abstain", *(F.round(c, n).alias(c) for c, n in rounded[:4]), "measured_n", F.round("measured_coverage", 6).alias("measured_coverage"))
+
+
+EVENT_NEIGHBOURS = f"""asked AS (SELECT *, true AS is_cal FROM cal WHERE task_id % 50 = 0 UNION ALL SELECT *, false AS is_cal FROM test WHERE task_id % 50 = 0),
+  again AS (SELECT q.task_id, c.y, row_number() OVER (PARTITION BY q.task_id ORDER BY c.ts DESC, c.task_id DESC) AS r FROM asked q JOIN fit c ON c.archetype = q.archetype AND c.turn_count = q.turn_count AND c.ts < q.ts),
+  exact AS (SELECT task_id, median(y) AS mu, coalesce(stddev_samp(y), 0) AS s, count(*) AS n FROM again WHERE r <= 3 GROUP BY task_id),
+  past AS (SELECT q.task_id, c.y, pow(0.5::DOUBLE, (q.ts - c.ts) / {HALF_LIFE}.0::DOUBLE) AS w FROM asked q JOIN fit c ON c.ts < q.ts),
+  sums AS (SELECT task_id, y, sum(w) OVER (PARTITION BY task_id ORDER BY y, w ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY task_id) AS total FROM past),
+  recent AS (SELECT task_id, min(y) FILTER (WHERE upto >= total / 2) AS mu, count(*) AS history, coalesce(stddev_samp(y), 0) AS s FROM sums GROUP BY task_id),
+  nb AS (SELECT a.task_id, a.archetype, a.y, a.is_cal, CASE WHEN e.n IS NOT NULL THEN 'exact' WHEN r.history IS NOT NULL THEN 'recency' ELSE 'none' END AS source, coalesce(e.mu, r.mu) AS n_mu,
+    CASE WHEN e.n IS NOT NULL THEN e.s ELSE r.s END AS n_s, coalesce(e.n, CASE WHEN r.history IS NOT NULL THEN 1 END, 0) AS n_n, coalesce(r.history, 0) AS history FROM asked a LEFT JOIN exact e USING (task_id) LEFT JOIN recent r USING (task_id))"""
+
+
+def event_forecasts(t: Tables, retrieval: Retrieval, stability: Stability) -> DataFrame:
+    """Priors and index from each project's first 60 %, quantiles from the stated queries of the next 20 %, bands or refusals for those of the rest."""
+    shaped = lambda x: x.withColumns({"ph": F.concat_ws(":", "archetype", "turn_count"), "sh": F.array().cast("array<string>")})
+    fit, cal, test = (shaped(x) for x in splits(t))
+    priors = with_analogies(fit_priors(fit), fit, retrieval, stability)
+    return refusing_columns(forecast(test.where(ASKED), calibrate(priors, cal.where(ASKED))))
+
+
+@query(f"WITH {FITTED}, {EVENT_NEIGHBOURS}, {_refusing_sql('NOT is_cal', 30, 1.2, 'eb', ALL_REFUSED)}")
+def analogy_forecast(t: Tables) -> DataFrame:
+    """Neighbourhoods in the blend, with every reason to refuse switched on: a refused task has no band."""
+    return event_forecasts(t, Retrieval(least_history=30), Stability(unstable=1.2, abstain=True, abstain_on_unknown=True, abstain_on_recency=True))
+
+
+@query(f"WITH {FITTED}, {EVENT_NEIGHBOURS}, {_refusing_sql('NOT is_cal', 0, 1.2, 'replace', "'never'")}")
+def analogy_replace_forecast(t: Tables) -> DataFrame:
+    """Neighbourhoods in place of the prior; nothing is refused, what isn't known to be steady is widened."""
+    return event_forecasts(t, Retrieval(mode="replace"), Stability(unstable=1.2))
+
+
+PROMPT_TASKS = "priced AS (SELECT *, role AS archetype, 'p' || (task_id // 1000) % 7 AS project FROM prompts), bound AS (SELECT (max(task_id) // 1000 + 1) // 2 * 1000 AS b FROM prompts), fit AS (SELECT * FROM priced WHERE ts < (SELECT b FROM bound))"
+
+
+@query(f"""WITH {STAGES}, {PROMPT_TASKS}, {_FIT}, nb AS (SELECT g.task_id, p.archetype, p.y, g.ts < (SELECT b FROM bound) AS is_cal, source, g.mu AS n_mu, g.s AS n_s, g.n AS n_n, history FROM staged g JOIN priced p USING (task_id)),
+  {_refusing_sql('true', 30, 1.5, 'eb', "'cold-start', 'no-analogy', 'unstable'")}""")
+def prompt_refusals(t: Tables) -> DataFrame:
+    """The same on prompts' words: the first ones have too little history; one look-alike alone is answered, with a wider band."""
+    rows = fingerprinted(t)
+    cut = prompt_cut(rows)
+    rows = written(rows.select("task_id", "ts", "ph", "sh", F.col("role").alias("archetype"), F.concat(F.lit("p"), F.floor(F.col("task_id") / 1000) % 7).alias("project"), F.exp("y").alias("cost_usd"), F.lit(1).alias("turn_count")), "priced-prompts")
+    first = rows.where(F.col("ts") < cut)
+    priors = with_analogies(fit_priors(first), rows, replace(PROMPT_RETRIEVAL, least_history=30), Stability(abstain=True, abstain_on_recency=True))
+    return refusing_columns(forecast(rows.where(ASKED), calibrate(priors, first.where(ASKED))))
+
+
 PREDICTED = f"""{NEAR}, p AS (SELECT q_task_id AS task_id, any_value(q_y) AS y, median(c_y) AS mu, sum(1 - sim) AS density FROM n WHERE rank <= 3 GROUP BY q_task_id), cut AS (SELECT quantile_cont(ts, 0.8) AS bound FROM tasks WHERE task_id % 50 = 0),
   all_ AS (SELECT p.*, archetype, ts, ts <= (SELECT bound FROM cut) AS first FROM p JOIN tasks USING (task_id)), known AS (SELECT *, y - mu AS r FROM all_ WHERE first), dev AS (SELECT * FROM all_ WHERE NOT first)"""
 
@@ -438,7 +516,7 @@ def borda_rank(t: Tables) -> DataFrame:
     digits = F.length(F.regexp_replace("text", "[^0-9]", "")) / F.length("text")
     rows = prompts(t).select("task_id", "ts", "role", F.size("w").alias("words"), F.coalesce(F.try_divide(F.size(F.array_distinct("w")).cast("double"), F.size("w")), F.lit(0.0)).alias("uniq"), F.when(F.length("text") > 0, digits).otherwise(0.0).alias("digits"))
     q, c = (rows.select(*(F.col(x).alias(f"{side}_{x}") for x in rows.columns)) for side in "qc")
-    alike = jaccard_pairs(prompts(t)).select("q_task_id", "c_task_id", "jaccard")
+    alike = asked_pairs(prompts(t)).select("q_task_id", "c_task_id", "jaccard")
     pairs = q.where("q_task_id % 50 = 0").join(c, F.col("c_ts") < F.col("q_ts")).join(alike, ["q_task_id", "c_task_id"], "left")  # the stated queries against all rows
     gap = lambda x: F.round(F.abs(F.col(f"q_{x}") - F.col(f"c_{x}")), 9)
     pairs = pairs.select("q_task_id", "c_task_id", "c_ts", (-F.coalesce("jaccard", F.lit(0.0))).alias("d1"), F.round(F.abs(F.log1p("q_words") - F.log1p("c_words")), 9).alias("d2"), gap("uniq").alias("d3"), gap("digits").alias("d4"), (F.col("q_role") != F.col("c_role")).cast("int").alias("d5"))
