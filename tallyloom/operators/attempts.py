@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators.rules import attempt_rules, violations
 
 # Usable tasks and task classes that a participant needs, and most attempts.
-TARGET_TASKS, LEAST_CLASSES, MOST_ATTEMPTS = 6, 3, 50
+TARGET_TASKS, LEAST_CLASSES, MOST_ATTEMPTS = 6, 3, 60
 
 
 def fold_attempts(events: DataFrame) -> DataFrame:
@@ -68,14 +68,12 @@ def attempt_violations(attempts: DataFrame) -> DataFrame:
     return single.select("participant", F.col("attempt_sequence").cast("long"), "code").unionByName(many)
 
 
-def project_residuals(predicted: DataFrame, k: float = 20.0, least: int = 3) -> DataFrame:
-    """project and shift: the mean log residual of a project's earlier tasks, shrunk by n / (n + k); projects of fewer than `least` tasks have none."""
-    each = predicted.groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.avg(F.log("cost_usd") - F.col("mu")).alias("mean"))
-    return each.where(F.col("n") >= least).select("project", "n", (F.col("mean") * F.col("n") / (F.col("n") + k)).alias("shift"))
+def conformal_scale(rows: DataFrame) -> Column:
+    """How far a band must be widened, in log steps of its upper half, for a row's cost to lie in it."""
+    return F.abs(F.log(F.col("cost_usd") / F.col("p50"))) / F.log(F.col("p90") / F.col("p50"))
 
 
-def conformal_scale(rows: DataFrame, share: float = 0.8) -> Column:
-    """How far a band must be widened, in log steps of its own half, for a row's cost to lie in it."""
-    cost, p50 = F.log("cost_usd"), F.log("p50")
-    up, down = (cost - p50) / (F.log("p90") - p50), (p50 - cost) / (p50 - F.log("p10"))
-    return F.greatest(up, down, F.lit(0.0))
+def scaled_band(scale: Column) -> list[Column]:
+    """p10, p50 and p90 with both halves multiplied by a scale in log steps."""
+    p50 = F.col("p50")
+    return [(p50 * F.pow(F.col(c) / p50, scale)).alias(c) for c in ("p10", "p50", "p90")]

@@ -8,7 +8,7 @@ archetype, and are sums over one exchange.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +45,7 @@ class Priors:
     quantiles: DataFrame | None = None  # archetype, q; a null archetype holds the pooled one
     regime: str = "description"
     analogies: Analogies | None = None
+    history: DataFrame | None = None  # project, shift, widening: what a project's own tasks add to every archetype's prior
     measured: DataFrame | None = None  # one row: refused, measured_n, measured_coverage on the calibration tasks
 
 
@@ -70,6 +71,23 @@ def credibility(groups: DataFrame, k: float | None = None) -> DataFrame:
     return sums.select(mean.alias("global_mu"), F.when(spread > 0, spread).otherwise(1.0).alias("global_s"), (F.lit(k) if k is not None else found).alias("k"))
 
 
+def project_history(tasks: DataFrame, priors: Priors, k: float = 20.0, least: int = 3) -> DataFrame:
+    """project, n, shift and widening from the residuals of fitted tasks about their archetype's mean.
+
+    The shift is the mean residual by n / (n + k), the widening the same share of
+    its standard error; projects of fewer than `least` tasks have none.
+    """
+    rows = tasks.select("project", "archetype", log_target(priors.regime).alias("y")).where("y is not null").join(priors.archetype, "archetype", "left").crossJoin(F.broadcast(priors.totals))  # one row
+    each = rows.groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("y") - F.coalesce("prior_mu", "global_mu")).alias("mean"), F.coalesce(F.stddev_samp(F.col("y") - F.coalesce("prior_mu", "global_mu")), F.lit(0.0)).alias("s"))
+    n = F.col("n")
+    return each.where(n >= least).select("project", "n", (F.col("mean") * n / (n + k)).alias("shift"), (F.col("s") / F.sqrt(n) * n / (n + k)).alias("widening"))
+
+
+def with_project_history(priors: Priors, tasks: DataFrame, k: float = 20.0, least: int = 3) -> Priors:
+    """The priors with a known project's own level in place of none where a cell of it is thin or missing."""
+    return replace(priors, history=project_history(tasks, priors, k, least).drop("n"))
+
+
 def fit_priors(tasks: DataFrame, regime: str = "description", k: float | None = None) -> Priors:
     y = tasks.select("project", "archetype", log_target(regime).alias("y")).where("y is not null")
     cells = y.groupBy("project", "archetype").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mu"), F.coalesce(F.var_pop("y") * F.count(F.lit(1)), F.lit(0.0)).alias("ss"))
@@ -109,6 +127,10 @@ def blend(tasks: DataFrame, priors: Priors) -> DataFrame:
         return _blend_analogies(tasks, rows, priors.analogies)
     rows = rows.join(priors.group, ["project", "archetype"], "left")
     mu_p, s_p = _prior()
+    if priors.history is not None:
+        rows = rows.join(priors.history, "project", "left")
+        wider = F.coalesce("widening", F.lit(0.0))
+        mu_p, s_p = mu_p + F.coalesce("shift", F.lit(0.0)), F.sqrt(s_p * s_p + wider * wider)
     n = F.col("group_n")
     mu, sigma = _credible(F.col("group_mu"), F.col("group_s"), n, mu_p, s_p, F.col("k"))
     return rows.select(*(tasks[c] for c in tasks.columns), F.when(n.isNull(), mu_p).otherwise(mu).alias("mu"), F.when(n.isNull(), s_p).otherwise(sigma).alias("sigma"))

@@ -37,13 +37,22 @@ def report_rules() -> dict[str, Column]:
 
 
 def attempt_rules() -> dict[str, Column]:
-    """Rules of a pilot attempt: percentiles in order, results only where they belong."""
-    bands = F.col("p10_usd").isNotNull() & F.col("p50_usd").isNotNull() & F.col("p90_usd").isNotNull()
-    state = F.col("state")
+    """Rules of a pilot attempt: what is set once it is frozen, percentiles in order, results only where they belong.
+
+    A paired attempt that is invalidated later keeps its actual value, and whatever was frozen keeps its percentiles.
+    """
+    state, values = F.col("state"), [F.col(c) for c in ("p10_usd", "p50_usd", "p90_usd", "actual_usd")]
+    p10, p50, p90, actual = values
+    positive = F.lit(True)
+    for v in values:
+        positive = positive & (v.isNull() | (v > 0))
+    draft, bare = state == "draft", F.col("invalidation_reason").isNull()
     return {
         "known_state": state.isin("draft", "frozen", "paired", "invalidated"),
-        "percentiles_in_order": ~bands | ((F.col("p10_usd") > 0) & (F.col("p10_usd") <= F.col("p50_usd")) & (F.col("p50_usd") <= F.col("p90_usd"))),
-        "frozen_has_bands": state.isin("draft", "invalidated") | bands,
-        "paired_has_actual": (state == "paired") == F.col("actual_usd").isNotNull(),
-        "invalidated_has_reason": (state == "invalidated") == F.col("invalidation_reason").isNotNull(),
+        "values_positive": positive,
+        "frozen_has_class": draft | F.col("task_class").isNotNull(),
+        "percentiles_in_order": draft | ((p10 > 0) & (p10 <= p50) & (p50 <= p90)),
+        "open_has_no_result": ~state.isin("draft", "frozen") | (actual.isNull() & bare),
+        "paired_has_actual": (state != "paired") | ((actual > 0) & bare),
+        "invalidated_has_reason": (state != "invalidated") | ~bare,
     }

@@ -35,30 +35,37 @@ _FIT = """cells AS (SELECT project, archetype, count(*) AS n, avg(y) AS mu, coal
 FITTED = f"{TASKS}, {_FIT}"
 
 
-def _blend_sql(name: str, rows: str) -> str:
-    own, w = "CASE WHEN c.n >= 2 AND c.ss > 0 THEN sqrt(c.ss / (c.n - 1)) ELSE p.prior_s END", "(c.n / (c.n + k))"
-    variance = f"{w} * ({own}) ** 2 + (1 - {w}) * p.prior_s ** 2 + {w} ** 2 * ({own}) ** 2 / c.n"
-    return f"""{name} AS (SELECT t.*, CASE WHEN c.n IS NULL THEN p.prior_mu ELSE {w} * c.mu + (1 - {w}) * p.prior_mu END AS mu, CASE WHEN c.n IS NULL THEN p.prior_s ELSE sqrt(greatest({variance}, 1e-9::DOUBLE)) END AS sigma
-      FROM {rows} t JOIN prior p USING (archetype) LEFT JOIN cells c ON c.project = t.project AND c.archetype = t.archetype CROSS JOIN tot)"""
+def _blend_sql(name: str, rows: str, mu: str = "p.prior_mu", s: str = "p.prior_s", more: str = "") -> str:
+    own, w = f"CASE WHEN c.n >= 2 AND c.ss > 0 THEN sqrt(c.ss / (c.n - 1)) ELSE {s} END", "(c.n / (c.n + k))"
+    variance = f"{w} * ({own}) ** 2 + (1 - {w}) * {s} ** 2 + {w} ** 2 * ({own}) ** 2 / c.n"
+    return f"""{name} AS (SELECT t.*, CASE WHEN c.n IS NULL THEN {mu} ELSE {w} * c.mu + (1 - {w}) * {mu} END AS mu, CASE WHEN c.n IS NULL THEN {s} ELSE sqrt(greatest({variance}, 1e-9::DOUBLE)) END AS sigma
+      FROM {rows} t JOIN prior p USING (archetype) {more} LEFT JOIN cells c ON c.project = t.project AND c.archetype = t.archetype CROSS JOIN tot)"""
 
 
-QUANTILES = f"""{FITTED}, {_blend_sql('b', 'cal')}, sc AS (SELECT archetype, abs(y - mu) / sigma AS score FROM b),
+_QUANTILES = """sc AS (SELECT archetype, abs(y - mu) / sigma AS score FROM b),
   lv AS (SELECT archetype, count(*) AS n, least(1.0::DOUBLE, ceil((count(*) + 1) * (1 - 0.2::DOUBLE)) / count(*)) AS lvl, list_sort(list(score)) AS s FROM sc GROUP BY GROUPING SETS ((archetype), ())),
   q AS (SELECT archetype, n, s[CAST(floor(lvl * (n - 1)) AS INT) + 1] + (s[CAST(ceil(lvl * (n - 1)) AS INT) + 1] - s[CAST(floor(lvl * (n - 1)) AS INT) + 1]) * (lvl * (n - 1) - floor(lvl * (n - 1))) AS q FROM lv WHERE archetype IS NULL OR n >= 20)"""
-BANDS = f"""{QUANTILES}, {_blend_sql('bt', 'test')}, bands AS (SELECT bt.*, exp(mu - coalesce(q1.q, q0.q) * sigma) AS p10, exp(mu) AS p50, exp(mu + coalesce(q1.q, q0.q) * sigma) AS p90 FROM bt LEFT JOIN q q1 ON q1.archetype = bt.archetype CROSS JOIN (SELECT q FROM q WHERE archetype IS NULL) q0)"""
+QUANTILES = f"{FITTED}, {_blend_sql('b', 'cal')}, {_QUANTILES}"
+
+
+def _bands_sql(name: str, rows: str) -> str:
+    return f"{name} AS (SELECT x.*, exp(mu - coalesce(q1.q, q0.q) * sigma) AS p10, exp(mu) AS p50, exp(mu + coalesce(q1.q, q0.q) * sigma) AS p90 FROM {rows} x LEFT JOIN q q1 ON q1.archetype = x.archetype CROSS JOIN (SELECT q FROM q WHERE archetype IS NULL) q0)"
+
+
+BANDS = f"{QUANTILES}, {_blend_sql('bt', 'test')}, {_bands_sql('bands', 'bt')}"
 
 
 def tasks(t: Tables) -> DataFrame:
     return t.events.select(F.col("event_id").alias("task_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("project"), F.col("event_type").alias("archetype"), F.col("value").alias("cost_usd"), F.get_json_object("props", "$.k").try_cast("long").alias("turn_count"))
 
 
-def splits(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """60 / 20 / 20 of every project's tasks in order of time."""
+def splits(t: Tables, *shares: float) -> tuple[DataFrame, ...]:
+    """Every project's tasks in order of time, cut at shares of their number: 60 / 20 / 20 unless stated."""
     w = W.partitionBy("project")
     rows = tasks(t).withColumns({"rn": F.row_number().over(w.orderBy("ts", "task_id")), "cnt": F.count(F.lit(1)).over(w)})
-    a, b = F.floor(F.col("cnt") * 0.6), F.floor(F.col("cnt") * 0.8)
     rows, rn = written(rows, "splits"), F.col("rn")
-    return tuple(rows.where(c).drop("rn", "cnt") for c in (rn <= a, (rn > a) & (rn <= b), rn > b))
+    ends = [F.lit(0), *(F.floor(F.col("cnt") * x) for x in shares or (0.6, 0.8)), F.col("cnt")]
+    return tuple(rows.where((rn > a) & (rn <= b)).drop("rn", "cnt") for a, b in zip(ends, ends[1:], strict=False))
 
 
 def fitted(t: Tables) -> tuple[Priors, DataFrame, DataFrame]:

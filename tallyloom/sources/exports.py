@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import is_hostile, retained_label, safe_label, strict_money, trimmed
+from tallyloom.sources.json_arrays import json_array_elements
 
 # Columns of the exports.
 EDITOR = {"date": "date", "kind": "kind", "model": "model", "input (w/ cache write)": "with_write", "input (w/o cache write)": "without_write", "cache read": "cache_read", "output tokens": "output", "total tokens": "total", "cost": "cost"}
@@ -22,8 +23,8 @@ BILLING_JSON = (
     "timePeriod struct<year: int, month: int, day: int>, usageItems array<struct<product: string, sku: string, model: string, unitType: string, pricePerUnit: double,"
     " grossQuantity: double, grossAmount: double, discountQuantity: double, discountAmount: double, netQuantity: double, netAmount: double>>"
 )
-TREE = "array<struct<id: string, title: string, current_node: string, default_model_slug: string, mapping: map<string, struct<id: string, parent: string, message: struct<author: struct<role: string>, content: struct<content_type: string, parts: array<string>>>>>>>"
-FLAT = "array<struct<uuid: string, name: string, chat_messages: array<struct<sender: string, text: string, content: struct<text: string>>>>>"
+TREE = "id string, title string, current_node string, default_model_slug string, mapping map<string, struct<id: string, parent: string, message: struct<author: struct<role: string>, content: struct<content_type: string, parts: array<string>>>>>"
+FLAT = "uuid string, name string, chat_messages array<struct<sender: string, text: string, content: struct<text: string>>>"
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -107,8 +108,9 @@ def console_usage(rows: DataFrame) -> DataFrame:
 
 
 def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema).alias("rows"))
-    return whole.select("file", F.inline("rows"))
+    """The objects of each file's array; a file of any size is read in many tasks."""
+    each = json_array_elements(spark, path).select("file", F.from_json("element", schema).alias("row"))
+    return each.select("file", "row.*")
 
 
 def tree_conversations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -140,9 +142,12 @@ def priced_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def report_numbers(text: Column) -> list[Column]:
-    """Cost, tokens and turns in a free text."""
-    number = lambda pattern: F.replace(F.regexp_extract(text, pattern, 1), F.lit(","), F.lit("")).try_cast("double")
-    return [number(r"(?i)\$\s*([0-9][0-9,]*(?:\.[0-9]+)?)").alias("cost"), number(r"(?i)([0-9][0-9,]*)\s*tokens").alias("tokens"), number(r"(?i)([0-9][0-9,]*)\s*(?:turns|messages)").alias("turns")]
+    """Cost, tokens, turns and source that a report's lines name; null where there is no such line."""
+    named = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    return [
+        named(r"(?i)total_cost_usd:\s*~?\$?([0-9.]+)").try_cast("double").alias("cost"), named(r"(?i)total_tokens:\s*([0-9]+)").try_cast("double").alias("tokens"),
+        named(r"(?i)turns:\s*([0-9]+)").try_cast("double").alias("turns"), named(r"(?i)source:\s*(.+)").alias("source"),
+    ]
 
 
 def classify_files(manifest: DataFrame) -> DataFrame:

@@ -6,16 +6,22 @@ isn't there gives an empty table.
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from tallyloom.functions.columns import FALLBACK_MODEL, MAX_COUNT, sanitize_model_label
+from tallyloom.functions.columns import FALLBACK_MODEL, MAX_COUNT, is_count, sanitize_model_label
 from tallyloom.operators.ranks import numbered
 from tallyloom.operators.usage import dedup_calls
 
-#: Longer lines are counted and not parsed.
+_ESCAPE = re.compile(rb"\\.", re.DOTALL)
+#: Longer lines are counted and not parsed; of rollouts, only what can be told from a few places.
 LONGEST_LINE = 2 * 1024 * 1024
 CALL_COUNTERS = {"input_tokens": "input_tokens", "cache_write_input_tokens": "cache_creation_input_tokens", "cache_read_input_tokens": "cache_read_input_tokens", "output_tokens": "output_tokens"}
 TOTALS = "input_tokens bigint, cached_input_tokens bigint, output_tokens bigint, reasoning_output_tokens bigint, total_tokens bigint"
@@ -87,30 +93,156 @@ def coverage(rows: DataFrame) -> DataFrame:
     return out.withColumn("complete", (F.col("malformed") == 0) & (F.col("oversized") == 0))
 
 
-def rollout_usage(lines: DataFrame) -> DataFrame:
-    """Usage by file and line of rollouts: differences of cumulative totals under the model that was set last.
+USAGE_FIELDS = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
+#: Limits of an oversized record that is still read: nested so deep, texts at wanted places so long.
+DEEPEST, LONGEST_TEXT = 128, 1024
+
+
+@F.pandas_udf(IntegerType())
+def json_depth(lines: pd.Series) -> pd.Series:
+    """How deep brackets of a JSON text are nested outside of strings, a megabyte at a time; null stays null."""
+
+    def depth(text: str) -> int:
+        inside, level, most = 0, 0, 0
+        data = np.frombuffer(_ESCAPE.sub(b"", text.encode()), dtype=np.uint8)
+        for i in range(0, len(data), 1 << 20):
+            part = data[i : i + (1 << 20)]
+            quotes = (np.cumsum(part == 34) + inside) % 2  # 1: within a string
+            step = np.where(quotes == 0, ((part == 123) | (part == 91)).astype(np.int32) - ((part == 125) | (part == 93)), 0)
+            levels = level + np.cumsum(step)
+            inside, level, most = int(quotes[-1]), int(levels[-1]), max(most, int(levels.max()))
+        return most
+
+    return lines.map(depth, na_action="ignore").astype("Int32")
+
+
+def _strict_usage(u: Column) -> Column:
+    """A counter record whose numbers are all there, exact, and fit each other; else null."""
+    whole = F.lit(True)
+    for f in USAGE_FIELDS:
+        whole = whole & F.coalesce(is_count(u[f]), F.lit(False))
+    return F.when(whole & (u["cached_input_tokens"] <= u["input_tokens"]) & (u["reasoning_output_tokens"] <= u["output_tokens"]), u)
 
-    Numbers are taken strictly. A line that can't be read sets the model back to
-    unknown; a smaller total is a reset and counts its own last usage.
+
+def _projected(e: Column, keys: Column, line: Column) -> Column:
+    """What an oversized line is: a record, ignored, unresolved because it can't be told from its wanted places, or failed, no JSON or nested too deep."""
+    kind, p = e["type"], e["payload"]
+    texts = (e["timestamp"], kind, p["type"], p["id"], p["model"], p["to_model"])
+    too_long = F.lit(False)
+    for t in texts:
+        too_long = too_long | F.coalesce(F.length(t) > LONGEST_TEXT, F.lit(False))
+    given = [sum((u[f].isNotNull().cast("int") for f in USAGE_FIELDS[1:]), u[USAGE_FIELDS[0]].isNotNull().cast("int")) for u in (p["info"]["total_token_usage"], p["info"]["last_token_usage"])]
+    given = [F.coalesce(n, F.lit(0)) for n in given]
+    counted = given[0].isin(0, 5) & given[1].isin(0, 5) & (given[0] + given[1] > 0)
+    event = F.when(p["type"] == "model_reroute", "record").when(p["type"] == "token_count", F.when(counted, "record").otherwise("unresolved")).when(p["type"].isNotNull(), "ignored").otherwise("unresolved")
+    known = F.when(kind.isin("session_meta", "turn_context"), "record").when(kind == "event_msg", event).when(kind.isNotNull(), "ignored").otherwise("unresolved")
+    return F.when(keys.isNull() | (json_depth(line) > DEEPEST), "failed").when(too_long, "unresolved").otherwise(known)
+
+
+def rollout_records(lines: DataFrame) -> DataFrame:
+    """What each line of a rollout is and adds: status, the model set last, usage since the line before, session id and whether it leaves the file incomplete.
+
+    status: malformed, oversized (longer than LONGEST_LINE and not to be told
+    from its wanted places), meta, usage, duplicate (the same total again), reset
+    (a smaller total without usage of its own), unread (no usable counters),
+    empty (nothing was used), other.  reset also marks usage that follows one.  A
+    line that can't be read sets the model back to unknown.
     """
-    e = lines.select("file", "line_no", F.from_json("line", ROLLOUT).alias("e"), F.try_parse_json("line").isNotNull().alias("parsed"))
+    big = F.length("line") > LONGEST_LINE
+    e = F.from_json("line", ROLLOUT)
+    rows = lines.select("file", "line_no", F.xxhash64("line").alias("digest"), big.alias("big"), e.alias("e"), F.json_object_keys("line").alias("keys"), F.when(big, F.col("line")).alias("big_line"), F.when(~big & ~F.ltrim("line").startswith("{"), F.col("line")).alias("scalar"))
+    projection = F.when(F.col("big"), _projected(F.col("e"), F.col("keys"), F.col("big_line")))
+    parsed = F.col("keys").isNotNull() | F.try_parse_json("scalar").isNotNull()
+    rows = rows.select("file", "line_no", "digest", "e", projection.alias("projection"), parsed.alias("parsed"))
     kind, p = F.col("e.type"), F.col("e.payload")
-    setter = F.when(~F.col("parsed"), F.lit(FALLBACK_MODEL)).when(kind == "turn_context", sanitize_model_label(p["model"])).when((kind == "event_msg") & (p["type"] == "model_reroute"), sanitize_model_label(p["to_model"]))
-    valid = lambda u: u["input_tokens"].isNotNull() & u["output_tokens"].isNotNull() & u["cached_input_tokens"].isNotNull() & u["reasoning_output_tokens"].isNotNull()
-    counts = (kind == "event_msg") & (p["type"] == "token_count")
-    total, last = p["info"]["total_token_usage"], p["info"]["last_token_usage"]
+    oversized, read = F.coalesce(F.col("projection").isin("unresolved", "failed"), F.lit(False)), F.coalesce(F.col("projection"), F.lit("record")) == "record"
+    malformed = F.col("projection").isNull() & ~F.col("parsed")
+    setter = (
+        F.when(malformed | oversized, F.lit(FALLBACK_MODEL)).when(read & (kind == "turn_context"), F.coalesce(sanitize_model_label(p["model"]), F.lit(FALLBACK_MODEL)))
+        .when(read & (kind == "event_msg") & (p["type"] == "model_reroute"), F.coalesce(sanitize_model_label(p["to_model"]), F.lit(FALLBACK_MODEL)))
+    )
+    counts = F.coalesce(read & (kind == "event_msg") & (p["type"] == "token_count"), F.lit(False))
+    meta = F.coalesce(read & (kind == "session_meta"), F.lit(False))
+    rows = rows.select(
+        "file", "line_no", "digest", malformed.alias("malformed"), oversized.alias("oversized"), counts.alias("counts"), meta.alias("meta"), F.when(meta, p["id"]).alias("session_id"), setter.alias("setter"),
+        (malformed | (oversized & ((F.col("projection") == "failed") | F.coalesce(kind == "session_meta", F.lit(False))))).alias("uncertain"), F.col("e.timestamp").alias("timestamp"),
+        F.when(counts, _strict_usage(p["info"]["total_token_usage"])).alias("total"), F.when(counts, _strict_usage(p["info"]["last_token_usage"])).alias("last"),
+    )
     order = W.partitionBy("file").orderBy("line_no")
-    rows = e.withColumns({"model": F.coalesce(F.last(setter, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(FALLBACK_MODEL)), "total": F.when(counts & valid(total), total), "last": F.when(counts & valid(last), last)})
-    rows = rows.withColumn("before", F.last("total", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))).where("total is not null or last is not null")
-    fields = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens")
-    delta = {f: F.col(f"total.{f}") - F.coalesce(F.col(f"before.{f}"), F.lit(0)) for f in fields}
-    reset = F.col("total").isNotNull() & F.greatest(*(F.when(d < 0, 1).otherwise(0) for d in delta.values())).eqNullSafe(F.lit(1))
-    used = {f: F.when(F.col("total").isNull() | reset, F.col(f"last.{f}")).otherwise(d) for f, d in delta.items()}
-    rows = rows.withColumn("repeated", F.coalesce(F.col("total") == F.col("before"), F.lit(False))).withColumns({"reset": reset, **{f"used_{f}": c for f, c in used.items()}})
-    return rows.select(
-        "file", "line_no", "model", "repeated", "reset", (F.col("used_input_tokens") - F.col("used_cached_input_tokens")).alias("input_tokens"), F.lit(0).cast("long").alias("cache_write_input_tokens"),
-        F.col("used_cached_input_tokens").alias("cache_read_input_tokens"), F.col("used_output_tokens").alias("output_tokens"), F.col("used_reasoning_output_tokens").alias("reasoning_output_tokens"), F.lit(1).cast("long").alias("usage_records"),
+    rows = rows.withColumns({"model": F.coalesce(F.last("setter", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(FALLBACK_MODEL)), "before": F.last("total", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))})
+    total, last, before = F.col("total"), F.col("last"), F.col("before")
+    falls = F.lit(False)
+    for f in USAGE_FIELDS:
+        falls = falls | F.coalesce(total[f] < before[f], F.lit(False))
+    duplicate, reset = F.coalesce(total == before, F.lit(False)), total.isNotNull() & falls
+    used = {f: F.when(total.isNull() | reset, last[f]).otherwise(total[f] - F.coalesce(before[f], F.lit(0))) for f in USAGE_FIELDS}
+    rows = rows.withColumns({"duplicate": duplicate, "reset": reset, **{f"used_{f}": c for f, c in used.items()}})
+    nothing = F.col("used_input_tokens") + F.col("used_output_tokens") == 0  # cached and reasoning tokens are parts of these
+    status = (
+        F.when(F.col("malformed"), "malformed").when(F.col("oversized"), "oversized").when(F.col("meta"), "meta").when(~F.col("counts"), "other").when(F.col("duplicate"), "duplicate")
+        .when(F.col("used_input_tokens").isNull(), F.when(F.col("reset"), "reset").otherwise("unread")).when(nothing, "empty").otherwise("usage")
+    )
+    only_last = total.isNull() & last.isNotNull()
+    uneven = F.col("used_total_tokens") != F.col("used_input_tokens") + F.col("used_output_tokens")
+    incomplete = F.col("status").isin("malformed", "oversized", "reset", "unread") | (F.col("status").isin("usage", "empty") & (F.col("reset") | only_last | uneven))
+    return rows.withColumn("status", status).select(
+        "file", "line_no", "digest", "status", "model", "session_id", "uncertain", "reset", incomplete.alias("incomplete"), F.when(F.col("timestamp").rlike(r"^\d{4}-\d{2}-\d{2}(T|$)"), F.substring("timestamp", 1, 10)).alias("day"),
+        (F.col("used_input_tokens") - F.col("used_cached_input_tokens")).alias("input_tokens"), F.lit(0).cast("long").alias("cache_write_input_tokens"), F.col("used_cached_input_tokens").alias("cache_read_input_tokens"),
+        F.col("used_output_tokens").alias("output_tokens"), F.col("used_reasoning_output_tokens").alias("reasoning_output_tokens"), F.lit(1).cast("long").alias("usage_records"),
+    )
+
+
+def rollout_usage(lines: DataFrame) -> DataFrame:
+    """Usage by file and line of rollouts: differences of cumulative totals under the model that was set last; a total that comes again is repeated and adds nothing."""
+    rows = rollout_records(lines).where("status in ('usage', 'duplicate')").withColumn("repeated", F.col("status") == "duplicate")
+    return rows.drop("digest", "status", "session_id", "uncertain", "incomplete", "day")
+
+
+def rollout_files(records: DataFrame) -> DataFrame:
+    """A verdict on each file: what its lines count, and whether its usage is taken.
+
+    verdict: skipped (a line that can't be read may have named its session),
+    without_usage, accepted, repeated (the lines of an accepted file again),
+    no_single_session, session_taken (an accepted file of other contents has its
+    session).  Files come in order of their names.
+    """
+    is_ = lambda *s: F.count_if(F.col("status").isin(*s))
+    lanes = [F.sum(F.xxhash64("digest", F.lit(salt)).cast("decimal(20,0)")) for salt in (1, 2)]  # of lines in any order
+    files = records.groupBy("file").agg(
+        F.bool_or("uncertain").alias("uncertain"), is_("usage").alias("usage_records"), is_("malformed").alias("malformed"), is_("oversized").alias("oversized"), F.count_if("reset").alias("resets"), is_("duplicate").alias("duplicates"),
+        F.bool_or("incomplete").alias("incomplete"), F.min("session_id").alias("session_id"), F.max("session_id").alias("_other"), F.count_if((F.col("status") == "meta") & F.col("session_id").isNull()).alias("_nameless"),
+        F.concat_ws(":", F.count(F.lit(1)), *lanes).alias("content"),
+    )
+    candidate = ~F.col("uncertain") & (F.col("usage_records") > 0)
+    files = files.withColumns({"candidate": candidate, "single": F.col("session_id").isNotNull() & (F.col("session_id") == F.col("_other")) & (F.col("_nameless") == 0)})
+    place = lambda *by: F.row_number().over(W.partitionBy("candidate", *by).orderBy("file"))
+    files = files.withColumn("again", F.col("candidate") & (place("content") > 1))
+    first = F.row_number().over(W.partitionBy("candidate", "again", "single", "session_id").orderBy("file"))
+    verdict = (
+        F.when(F.col("uncertain"), "skipped").when(~F.col("candidate"), "without_usage").when(F.col("again"), "repeated").when(~F.col("single"), "no_single_session")
+        .when(F.col("place") > 1, "session_taken").otherwise("accepted")
+    )
+    return files.withColumn("place", first).withColumn("verdict", verdict).select("file", "session_id", "verdict", "usage_records", "malformed", "oversized", "resets", "duplicates", "incomplete")
+
+
+def accepted_rollout_usage(records: DataFrame, files: DataFrame, strict: bool = True) -> DataFrame:
+    """Usage of accepted files alone; with strict, a file without one session of its own ends it all, as totals may count twice."""
+    refused = F.col("verdict").isin("no_single_session", "session_taken")
+    taken = files.where((F.col("verdict") == "accepted") | (refused if strict else F.lit(False)))
+    message = F.concat(F.lit("no total is safe to give: "), "verdict")
+    checked = F.when(refused, F.raise_error(message).cast("boolean")).otherwise(True)
+    return records.where("status = 'usage'").join(taken.select("file", checked.alias("_ok")), "file").where("_ok").drop("_ok")
+
+
+def rollout_coverage(files: DataFrame) -> DataFrame:
+    """One row of counters over all files, refused ones too: what was found, read, repeated and left out."""
+    is_ = lambda *v: F.count_if(F.col("verdict").isin(*v))
+    again = F.sum(F.when(F.col("verdict") == "repeated", F.col("usage_records")).otherwise(0))
+    out = files.agg(
+        F.count(F.lit(1)).alias("files_discovered"), (F.count(F.lit(1)) - is_("skipped")).alias("files_parsed"), is_("accepted", "repeated").alias("files_with_usage"), is_("skipped").alias("files_skipped"), F.sum("malformed").alias("malformed"),
+        F.sum("oversized").alias("oversized"), F.sum("resets").alias("resets"), (F.sum("duplicates") + again).alias("duplicates"), (~F.bool_or("incomplete") & (is_("skipped") == 0)).alias("complete"),
     )
+    return out
 
 
 def cleaned_rows(calls: DataFrame) -> DataFrame:
