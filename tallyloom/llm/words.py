@@ -89,14 +89,17 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         padded = np.zeros(len(part) + 8, dtype=np.uint8)
         padded[: len(part)] = _LOWER[part] if lower else part
         at_byte = np.ndarray(shape=(len(part),), dtype="<u8", buffer=padded, strides=(1,))  # eight bytes from each place
-        size = ends[i:j] - starts[i:j]
-        blocks = (size + 7) >> 3
-        begin = np.cumsum(blocks) - blocks
-        within = np.arange(blocks.sum()) - np.repeat(begin, blocks)
-        values = at_byte[np.repeat(starts[i:j] - lo, blocks) + 8 * within]
-        values[begin + blocks - 1] &= _TAIL[(size - 1) & 7]
-        values = mix(values ^ (first + within.astype(U64) * U64(0xD6E8FEB86659FD93)))
-        out[i:j] = mix(np.add.reduceat(values, begin) + size.astype(U64) * U64(0xA0761D6478BD642F) + last)
+        size, begin = ends[i:j] - starts[i:j], starts[i:j] - lo
+        sums = mix(at_byte[begin] & _TAIL[np.minimum(size, 8) - 1] ^ first)
+        more = np.flatnonzero(size > 8)
+        if len(more):  # the blocks after the first one
+            blocks = (size[more] - 1) >> 3
+            head = np.cumsum(blocks) - blocks
+            within = np.arange(1, blocks.sum() + 1) - np.repeat(head, blocks)
+            values = at_byte[np.repeat(begin[more], blocks) + 8 * within]
+            values[head + blocks - 1] &= _TAIL[(size[more] - 1) & 7]
+            sums[more] += np.add.reduceat(mix(values ^ (first + within.astype(U64) * U64(0xD6E8FEB86659FD93))), head)
+        out[i:j] = mix(sums + size.astype(U64) * U64(0xA0761D6478BD642F) + last)
         i = j
     return out
 
