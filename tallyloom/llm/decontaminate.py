@@ -267,16 +267,18 @@ class Benchmark:
         p, best = self.p, {}
         for text, item, width, starts, cosines in self.candidates(words, first):
             item_id, own, masks, ending, n_ending = self.items[item]
-            margin, least = int(self.margin(item, width)), p.common * len(masks) * 0.75
+            margin, least = int(self.margin(item, width)), p.common * len(own) - 1e-9
             low, high = int(first[text]), int(first[text + 1])
-            if len(masks.keys() & set(words[max(low, int(starts[0]) - margin) : min(high, int(starts[-1]) + width + margin)].tolist())) < least:
-                continue  # too few of its words in any order
+            # No more of the item can be in order than stands there in any order.
+            there = lambda region: sum(masks[w].bit_count() for w in masks.keys() & set(region))  # noqa: B023, E731
+            if there(words[max(low, int(starts[0]) - margin) : min(high, int(starts[-1]) + width + margin)].tolist()) < least:
+                continue
             for start, cosine in zip(starts.tolist(), cosines.tolist(), strict=True):
                 old = best.get((text, item_id))
                 if old and old[0] == 1.0:
                     break
                 region = words[max(low, start - margin) : min(high, start + width + margin)].tolist()
-                if len(masks.keys() & set(region)) < least:
+                if there(region) < least:
                     continue
                 common = common_length(masks, len(own), region) / len(own)
                 if common < p.common or old and old[0] >= common:
@@ -306,7 +308,7 @@ def _clean(p: Decontamination, benchmark: Benchmark, batches: Iterator[pa.Record
 
 def _benchmarks(docs: DataFrame, benchmark: DataFrame, p: Decontamination) -> Iterator[Benchmark]:
     """The benchmark in blocks of at most about p.items rows; only a block at a time comes to the driver."""
-    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
+    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
     n = items.count()
     latent = latent_words(docs, p) if n else None
     if latent is None:
@@ -322,7 +324,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Decontamination
     common: share of the item's words that the text's best window has in the
     same order; answer: the same for its last words.  Words are runs of letters
     and digits in lower case.  Null and wordless texts and items match nothing.
-    Repeated rows are each reported, further columns are ignored.
+    Repeated rows of docs are each reported, those of benchmark count once, further columns are ignored.
     """
     out = docs.sparkSession.createDataFrame([], schema := "doc_id long, item_id long, common double, answer double, cosine double")
     for block in _benchmarks(docs, benchmark, params):

@@ -103,3 +103,13 @@ def test_paraphrases_that_the_subsequence_check_accepts(spark):
     recall = {s: (sum(x == s for x in want.values()), sum(want[k] == s for k in got & want.keys())) for s in (0.1, 0.2, 0.3)}
     print("recall by share of changed words:", recall)
     assert all(n >= 0.95 * m for m, n in recall.values()), recall
+
+
+def test_items_of_repeated_words(spark):
+    """The bound before the subsequence check counts an item's words as often as it has them."""
+    last = [f"word{i}" for i in range(10)]
+    item, text = " ".join(["na"] * 10 + last), " ".join(["x1", "x2", *["na"] * 10, *last[-3:], "x3"])
+    docs = spark.createDataFrame([(1, text), (2, " ".join(["na"] * 10)), (3, " ".join(["na", *last]))], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, item), (7, item)], "item_id long, text string")
+    found = contaminated(docs, benchmark, Decontamination(cosine=-1.0)).collect()
+    assert [(r.doc_id, r.item_id, r.common, r.answer) for r in found] == [(1, 7, 0.65, 0.75)]
