@@ -98,7 +98,10 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, size: int, p: Toxici
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: Toxicity = Toxicity()) -> Model:
-    """Fits on at most about max_rows rows of labels(doc_id, toxic), chosen by a hash of doc_id.
+    """Fits on the documents of at most about max_rows rows of labels(doc_id, toxic), chosen by a hash of doc_id.
+
+    Where documents repeat a label's doc_id, equal texts count once, and of more
+    than max_rows documents so many are chosen by a hash of doc_id and text.
 
     labels know two classes, the regression takes three grades: 0 for toxic = 0,
     and for toxic = 1 grade 2 if its number of distinct toxic features is above
@@ -114,7 +117,10 @@ def fit(docs: DataFrame, labels: DataFrame, params: Toxicity = Toxicity()) -> Mo
     share = min(1.0, p.max_rows / max(1, labels.count()))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # At most about max_rows pairs of numbers: small by that parameter.
-    marked = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
+    found = marked.select("doc_id", "_text").distinct().count()
+    share = min(1.0, p.max_rows / max(1, found))
+    marked = marked.where(F.pmod(F.xxhash64("doc_id", "_text", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["doc_id", "_text"]).select("doc_id", "toxic", "text")
     rows = scratch.write(marked.mapInArrow(partial(_extract, p), "doc_id long, toxic int, features array<int>"), "rows")
     n, n_toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     weights = np.zeros(1 << p.bits, dtype=np.float32)

@@ -56,3 +56,15 @@ def test_without_labels_or_documents(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert [tuple(x) for x in score(docs, fit(docs, labels)).collect()] == [(1, 0.0, 0, False)]
     assert score(docs.limit(0), fit(docs.limit(0), labels)).count() == 0
+
+
+def test_repeated_ids_and_texts_stay_within_the_bound(spark):
+    rows = corpus(random.Random(9), 600)
+    again = [(1, f"{t} {k}") for k, (_, t, _) in enumerate(rows * 4)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + again + [(2, rows[2][1])] * 3000, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = fit(docs, labels, Toxicity(max_rows=400))
+    assert score(docs, model).count() == 600 + 2400 + 3000
+    plain = docs.where("doc_id > 2").select("doc_id", "text")
+    whole = fit(plain, labels)  # copies of rows change nothing
+    assert np.allclose(fit(plain.unionByName(plain), labels).weights, whole.weights)
