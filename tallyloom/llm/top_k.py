@@ -166,11 +166,11 @@ def _largest(score: np.ndarray, k: int) -> np.ndarray:
 
 
 def integer_vectors(table: DataFrame, scale: int) -> DataFrame:
-    """vec_id and v: floor(scale * x) of every component; vectors null, empty or with a null or non-finite component are left out."""
+    """vec_id and v: floor(scale * x) of every component; vectors that are null or have a null or non-finite component are left out, an empty one stays."""
     x = F.col("embedding").cast("array<double>")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     v = F.transform(x, lambda c: F.floor(c * float(scale)).cast("long"))
-    whole = table.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.coalesce(fine, F.lit(False)))
+    whole = table.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
     return whole.select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
@@ -178,7 +178,7 @@ def top_k(table: DataFrame, params: TopK = TopK(), is_query: str = "vec_id % 100
     """query_id, rank, vec_id, score: the k highest integer inner products of every query with all other vectors.
 
     table(vec_id, embedding, ...): of rows that repeat a vec_id the one with the
-    least vector counts, rows with a null vec_id none.  Shorter vectors are filled
+    least vector counts, rows with a null vec_id none.  Shorter vectors, empty ones too, are filled
     up with zeros; a score beyond 64 bits is the nearest one that fits.  Ties go to the smaller vec_id.  Fewer than k others are all
     returned.  Further columns are ignored.
     """
@@ -190,6 +190,7 @@ def top_k(table: DataFrame, params: TopK = TopK(), is_query: str = "vec_id % 100
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not n:
         return empty
+    width = max(1, width)
     vectors = vectors.select("vec_id", F.when(F.size("v") == width, F.col("v")).otherwise(F.concat("v", F.array_repeat(F.lit(0).cast("long"), width - F.size("v")))).alias("v"))
     share = min(1.0, p.sample / n)
     sample = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("v").limit(2 * p.sample).toPandas()["v"]

@@ -9,7 +9,7 @@ SCHEMA = "vec_id long, embedding array<float>, label int, score string"
 def brute(rows, k=10, every=100):
     fine = {}
     for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             w = [math.floor(1024 * x) for x in v]
             fine[i] = min(fine.get(i, w), w)
     out = []
@@ -42,6 +42,7 @@ def test_few_and_none(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (100, [-1.0, 0.5])]
     assert run(spark, rows) == brute(rows)
     assert run(spark, [(0, [1.0])]) == [] and run(spark, []) == [] and run(spark, [(0, None)]) == []
+    assert run(spark, [(0, [1.0]), (1, []), (2, [-1.0])]) == [(0, 1, 1, 0), (0, 2, 2, -(1 << 20))] and run(spark, [(0, []), (1, [])]) == [(0, 1, 1, 0)]
     big = [(0, [2.0**41, -(2.0**40)]), (5, [1.0, 1.0]), (7, [-1.0, 0.0])]
     assert run(spark, big) == brute(big)
     far = [(0, [2.0**41]), (5, [2.0**41]), (7, [-(2.0**41)]), (9, [3.0])]
