@@ -15,8 +15,10 @@ from tallyloom.functions.columns import FALLBACK_MODEL, token_estimate
 from tallyloom.operators.conversations import visible_branch
 from tallyloom.plans.registry import Tables, query
 from tallyloom.plans.shared import shared_folder, written
+from tallyloom.plans.usage_queries import CALLS, calls
 from tallyloom.sources.exports import billing_items, classify_files, console_usage, editor_usage, file_manifest, flat_conversations, read_csv, report_numbers, tree_conversations
-from tallyloom.sources.session_logs import accepted_rollout_usage, assistant_calls, cleaned_rows, coverage, jsonl_lines, rollout_coverage, rollout_files, rollout_records, unique_calls
+from tallyloom.sources.session_logs import USAGE_FIELDS, accepted_rollout_usage, assistant_calls, cleaned_rows, coverage, jsonl_lines, rollout_coverage, rollout_files, rollout_records, unique_calls
+from tallyloom.streaming.usage import drained, merged_call_stream, rollout_stream, signed_totals
 
 
 def text_files(rows: DataFrame, order: list[str], suffix: str) -> str:
@@ -104,8 +106,8 @@ ROLLOUTS = f"""o AS (SELECT user_id % 12 AS g, event_id AS id, CAST(json_extract
     UNION ALL SELECT g, part + 40, usage_records + 1, malformed, resets, duplicates, CASE verdict WHEN 'accepted' THEN 'session_taken' ELSE verdict END FROM x WHERE g % 3 = 2)"""
 
 
-def rollout_lines(t: Tables) -> DataFrame:
-    """Cumulative totals, repeated ones, resets, records with a last usage only or counters that don't fit, changes of model, lines that can't be read."""
+def rollout_texts(t: Tables) -> DataFrame:
+    """g, n, value: cumulative totals, repeated ones, resets, records with a last usage only or counters that don't fit, changes of model, lines that can't be read."""
     g, of = F.col("g"), W.partitionBy("g").orderBy("event_id")
     rows = t.events.select((F.col("user_id") % 12).alias("g"), "event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k")).withColumn("n", F.row_number().over(of))
     n = F.col("n")
@@ -133,8 +135,15 @@ def rollout_lines(t: Tables) -> DataFrame:
         F.when(F.col("kind") == "meta", meta).when(F.col("kind") == "broken", '{"type": "turn_context", "payl').when(resets, info(total, only(F.lit(1)))).when(F.col("kind") == "invalid", info(unfit, none))
         .when(F.col("kind") == "last", info(none, only(F.col("k") + 1))).when(F.col("kind") == "model", model).otherwise(info(total, none))
     )
-    rows = written(rows.select("g", "n", value.alias("value")), "rollouts")
-    more = rows.where("g % 3 = 2").groupBy("g").agg(F.max("n").alias("n")).select("g", (F.col("n") + 1).alias("n"), info(none, only(F.lit(5).cast("long"))).alias("value"))
+    return rows.select("g", "n", value.alias("value"))
+
+
+def rollout_lines(t: Tables) -> DataFrame:
+    """Files of them: each session's own, some copied, and some with a line more under the same session."""
+    g, rows = F.col("g"), written(rollout_texts(t), "rollouts")
+    last = F.struct(*(F.lit(x).cast("long").alias(f) for f, x in zip(USAGE_FIELDS, (5, 0, 1, 0, 6), strict=True))).alias("last_token_usage")
+    extra = F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("token_count").alias("type"), F.struct(last).alias("info")).alias("payload")))
+    more = rows.where("g % 3 = 2").groupBy("g").agg(F.max("n").alias("n")).select("g", (F.col("n") + 1).alias("n"), extra.alias("value"))
     name = lambda extra: F.lpad((g + extra).cast("string"), 2, "0").alias("part")
     files = rows.select(name(0), "n", "value").unionByName(rows.where("g % 3 = 1").select(name(20), "n", "value")).unionByName(rows.where("g % 3 = 2").unionByName(more).select(name(40), "n", "value"))
     return rollout_records(jsonl_lines(t.spark, text_files(files, ["n"], "jsonl")))
@@ -162,6 +171,35 @@ def rollout_coverage_counters(t: Tables) -> DataFrame:
     return rollout_coverage(rollout_files(rollout_lines(t)))
 
 
+@query(f"""WITH {ROLLOUTS} SELECT model, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(c) AS BIGINT) AS cached_input_tokens, CAST(sum(t) AS BIGINT) AS output_tokens, CAST(sum(s) AS BIGINT) AS reasoning_output_tokens, count(*) AS updates,
+  count(*) FILTER (WHERE kind = 'reset') AS resets FROM u WHERE kind IN ('usage', 'reset', 'last') GROUP BY model""")
+def rollout_usage_stream(t: Tables) -> DataFrame:
+    """All sessions' lines as a stream that cuts them anywhere: model, last totals and resets live on between micro-batches."""
+    lines = written(rollout_texts(t).select(F.col("g").cast("string").alias("file"), F.col("n").cast("long").alias("line_no"), F.col("value").alias("line")), "stream-lines")
+    folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    for low, high in ((0, 17), (17, 61), (61, 1 << 60)):  # three writes, one after the other: as a log grows
+        lines.where((F.col("line_no") >= low) & (F.col("line_no") < high)).coalesce(1).write.mode("append").parquet(folder)
+    stream = t.spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = drained(rollout_stream(stream), t.spark).where("status = 'usage'")
+    return out.groupBy("model").agg(*(F.sum(c).alias(c) for c in USAGE_FIELDS[:4]), F.count(F.lit(1)).alias("updates"), F.count_if("reset").alias("resets"))
+
+
+STREAM_COUNTERS = ["input_tokens", "cache_write_input_tokens", "cache_read_input_tokens", "output_tokens"]
+
+
+@query(f"""WITH {CALLS}, c AS (SELECT CASE WHEN l_linenumber % 3 = 0 THEN '{FALLBACK_MODEL}' ELSE model END AS model, * EXCLUDE (model) FROM calls),
+  d AS (SELECT l_partkey, l_suppkey, arg_min(model, (model = '{FALLBACK_MODEL}', l_orderkey * 8 + l_linenumber)) AS model, {', '.join(f'max({x}) AS {x}' for x in STREAM_COUNTERS)} FROM c GROUP BY ALL)
+  SELECT model, count(*) AS calls, {', '.join(f'CAST(sum({x}) AS BIGINT) AS {x}' for x in STREAM_COUNTERS)} FROM d GROUP BY model""")
+def call_stream_totals(t: Tables) -> DataFrame:
+    """Calls merged over a whole stream whose micro-batches hold their repeats in any order: totals by model from signed changes."""
+    rows = calls(t).select(
+        F.concat_ws("-", "l_partkey", "l_suppkey").alias("call_key"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"), F.when(F.col("l_linenumber") % 3 == 0, FALLBACK_MODEL).otherwise(F.col("model")).alias("model"), "day", "time_ms", *STREAM_COUNTERS)
+    folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    rows.repartition(6, F.xxhash64("at")).write.parquet(folder)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    return signed_totals(drained(merged_call_stream(stream, STREAM_COUNTERS), t.spark), ["model"], STREAM_COUNTERS)
+
+
 # An editor's CSV: a row for each line item.
 EDITOR = """i AS (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(l_quantity AS BIGINT) AS qty, CAST(round(l_discount * 100) AS BIGINT) AS wr FROM lineitem),
   r AS (SELECT *, CASE l_linestatus WHEN 'O' THEN 'composer-1' ELSE 'claude-sonnet-4-5' END AS model, CASE WHEN l_returnflag = 'A' OR l_linenumber = 3 THEN 'included' WHEN (l_returnflag = 'R' AND l_linenumber % 2 = 1) OR l_linenumber IN (2, 5) THEN 'not_charged' WHEN l_linenumber = 4 THEN 'unreadable' ELSE 'charged' END AS charge FROM i)"""

@@ -139,15 +139,8 @@ def _projected(e: Column, keys: Column, line: Column) -> Column:
     return F.when(keys.isNull() | (json_depth(line) > DEEPEST), "failed").when(too_long, "unresolved").otherwise(known)
 
 
-def rollout_records(lines: DataFrame) -> DataFrame:
-    """What each line of a rollout is and adds: status, the model set last, usage since the line before, session id and whether it leaves the file incomplete.
-
-    status: malformed, oversized (longer than LONGEST_LINE and not to be told
-    from its wanted places), meta, usage, duplicate (the same total again), reset
-    (a smaller total without usage of its own), unread (no usable counters),
-    empty (nothing was used), other.  reset also marks usage that follows one.  A
-    line that can't be read sets the model back to unknown.
-    """
+def rollout_events(lines: DataFrame) -> DataFrame:
+    """What each line of a rollout says by itself: the model it sets, the session it names, the counters it gives, or that it can't be read."""
     big = F.length("line") > LONGEST_LINE
     e = F.from_json("line", ROLLOUT)
     rows = lines.select("file", "line_no", F.xxhash64("line").alias("digest"), big.alias("big"), e.alias("e"), F.json_object_keys("line").alias("keys"), F.when(big, F.col("line")).alias("big_line"), F.when(~big & ~F.ltrim("line").startswith("{"), F.col("line")).alias("scalar"))
@@ -163,12 +156,24 @@ def rollout_records(lines: DataFrame) -> DataFrame:
     )
     counts = F.coalesce(read & (kind == "event_msg") & (p["type"] == "token_count"), F.lit(False))
     meta = F.coalesce(read & (kind == "session_meta"), F.lit(False))
-    rows = rows.select(
+    return rows.select(
         "file", "line_no", "digest", malformed.alias("malformed"), oversized.alias("oversized"), counts.alias("counts"), meta.alias("meta"), F.when(meta, p["id"]).alias("session_id"), setter.alias("setter"),
         (malformed | (oversized & ((F.col("projection") == "failed") | F.coalesce(kind == "session_meta", F.lit(False))))).alias("uncertain"), F.col("e.timestamp").alias("timestamp"),
         F.when(counts, _strict_usage(p["info"]["total_token_usage"])).alias("total"), F.when(counts, _strict_usage(p["info"]["last_token_usage"])).alias("last"),
     )
+
+
+def rollout_records(lines: DataFrame) -> DataFrame:
+    """What each line of a rollout is and adds: status, the model set last, usage since the line before, session id and whether it leaves the file incomplete.
+
+    status: malformed, oversized (longer than LONGEST_LINE and not to be told
+    from its wanted places), meta, usage, duplicate (the same total again), reset
+    (a smaller total without usage of its own), unread (no usable counters),
+    empty (nothing was used), other.  reset also marks usage that follows one.  A
+    line that can't be read sets the model back to unknown.
+    """
     order = W.partitionBy("file").orderBy("line_no")
+    rows = rollout_events(lines)
     rows = rows.withColumns({"model": F.coalesce(F.last("setter", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(FALLBACK_MODEL)), "before": F.last("total", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))})
     total, last, before = F.col("total"), F.col("last"), F.col("before")
     falls = F.lit(False)

@@ -1,4 +1,4 @@
-"""Usage as a stream: hourly totals with a watermark, and counter deltas with state for each series."""
+"""Usage as a stream: hourly totals, counter deltas, calls merged over the whole run, and rollouts line by line."""
 
 from __future__ import annotations
 
@@ -6,14 +6,16 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.functions.columns import FALLBACK_MODEL
 from tallyloom.plans.shared import shared_folder
+from tallyloom.sources.session_logs import USAGE_FIELDS, rollout_events
 
 
-def _drained(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
     """What a stream gives when all present input is read, as a table in the shared folder; a restart goes on from its checkpoint."""
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream.writeStream.outputMode(mode).format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
@@ -68,3 +70,90 @@ def counter_delta_stream(snapshots: DataFrame) -> DataFrame:
         yield pd.DataFrame(rows, columns=["series", "at", "usage", "reset"]).astype({"usage": "Int64"})
 
     return snapshots.groupBy("series").applyInPandasWithState(step, DELTA, STATE, "append", "NoTimeout")
+
+
+def merged_call_stream(calls: DataFrame, counters: list[str]) -> DataFrame:
+    """Changes to the calls of a stream(call_key, at, model, day, time_ms, counters): of each call the largest counters, whatever comes when.
+
+    A call is merged over the whole run, however late a repeat comes, so a row
+    that was given out may turn out too small.  It is then taken back: rows have
+    a sign, -1 for what no longer holds and 1 for what does, and a version.  Sums
+    over sign times value are those of the batch rule after every micro-batch.
+    A recognised model counts before the fallback, then the earliest one.
+    """
+    values = ["model", "day", "time_ms", *counters, "copies"]
+    kinds = {"model": "string", "day": "string", **dict.fromkeys(("time_ms", *counters, "copies"), "long")}
+    fields = ", ".join(f"{c} {kinds[c]}" for c in values)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        version, known, at, old = 0, False, 0, None
+        if state.exists:
+            version, known, at, *old = state.get
+        new = dict(zip(values, old, strict=True)) if old else None
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                order, shown = (row.model == FALLBACK_MODEL, row.at), (not known, at)
+                if new is None or order < shown:
+                    known, at, model = row.model != FALLBACK_MODEL, row.at, row.model
+                else:
+                    model = new["model"]
+                least = lambda c: min((x for x in (new and new[c], getattr(row, c)) if x is not None and x == x), default=None)  # noqa: B023, E731
+                most = {c: max(int(getattr(row, c)), new[c] if new else 0) for c in counters}
+                new = {"model": model, "day": least("day"), "time_ms": least("time_ms"), **most, "copies": (new["copies"] if new else 0) + 1}
+        out = [] if old is None else [(-1, version, *old)]
+        now = tuple(None if v is None else int(v) if kinds[c] == "long" else v for c, v in new.items())
+        state.update((version + 1, known, int(at), *now))
+        frame = pd.DataFrame([*out, (1, version + 1, *now)], columns=["sign", "version", *values])
+        frame.insert(0, "call_key", key[0])
+        yield frame.astype({c: "Int64" for c in values if kinds[c] == "long"})
+
+    state = f"version long, known boolean, at long, {fields}"
+    rows = calls.select("call_key", "at", "model", "day", "time_ms", *counters)
+    return rows.groupBy("call_key").applyInPandasWithState(step, f"call_key string, sign long, version long, {fields}", state, "append", "NoTimeout")
+
+
+def signed_totals(changes: DataFrame, by: list[str], counters: list[str]) -> DataFrame:
+    """Calls and counters by key from changes: what was taken back cancels out; keys that nothing is left of are dropped."""
+    out = changes.groupBy(*by).agg(F.sum("sign").alias("calls"), *(F.sum(F.col("sign") * F.col(c)).alias(c) for c in counters))
+    return out.where("calls > 0")
+
+
+ROLLOUT_STEP = "file string, line_no long, status string, model string, reset boolean, " + ", ".join(f"{f} long" for f in USAGE_FIELDS)
+ROLLOUT_STATE = f"model string, session string, conflict boolean, uncertain boolean, {', '.join(f'{f} long' for f in USAGE_FIELDS)}"
+
+
+def rollout_stream(lines: DataFrame) -> DataFrame:
+    """Usage of a stream of rollout lines(file, line_no, line): what rollout_records gives, whatever lines come together.
+
+    Each file's lines come in order.  Its state is all that a later line can
+    depend on: the model set last, the session named and whether another was,
+    whether a line couldn't be read, and the last total of each counter.
+    """
+    flat = lambda c: F.array(*(F.col(f"{c}.{f}") for f in USAGE_FIELDS))
+    each = lambda c: F.when(F.col(c).isNotNull(), flat(c)).alias(c)
+    events = rollout_events(lines).select("file", "line_no", "malformed", "oversized", "counts", "meta", "session_id", "setter", "uncertain", each("total"), each("last"))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        model, session, conflict, uncertain, *before = state.get if state.exists else (FALLBACK_MODEL, None, False, False, *[None] * len(USAGE_FIELDS))
+        before, rows = None if before[0] is None else before, []
+        for e in pd.concat(list(batches)).sort_values("line_no").itertuples(index=False):
+            model, uncertain = e.setter if isinstance(e.setter, str) else model, uncertain or bool(e.uncertain)
+            if e.meta:
+                conflict = conflict or not isinstance(e.session_id, str) or session not in (None, e.session_id)
+                session = session or (e.session_id if isinstance(e.session_id, str) else None)
+            total, last = (None if x is None else [int(v) for v in x] for x in (e.total, e.last))
+            reset, used, status = False, last, "other"
+            if e.counts and total is not None:
+                delta = [a - b for a, b in zip(total, before or [0] * len(total), strict=True)]
+                reset, again = before is not None and min(delta) < 0, total == before
+                used, status = (last if reset else delta), "duplicate" if again else None
+                before = total
+            if e.counts and status != "duplicate":
+                status = ("reset" if reset else "unread") if used is None else "usage" if used[0] + used[2] else "empty"
+            status = "malformed" if e.malformed else "oversized" if e.oversized else "meta" if e.meta else status
+            rows.append((key[0], int(e.line_no), status, model, reset, *(used if e.counts and used else [None] * len(USAGE_FIELDS))))
+        state.update((model, session, conflict, uncertain, *(before or [None] * len(USAGE_FIELDS))))
+        frame = pd.DataFrame(rows, columns=["file", "line_no", "status", "model", "reset", *USAGE_FIELDS])
+        yield frame.astype(dict.fromkeys(USAGE_FIELDS, "Int64"))
+
+    return events.groupBy("file").applyInPandasWithState(step, ROLLOUT_STEP, ROLLOUT_STATE, "append", "NoTimeout")

@@ -8,7 +8,7 @@ from tallyloom.functions.columns import COUNTERS, sanitize_model_label, strict_m
 from tallyloom.operators.conversations import visible_branch
 from tallyloom.sources.exports import billing_items, billing_usage, console_usage, csv_kind, editor_usage, excluded_skus, flat_conversations, one_kind, read_csv, tree_conversations
 from tallyloom.sources.sinks import cost_cell, report_document, write_new_json
-from tallyloom.streaming.usage import _drained, counter_delta_stream
+from tallyloom.streaming.usage import drained, counter_delta_stream
 
 
 def column(spark, values, f):
@@ -80,5 +80,5 @@ def test_counter_stream_equals_the_batch_rule(spark, tmp_path):
     rows = [("a", 1, 5), ("a", 2, 5), ("a", 3, 9), ("b", 1, 4), ("a", 4, 2), ("b", 2, 7)]
     spark.createDataFrame(rows, "series string, at long, total long").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("series string, at long, total long").parquet(str(tmp_path / "in"))
-    got = sorted(tuple(r) for r in _drained(counter_delta_stream(stream), spark).collect())
+    got = sorted(tuple(r) for r in drained(counter_delta_stream(stream), spark).collect())
     assert got == [("a", 1, 5, False), ("a", 3, 4, False), ("a", 4, None, True), ("b", 1, 4, False), ("b", 2, 3, False)]
