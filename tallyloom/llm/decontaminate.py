@@ -269,16 +269,16 @@ class Benchmark:
             item_id, own, masks, ending, n_ending = self.items[item]
             margin, least = int(self.margin(item, width)), p.common * len(own) - 1e-9
             low, high = int(first[text]), int(first[text + 1])
-            # No more of the item can be in order than stands there in any order.
-            there = lambda region: sum(masks[w].bit_count() for w in masks.keys() & set(region))  # noqa: B023, E731
-            if there(words[max(low, int(starts[0]) - margin) : min(high, int(starts[-1]) + width + margin)].tolist()) < least:
+            # No more of the item can be in order than stands there in any order; its repeats may all be there.
+            least -= len(own) - len(masks)
+            if len(masks.keys() & set(words[max(low, int(starts[0]) - margin) : min(high, int(starts[-1]) + width + margin)].tolist())) < least:
                 continue
             for start, cosine in zip(starts.tolist(), cosines.tolist(), strict=True):
                 old = best.get((text, item_id))
                 if old and old[0] == 1.0:
                     break
                 region = words[max(low, start - margin) : min(high, start + width + margin)].tolist()
-                if there(region) < least:
+                if len(masks.keys() & set(region)) < least:
                     continue
                 common = common_length(masks, len(own), region) / len(own)
                 if common < p.common or old and old[0] >= common:
