@@ -16,10 +16,11 @@ from tallyloom.functions.columns import interval_score, multiplicative_error, qu
 from tallyloom.operators.forecast import Priors, blend, calibrate, fit_priors, forecast, forecast_metrics, with_analogies
 from tallyloom.operators.ranks import medians, quantiles, ranked_values
 from tallyloom.operators.retrieval import (
-    Retrieval, Stability, abstains, average_rank, first_reaching, jaccard_pairs, latest_in_cells, nearest, neighbourhoods, recency_median, running_sums, stability_band, stability_multiplier, weighted_similarity,
+    Retrieval, Stability, abstains, first_reaching, jaccard_pairs, latest_in_cells, nearest, neighbourhoods, recency_median, running_sums, stability_band, stability_multiplier, weighted_similarity,
 )
+from tallyloom.operators.screen import borda_neighbours
 from tallyloom.operators.usage import keep_recent
-from tallyloom.operators.vectors import nearest_vectors
+from tallyloom.operators.vectors import nearest_vectors, robust_scales
 from tallyloom.plans.registry import Tables, query
 from tallyloom.plans.shared import written
 
@@ -472,12 +473,7 @@ SCALED = """d AS (SELECT unnest(range(1, len(embedding) + 1)) AS dim, unnest(emb
 
 
 def scaler(t: Tables) -> DataFrame:
-    """dim (from 1), med, scale, active: scaled MAD of every dimension, the quartile range where the MAD is nothing."""
-    d = t.embeddings.select(F.posexplode("embedding").alias("dim", "x")).select((F.col("dim") + 1).alias("dim"), F.col("x").cast("double").alias("x"))
-    m = quantiles(d, ["dim"], "x", {"med": 0.5, "low": 0.25, "high": 0.75})
-    mad = quantiles(d.join(m.select("dim", "med"), "dim").select("dim", F.abs(F.col("x") - F.col("med")).alias("off")), ["dim"], "off", {"mad": 0.5}).drop("n")
-    scale = F.when(1.4826 * F.col("mad") > 1e-12, 1.4826 * F.col("mad")).otherwise((F.col("high") - F.col("low")) / 1.349)
-    return m.join(mad, "dim").select("dim", "med", scale.alias("scale"), (scale > 1e-12).alias("active"))
+    return robust_scales(t.embeddings.select(F.col("embedding").alias("v")))
 
 
 @query(f"WITH {SCALED} SELECT CAST(dim AS INT) AS dim, round(med, 6) AS med, round(scale, 6) AS scale, scale > 1e-12::DOUBLE AS active FROM scaler")
@@ -520,13 +516,12 @@ _RANKS = " + ".join(f"rank() OVER (PARTITION BY q_task_id ORDER BY d{i}) + (coun
   SELECT q_task_id, c_task_id, CAST(rank AS INT) AS rank, round(borda, 4) AS borda FROM (SELECT *, row_number() OVER (PARTITION BY q_task_id ORDER BY borda, c_ts DESC) AS rank FROM r) WHERE rank <= 3""")
 def borda_rank(t: Tables) -> DataFrame:
     """Mean rank by five voters: trigrams, words, unique words, digits and project, over all strictly earlier prompts of each query."""
+    rows = voting(prompts(t))
+    return borda_neighbours(rows.where(ASKED), rows, 3).select("q_task_id", "c_task_id", "rank", F.round("borda", 4).alias("borda"))
+
+
+def voting(rows: DataFrame) -> DataFrame:
+    """Prompts with what the voters compare."""
     digits = F.length(F.regexp_replace("text", "[^0-9]", "")) / F.length("text")
-    rows = prompts(t).select("task_id", "ts", "role", F.size("w").alias("words"), F.coalesce(F.try_divide(F.size(F.array_distinct("w")).cast("double"), F.size("w")), F.lit(0.0)).alias("uniq"), F.when(F.length("text") > 0, digits).otherwise(0.0).alias("digits"))
-    q, c = (rows.select(*(F.col(x).alias(f"{side}_{x}") for x in rows.columns)) for side in "qc")
-    alike = asked_pairs(prompts(t)).select("q_task_id", "c_task_id", "jaccard")
-    pairs = q.where("q_task_id % 50 = 0").join(c, F.col("c_ts") < F.col("q_ts")).join(alike, ["q_task_id", "c_task_id"], "left")  # the stated queries against all rows
-    gap = lambda x: F.round(F.abs(F.col(f"q_{x}") - F.col(f"c_{x}")), 9)
-    pairs = pairs.select("q_task_id", "c_task_id", "c_ts", (-F.coalesce("jaccard", F.lit(0.0))).alias("d1"), F.round(F.abs(F.log1p("q_words") - F.log1p("c_words")), 9).alias("d2"), gap("uniq").alias("d3"), gap("digits").alias("d4"), (F.col("q_role") != F.col("c_role")).cast("int").alias("d5"))
-    voters = [average_rank(["q_task_id"], f"d{i}") for i in range(1, 6)]
-    pairs = pairs.withColumn("borda", sum(voters[1:], voters[0]) / 5)
-    return nearest(pairs, -F.col("borda"), 3).select("q_task_id", "c_task_id", "rank", F.round("borda", 4).alias("borda"))
+    uniq = F.coalesce(F.try_divide(F.size(F.array_distinct("w")).cast("double"), F.size("w")), F.lit(0.0))
+    return rows.withColumns({"words": F.size("w"), "uniq": uniq, "digits": F.when(F.length("text") > 0, digits).otherwise(0.0)})
