@@ -32,3 +32,43 @@ def shared_identities(rows: DataFrame, row: str, identity: str, folder: str) ->
         near = edges.join(least, "identity").groupBy("row").agg(F.min("component").alias("component"))
         jump = labels.select(F.col("row").alias("component"), F.col("component").alias("beyond"))
         labels = keep(near.join(jump, "component").select("row", F.col("beyond").alias("component")))
+
+
+def alias_calls(records: DataFrame, counters: list[str], folder: str) -> tuple[DataFrame, DataFrame]:
+    """Calls known by a message id or a request id, either of which later records may leave out, and the records that break the rule.
+
+    records(at, message_id, request_id, model, counters): at is unique and gives
+    the order.  A record belongs to the call that one of its ids already names,
+    else it starts one.  Violations are rows (at, code): no_identity for a record
+    with usage and no id, bridge for one whose two ids name different calls by
+    then, model_conflict for a model other than that of the call's first record.
+    Calls are rows (call, model, counters, copies), the largest of each counter
+    over all records but bridges; call is the first record's at.  Records without
+    any usage don't exist.
+
+    Order makes no loop: a record adds an id that is new to it, or it adds
+    nothing.  So links of records with a new id alone are the calls of any
+    moment, and a bridge is a record of two known ids in different ones.
+    """
+    used = F.lit(0)
+    for c in counters:
+        used = used + F.col(c)
+    rows = records.where(used > 0).select("at", F.concat(F.lit("m:"), "message_id").alias("m"), F.concat(F.lit("r:"), "request_id").alias("r"), "model", *counters)
+    nameless = rows.where("m is null and r is null").select("at", F.lit("no_identity").alias("code"))
+    rows = rows.where("m is not null or r is not null")
+    ids = rows.select("at", F.explode(F.array("m", "r")).alias("id")).where("id is not null")
+    first = ids.groupBy("id").agg(F.min("at").alias("first"))
+    seen = lambda c: first.select(F.col("id").alias(c), F.col("first").alias(f"{c}_first"))
+    rows = rows.join(seen("m"), "m", "left").join(seen("r"), "r", "left")
+    rows = rows.withColumn("joins", F.coalesce(F.col("m_first") == F.col("at"), F.lit(False)) | F.coalesce(F.col("r_first") == F.col("at"), F.lit(False)))
+    linked = rows.where("joins").select("at", F.explode(F.array("m", "r")).alias("id")).where("id is not null")
+    calls = shared_identities(linked, "at", "id", folder).withColumnsRenamed({"row": "at", "component": "call"})
+    named = linked.join(calls, "at").groupBy("id").agg(F.min("call").alias("call"))
+    of = lambda c: named.select(F.col("id").alias(c), F.col("call").alias(f"{c}_call"))
+    rows = rows.join(of("m"), "m", "left").join(of("r"), "r", "left")
+    bridge = F.coalesce(F.col("m_call") != F.col("r_call"), F.lit(False))
+    rows = rows.select("at", "model", *counters, F.coalesce("m_call", "r_call").alias("call"), bridge.alias("bridge"))
+    whole = rows.where("not bridge").groupBy("call").agg(F.min_by("model", "at").alias("model"), *(F.max(c).alias(c) for c in counters), F.count(F.lit(1)).alias("copies"))
+    conflict = rows.where("not bridge").join(whole.select("call", F.col("model").alias("_model")), "call").where(~F.col("model").eqNullSafe(F.col("_model"))).select("at", F.lit("model_conflict").alias("code"))
+    bridges = rows.where("bridge").select("at", F.lit("bridge").alias("code"))
+    return whole, nameless.unionByName(bridges).unionByName(conflict)

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import ELAPSED_MINUTES, RECORD_BUCKETS, TOKEN_BUCKETS, WORKFLOW_SHAPES, bucket_of, in_bucket, month_of, total_tokens
-from tallyloom.operators.components import shared_identities
+from tallyloom.operators.components import alias_calls, shared_identities
 from tallyloom.operators.ranks import numbered
 from tallyloom.operators.usage import counter_deltas, dedup_calls, forward_fill, session_rollup, session_starts, usage_by
 from tallyloom.plans.registry import Tables, query
@@ -74,6 +74,41 @@ def call_alias_components(t: Tables) -> DataFrame:
     return shared_identities(ids, "row", "identity", shared_folder(t.spark))
 
 
+ALIASES = """l AS (SELECT l_orderkey * 8 + l_linenumber AS pos, l_orderkey AS o, l_linenumber AS n, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+  records AS (SELECT pos, CASE WHEN pos % 7 > 0 THEN 'm:' || o END AS m, CASE WHEN pos % 5 = 0 THEN NULL WHEN pos % 97 < 3 THEN 'r:' || (o - 1) * 10 ELSE 'r:' || (o * 10 + n % 2) END AS r, CASE WHEN pos % 89 = 0 THEN 'other' ELSE 'model-' || o % 3 END AS model,
+    CASE WHEN pos % 101 = 0 THEN 0 ELSE q END AS input_tokens, CASE WHEN pos % 101 = 0 THEN 0 ELSE n END AS output_tokens FROM l),
+  live AS (SELECT * FROM records WHERE input_tokens + output_tokens > 0), ids AS (SELECT pos, m AS id FROM live WHERE m IS NOT NULL UNION ALL SELECT pos, r FROM live WHERE r IS NOT NULL), firsts AS (SELECT id, min(pos) AS first FROM ids GROUP BY id),
+  f AS (SELECT live.*, a.first AS m_first, b.first AS r_first FROM live LEFT JOIN firsts a ON a.id = m LEFT JOIN firsts b ON b.id = r WHERE m IS NOT NULL OR r IS NOT NULL),
+  links AS (SELECT DISTINCT m AS x, r AS y FROM f WHERE m IS NOT NULL AND r IS NOT NULL AND (m_first = pos OR r_first = pos)), edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+  reach(id, other) AS (SELECT id, id FROM firsts UNION SELECT reach.id, edges.y FROM reach JOIN edges ON edges.x = reach.other), named AS (SELECT reach.id, min(first) AS call FROM reach JOIN firsts ON firsts.id = reach.other GROUP BY reach.id),
+  g AS (SELECT f.*, coalesce(a.call, b.call) AS call, coalesce(a.call <> b.call, false) AS bridge FROM f LEFT JOIN named a ON a.id = m LEFT JOIN named b ON b.id = r),
+  merged AS (SELECT call, arg_min(model, pos) AS model, max(input_tokens) AS input_tokens, CAST(max(output_tokens) AS BIGINT) AS output_tokens, count(*) AS copies FROM g WHERE NOT bridge GROUP BY call)"""
+
+
+def alias_records(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Line items as records of an order's call: ids left out, two requests of one message, an id of the order before, other models, no usage."""
+    o, n, at = F.col("l_orderkey"), F.col("l_linenumber"), F.col("at")
+    request = F.when(at % 5 == 0, None).when(at % 97 < 3, ((o - 1) * 10).cast("string")).otherwise((o * 10 + n % 2).cast("string"))
+    counter = lambda c: F.when(at % 101 == 0, 0).otherwise(c).cast("long")
+    rows = t.lineitem.withColumn("at", o * 8 + n).select(
+        "at", F.when(at % 7 > 0, o.cast("string")).alias("message_id"), request.alias("request_id"), F.when(at % 89 == 0, "other").otherwise(F.concat(F.lit("model-"), (o % 3).cast("string"))).alias("model"),
+        counter(F.col("l_quantity")).alias("input_tokens"), counter(n).alias("output_tokens"))
+    return alias_calls(rows, ["input_tokens", "output_tokens"], shared_folder(t.spark))
+
+
+@query(f"WITH RECURSIVE {ALIASES} SELECT * FROM merged")
+def alias_merged_calls(t: Tables) -> DataFrame:
+    """Calls that later records name by either id, with the largest of each counter."""
+    return alias_records(t)[0]
+
+
+@query(f"""WITH RECURSIVE {ALIASES} SELECT pos AS "at", 'no_identity' AS code FROM live WHERE m IS NULL AND r IS NULL UNION ALL SELECT pos, 'bridge' FROM g WHERE bridge
+  UNION ALL SELECT g.pos, 'model_conflict' FROM g JOIN merged USING (call) WHERE NOT bridge AND g.model IS DISTINCT FROM merged.model""")
+def alias_violations(t: Tables) -> DataFrame:
+    """Records that would join two calls, change a call's model, or belong to none."""
+    return alias_records(t)[1]
+
+
 def session_records(t: Tables) -> DataFrame:
     return t.events.select(F.col("user_id").alias("session_key"), (F.col("value") * 10).cast("long").alias("tokens"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.unix_millis(F.col("ts").cast("timestamp")).alias("time_ms"))
 
