@@ -12,6 +12,7 @@ from tallyloom.operators.conversations import best_snapshots, visible_branch
 from tallyloom.operators.ranks import numbered
 from tallyloom.operators.rules import closed_keys, histogram_feasible, violations
 from tallyloom.operators.usage import session_rollup, session_starts, usage_by
+from tallyloom.functions.prompt_features import BUCKETS, prompt_features
 from tallyloom.plans.registry import Tables, query
 from tallyloom.plans.usage_queries import SESSIONS, calls, session_records
 from tallyloom.streaming.usage import hourly_totals
@@ -38,6 +39,26 @@ def fnv1a_hash(t: Tables) -> DataFrame:
     return each.select("event_type", fnv1a(F.col("event_type")).alias("hash"), "n")
 
 
+_FNV = "list_reduce(list_concat([2166136261::BIGINT], list_transform(string_split({0}, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: CAST((xor(h, c)::HUGEINT * 16777619) % 4294967296 AS BIGINT))"
+
+
+@query(f"""WITH n AS (SELECT conv_id, turn, trim(regexp_replace(lower(nfc_normalize(coalesce(text, ''))), '\s+', ' ', 'g')) AS t FROM conversations), w AS (SELECT *, regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+') AS w FROM n),
+  u AS (SELECT x, {_FNV.format('x')} AS h FROM (SELECT DISTINCT unnest(w) AS x FROM w)), b AS (SELECT conv_id, turn, h % 48 AS bucket, sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END) AS v FROM (SELECT conv_id, turn, unnest(w) AS x FROM w) JOIN u USING (x) GROUP BY ALL),
+  v AS (SELECT conv_id, turn, sum((bucket + 1) * v) / sqrt(sum(v * v)) AS checksum, sum(abs(v)) / sqrt(sum(v * v)) AS absolute FROM b GROUP BY ALL HAVING sum(v * v) > 0),
+  g AS (SELECT conv_id, turn, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, chr(1))] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2]) END) AS g FROM w),
+  t3 AS (SELECT conv_id, turn, count(DISTINCT h) AS trigrams, CAST(sum(DISTINCT h) AS BIGINT) AS trigram_sum FROM (SELECT conv_id, turn, {_FNV.format('x')} AS h FROM (SELECT conv_id, turn, unnest(g) AS x FROM g)) GROUP BY ALL)
+  SELECT w.conv_id, w.turn, len(w) AS words, length(t) AS chars, round(CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0 END, 9) AS uniq, round(CASE WHEN length(t) > 0 THEN length(regexp_replace(t, '[^0-9]', '', 'g')) / length(t) ELSE 0 END, 9) AS digits,
+    round(coalesce(checksum, 0), 6) AS checksum, round(coalesce(absolute, 0), 6) AS absolute, coalesce(trigrams, 0) AS trigrams, coalesce(trigram_sum, 0) AS trigram_sum FROM w LEFT JOIN v USING (conv_id, turn) LEFT JOIN t3 USING (conv_id, turn)""")
+def prompt_feature_vectors(t: Tables) -> DataFrame:
+    """Normalised texts, the signed 48-bucket vector (two sums over it) and hashed trigrams."""
+    rows = t.conversations.select("conv_id", "turn", prompt_features(F.col("text")).alias("f"))
+    buckets = F.slice("f.vector", 1, BUCKETS)
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return rows.select(
+        "conv_id", "turn", F.col("f.words").alias("words"), F.col("f.chars").alias("chars"), F.round("f.uniq", 9).alias("uniq"), F.round("f.digits", 9).alias("digits"), F.round(add(F.transform(buckets, lambda x, i: x * (i + 1))), 6).alias("checksum"),
+        F.round(add(F.transform(buckets, F.abs)), 6).alias("absolute"), F.size("f.trigrams").cast("long").alias("trigrams"), F.aggregate("f.trigrams", F.lit(0).cast("long"), lambda a, x: a + x).alias("trigram_sum"))
+
+
 @query("SELECT role, CAST(sum(CAST(ceil(length(text) / 4.0::DOUBLE) AS BIGINT)) AS BIGINT) AS tokens, count(*) AS turns FROM conversations GROUP BY role")
 def token_estimate_by_role(t: Tables) -> DataFrame:
     return t.conversations.groupBy("role").agg(F.sum(token_estimate(F.col("text"))).alias("tokens"), F.count(F.lit(1)).alias("turns"))
