@@ -118,9 +118,13 @@ def fit(docs: DataFrame, labels: DataFrame, params: Toxicity = Toxicity()) -> Mo
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # At most about max_rows pairs of numbers: small by that parameter.
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
-    found = marked.select("doc_id", "_text").distinct().count()
-    share = min(1.0, p.max_rows / max(1, found))
-    marked = marked.where(F.pmod(F.xxhash64("doc_id", "_text", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["doc_id", "_text"]).select("doc_id", "toxic", "text")
+    each = marked.groupBy("doc_id", "_text").agg(F.count(F.lit(1)).alias("n"))
+    found, n_rows = each.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if found > 1.1 * p.max_rows:
+        marked = marked.where(F.pmod(F.xxhash64("doc_id", "_text", F.lit(1)), F.lit(1 << 30)) < int(p.max_rows / found * (1 << 30)))
+    if n_rows > found:  # texts are only moved where some repeat
+        marked = marked.dropDuplicates(["doc_id", "_text"])
+    marked = marked.select("doc_id", "toxic", "text")
     rows = scratch.write(marked.mapInArrow(partial(_extract, p), "doc_id long, toxic int, features array<int>"), "rows")
     n, n_toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     weights = np.zeros(1 << p.bits, dtype=np.float32)
