@@ -168,6 +168,68 @@ def _shingles(p: NearDedup):
     return run
 
 
+#: Members and shingles of a block of a group, about, and shingles that are compared at a time.
+BLOCK_MEMBERS, BLOCK_SHINGLES, _COLUMNS = 256, 1 << 18, 4096
+PACKED = "centre long, block long, ids binary, sizes binary, shingles binary"
+
+
+def _packed(p: NearDedup):
+    """One row of a block's members: ids, set sizes and sets end to end."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = [s for part in table.to_batches() for s in shingle_sets(*utf8(part.column("text")), p.words)]
+        data = [np.array(table.column("id").to_pylist(), dtype=np.int64), np.array([len(s) for s in sets], dtype=np.int64), np.concatenate(sets)]
+        first = [table.column(c).slice(0, 1).combine_chunks() for c in ("centre", "block")]
+        return pa.table([*first, *(pa.array([x.tobytes()], pa.binary()) for x in data)], names=["centre", "block", "ids", "sizes", "shingles"])
+
+    return run
+
+
+def common_shingles(sizes: np.ndarray, shingles: np.ndarray, n_left: int) -> np.ndarray:
+    """Sizes of the intersections of the first n_left sets with all sets; shingles that only one set has are in none."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, count = np.unique(shingles, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner, column = owner[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((n_left, len(sizes)), dtype=np.float32)  # exact below 2^24
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        part = slice(*np.searchsorted(column, (low, low + _COLUMNS)))
+        has = np.zeros((len(sizes), _COLUMNS), dtype=np.float32)
+        has[owner[part], column[part] - low] = 1
+        out += has[:n_left] @ has.T
+    return np.rint(out).astype(np.int64)
+
+
+def _block_links(p: NearDedup):
+    """Of two blocks of a group, links that connect what their near members connect: fewer than they have members."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = lambda c, t: np.frombuffer(batch.column(c)[row].as_py() or b"", dtype=t)  # noqa: B023, E731
+                ids, sizes = (np.concatenate([get(c, np.int64), get(f"{c}_far", np.int64)]) for c in ("ids", "sizes"))
+                n_left = len(get("ids", np.int64))
+                both = common_shingles(sizes, np.concatenate([get("shingles", U64), get("shingles_far", U64)]), n_left)
+                near = 100 * both >= p.percent * (sizes[:n_left, None] + sizes[None, :] - both)
+                root = np.arange(len(ids))
+                while True:  # each takes the least root in sight
+                    least = root.copy()
+                    seen = np.where(near, root[None, :], len(ids))
+                    least[:n_left] = np.minimum(least[:n_left], seen.min(axis=1))
+                    least = np.minimum(least, np.where(near, least[:n_left, None], len(ids)).min(axis=0))
+                    if (least == root).all():
+                        break
+                    root = least
+                linked = root != np.arange(len(ids))
+                a, b = ids[linked], ids[root[linked]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+
+    return run
+
+
 def _links(pairs: DataFrame, texts: DataFrame, p: NearDedup) -> DataFrame:
     """The pairs (u, v) of classes whose texts are near."""
     left = texts.select(F.col("id").alias("u"), F.col("text").alias("left"))
@@ -212,12 +274,15 @@ class _Groups:
             pairs = pairs.join(reduce(DataFrame.unionByName, self.checked), ["u", "v"], "left_anti")
         pairs = scratch.write(pairs, f"pairs-{name}")
         self.checked.append(pairs)
-        links = scratch.write(_links(pairs, self.texts, self.p), f"links-{name}")
+        return self.join(scratch.write(_links(pairs, self.texts, self.p), f"links-{name}"), name)
+
+    def join(self, links: DataFrame, name: str) -> bool:
+        """Joins the components that links connect; False if there are none."""
         if links.isEmpty():
             return False
         if self.found is not None:
             links = links.unionByName(self.found.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        self.found = scratch.write(components(links, scratch, f"components-{name}"), f"found-{name}")
+        self.found = self.scratch.write(components(links, self.scratch, f"components-{name}"), f"found-{name}")
         return True
 
     def compare_with_heads(self, k: int) -> bool:
@@ -240,31 +305,47 @@ class _Groups:
         self.scratch.drop(f"placed-{k}")
         return more
 
+    def compare_groups(self) -> None:
+        """Members of mixed buckets that have one centre are compared group by group: blocks of their sets with blocks, by matrix products.
+
+        A pair of blocks gives fewer links than it has members, so a group of m
+        near copies makes about (m / BLOCK_MEMBERS)^2 / 2 rows and no pairs.
+        """
+        members = self.scratch.write(self.placed().select("id", "n_shingles", "component").distinct().join(self.centres, "id"), "grouped")
+        groups = members.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
+        blocks = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+        members = members.select("id", "centre").join(groups.select("centre", blocks.alias("blocks")), "centre")
+        packed = members.select("id", "centre", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).join(self.texts, "id")
+        packed = self.scratch.write(packed.select("id", "centre", "block", "text").groupBy("centre", "block").applyInArrow(_packed(self.p), PACKED), "packed")
+        far = packed.select("centre", F.col("block").alias("block_far"), *(F.col(c).alias(f"{c}_far") for c in ("ids", "sizes", "shingles")))
+        pairs = packed.join(far, "centre").where("block < block_far").drop("block", "block_far")
+        none = [F.lit(None).cast("binary").alias(f"{c}_far") for c in ("ids", "sizes", "shingles")]
+        pairs = pairs.unionByName(packed.select("centre", "ids", "sizes", "shingles", *none))
+        self.join(self.scratch.write(pairs.mapInArrow(_block_links(self.p), "u long, v long").distinct(), "links-groups"), "groups")
+
     def compare_rest(self) -> None:
-        """All pairs of members in a bucket that are in different components by now."""
+        """All pairs of members in a bucket that are in different components by now and have different centres."""
         placed = self.scratch.write(self.placed(), "mixed")
-        # Shingles that only one of these documents has are in no intersection, nor those that only one with its centre has in one with another of them.
+        # Shingles that only one of these documents has are in no intersection.
         texts = self.texts.join(placed.select("id").distinct(), "id", "left_semi")
-        shingles = texts.mapInArrow(_shingles(self.p), "id long, shingle long").join(self.centres, "id")
-        by = shingles.groupBy("centre", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-        of_all = by.groupBy("shingle").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
-        of_all, of_centre = (x.where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias(c)) for x, c in ((of_all, "own"), (by, "own_here")))
-        placed = placed.join(self.sketches, "id").join(self.centres, "id").join(of_all, "id", "left").join(of_centre, "id", "left")
-        left = [(F.col("n_shingles") - F.coalesce(c, F.lit(0))).alias(name) for c, name in (("own", "common"), ("own_here", "common_here"))]
-        placed = placed.select("key", "id", "n_shingles", "component", "sketch", "centre", *left)
+        by = texts.mapInArrow(_shingles(self.p), "id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+        own = by.where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+        placed = placed.join(self.sketches, "id").join(self.centres, "id").join(own, "id", "left")
+        placed = placed.select("key", "id", "n_shingles", "component", "sketch", "centre", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("common"))
         placed = self.scratch.write(placed.where(100 * F.col("common") >= self.p.percent * F.col("n_shingles")), "placed")
-        groups = placed.groupBy("key", "component").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.count(F.lit(1)).alias("members"))
-        others = groups.select("key", *(F.col(c).alias(f"other_{c}") for c in ("component", "least", "most", "members")))
+        groups = placed.groupBy("key", "component", "centre").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.count(F.lit(1)).alias("members"))
+        others = groups.select("key", *(F.col(c).alias(f"other_{c}") for c in ("component", "centre", "least", "most", "members")))
         fit = (100 * F.col("most") >= self.p.percent * F.col("other_least")) & (100 * F.col("other_most") >= self.p.percent * F.col("least"))
-        crossing = groups.join(others, "key").where((F.col("component") < F.col("other_component")) & fit)
+        crossing = groups.join(others, "key").where((F.col("component") < F.col("other_component")) & (F.col("centre") != F.col("other_centre")) & fit)
         # The smaller side first: what the first join gives doesn't grow with the larger group.
         few = F.col("members") <= F.col("other_members")
-        crossing = crossing.select("key", F.when(few, F.col("component")).otherwise(F.col("other_component")).alias("component"), F.when(few, F.col("other_component")).otherwise(F.col("component")).alias("far"))
-        left = crossing.join(placed, ["key", "component"])
-        right = placed.select("key", F.col("component").alias("far"), F.col("id").alias("end"), F.col("n_shingles").alias("n_end"), F.col("sketch").alias("sketch_end"), *(F.col(c).alias(f"{c}_end") for c in ("centre", "common", "common_here")))
-        both = F.when(F.col("centre") == F.col("centre_end"), F.least("common_here", "common_here_end")).otherwise(F.least("common", "common_end"))
+        pick = lambda a, b, name: F.when(few, F.col(a)).otherwise(F.col(b)).alias(name)
+        crossing = crossing.select("key", pick("component", "other_component", "component"), pick("centre", "other_centre", "centre"), pick("other_component", "component", "far"), pick("other_centre", "centre", "far_centre"))
+        left = crossing.join(placed, ["key", "component", "centre"])
+        right = placed.select("key", F.col("component").alias("far"), F.col("centre").alias("far_centre"), F.col("id").alias("end"), F.col("n_shingles").alias("n_end"), F.col("sketch").alias("sketch_end"), F.col("common").alias("common_end"))
+        both = F.least("common", "common_end")
         enough = 100 * both >= self.p.percent * (F.col("n_shingles") + F.col("n_end") - both)
-        rest = left.join(right, ["key", "far"]).where(enough & self.close("sketch", "sketch_end"))
+        rest = left.join(right, ["key", "far", "far_centre"]).where(enough & self.close("sketch", "sketch_end"))
         self.check(rest.select(F.least("id", "end").alias("u"), F.greatest("id", "end").alias("v")).distinct(), "rest")
 
 
@@ -285,8 +366,9 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
 
     In each band's bucket every class is checked against a head of the bucket,
     in some rounds with other heads, so that the members of a group find each
-    other by a row a member and round.  After them pairs that cross components
-    are left, and all of those are checked.  A pair is checked on its full texts
+    other by a row a member and round.  Members with one centre are then compared
+    group by group, in blocks.  Pairs of other centres that cross components are
+    left, and all of those are checked.  A pair is checked on its full texts
     unless sizes, sketches (two bits of each coordinate) or shingles that only
     one document has rule it out.
     """
@@ -314,6 +396,7 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
     more = True
     for k in range(p.rounds):
         more = more and groups.compare_with_heads(k)
+    groups.compare_groups()
     groups.compare_rest()
 
     empty = spark.createDataFrame([], "node long, component long")

@@ -83,3 +83,36 @@ def test_a_large_group_whose_members_are_not_all_near(spark):
             own[i] = f"n{d}x{i}"
         rows.append((d, " ".join(own)))
     assert run(spark, rows, 2) == brute(rows, 2)
+
+
+def test_blocks_of_a_group_find_the_same_links(monkeypatch, spark):
+    """A group whose members are near a centre and not each other, cut into several blocks."""
+    from tallyloom.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 7)
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for d in range(80):
+        words = list(base)
+        for _ in range(r.choice([0, 4, 9, 14, 22])):
+            words[r.randrange(100)] = f"x{r.randrange(40)}"
+        rows.append((d, " ".join(words)))
+    assert run(spark, rows) == brute(rows, 2)
+
+
+def test_intersections_by_products():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 9000, n)).astype(np.uint64) for n in (0, 1, 50, 6000, 400, 6000)]
+    got = near_common([len(s) for s in sets], np.concatenate(sets), 4)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) if i != j else int(np.isin(a, np.concatenate([s for k, s in enumerate(sets) if k != i])).sum()) for j, b in enumerate(sets)] for i, a in enumerate(sets[:4])]
+
+
+def near_common(sizes, shingles, n):
+    import numpy as np
+
+    from tallyloom.llm.near_dedup import common_shingles
+
+    return common_shingles(np.array(sizes), shingles, n)
