@@ -62,6 +62,13 @@ def rate(key: Column, part: str) -> Column:
     return _pick(key, of_input) * {"input": 1.0, "cache_write": CACHE_WRITE, "cache_read": CACHE_READ}[part]
 
 
+def _rates(family: str) -> tuple[float, ...]:
+    """Rates of a family in the order of PARTS."""
+    given = next((i, o) for k, _, i, o, _ in FAMILIES if k == family)
+    of = {"input": given[0], "output": given[1], "cache_write": given[0] * CACHE_WRITE, "cache_read": given[0] * CACHE_READ}
+    return tuple(float(of[p]) for p in PARTS)
+
+
 def tier_of(key: Column) -> Column:
     return _pick(key, {k: t for k, _, _, _, t in FAMILIES})
 
@@ -80,17 +87,26 @@ def resolve_cost(rows: DataFrame) -> DataFrame:
     and estimate the rows without an amount if the model has a rate; billing
     tables never estimate.  A part that nobody knows makes the cost incomplete.
     """
-    key = price_key(F.col("model"))
+    # Labels are few: each is matched once, and rows get its family and rates as columns.
+    by_family = {k: F.struct(*(F.lit(v).alias(p) for p, v in zip(PARTS, _rates(k), strict=True))) for k, *_ in FAMILIES}
+    labels = rows.select(F.col("model").alias("_model")).distinct().withColumn("_key", price_key(F.col("_model")))
+    labels = labels.withColumn("_rates", F.create_map(*(x for k, v in by_family.items() for x in (F.lit(k), v)))[F.col("_key")])
+    columns, rows, key = rows.columns, rows.join(labels, F.col("model").eqNullSafe(F.col("_model"))), F.col("_key")
     whole, missing = ({p: F.col(f"{prefix}{p}_tokens") for p in PARTS} for prefix in ("", "missing_"))
+
+    def dollars(tokens: dict[str, Column]) -> Column:
+        terms = [tokens[p] * F.col("_rates")[p] for p in PARTS]
+        return sum(terms[1:], terms[0]) / 1e6
+
     recorded = F.when(F.col("cost_rows") > 0, F.col("recorded"))
     all_there = F.coalesce(F.col("missing_cost_rows"), F.lit(0)) == 0
-    estimate = F.when(~all_there, dollars(key, missing))
+    estimate = F.when(~all_there, dollars(missing))
     source = F.col("source")
     tables = F.when(estimate.isNotNull(), F.coalesce(recorded, F.lit(0.0)) + estimate).otherwise(recorded)
-    cost = F.when(source.isin(*NEVER_DOLLARS), None).when(source.isin(*RECORDED_ONLY), recorded).when(source.isin(*WITH_ROWS), tables).otherwise(dollars(key, whole))
+    cost = F.when(source.isin(*NEVER_DOLLARS), None).when(source.isin(*RECORDED_ONLY), recorded).when(source.isin(*WITH_ROWS), tables).otherwise(dollars(whole))
     known = F.when(source.isin(*RECORDED_ONLY), all_there & recorded.isNotNull()).when(source.isin(*WITH_ROWS), F.when(all_there, recorded.isNotNull()).otherwise(estimate.isNotNull())).otherwise(cost.isNotNull())
     shown = F.when(~source.isin(*NEVER_DOLLARS), key)
-    return rows.withColumns({"key": shown, "cost": cost, "complete": known & ~source.isin(*NEVER_DOLLARS)})
+    return rows.select(*(F.col(c) for c in columns), shown.alias("key"), cost.alias("cost"), (known & ~source.isin(*NEVER_DOLLARS)).alias("complete"))
 
 
 def hypothetical_amount(rows: DataFrame, coverage_complete: bool) -> DataFrame:

@@ -42,7 +42,7 @@ def fnv1a_hash(t: Tables) -> DataFrame:
 _FNV = "list_reduce(list_concat([2166136261::BIGINT], list_transform(string_split({0}, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: CAST((xor(h, c)::HUGEINT * 16777619) % 4294967296 AS BIGINT))"
 
 
-@query(f"""WITH n AS (SELECT conv_id, turn, trim(regexp_replace(lower(nfc_normalize(coalesce(text, ''))), '\s+', ' ', 'g')) AS t FROM conversations), w AS (SELECT *, regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+') AS w FROM n),
+@query(rf"""WITH n AS (SELECT conv_id, turn, trim(regexp_replace(lower(nfc_normalize(coalesce(text, ''))), '\s+', ' ', 'g')) AS t FROM conversations), w AS (SELECT *, regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+') AS w FROM n),
   u AS (SELECT x, {_FNV.format('x')} AS h FROM (SELECT DISTINCT unnest(w) AS x FROM w)), b AS (SELECT conv_id, turn, h % 48 AS bucket, sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END) AS v FROM (SELECT conv_id, turn, unnest(w) AS x FROM w) JOIN u USING (x) GROUP BY ALL),
   v AS (SELECT conv_id, turn, sum((bucket + 1) * v) / sqrt(sum(v * v)) AS checksum, sum(abs(v)) / sqrt(sum(v * v)) AS absolute FROM b GROUP BY ALL HAVING sum(v * v) > 0),
   g AS (SELECT conv_id, turn, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, chr(1))] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2]) END) AS g FROM w),
