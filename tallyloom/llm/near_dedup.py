@@ -297,8 +297,9 @@ class _Groups:
         heads = placed.groupBy("key").agg(F.min(F.struct(order.alias("order"), "id", "n_shingles", "component")).alias("h"))
         heads = heads.select("key", F.col("h.id").alias("head"), F.col("h.n_shingles").alias("n_head"), F.col("h.component").alias("own"))
         if k == 0:  # the head that a class meets in most of its buckets
-            met = placed.select("key", "id").join(heads.select("key", "head"), "key").groupBy("id", "head").agg(F.count(F.lit(1)).alias("n"))
-            self.centres = self.scratch.write(met.groupBy("id").agg(F.max(F.struct("n", "head")).alias("h")).select("id", F.col("h.head").alias("centre")), "centres")
+            met = placed.select("key", "id", "n_shingles").join(heads.select("key", "head"), "key").groupBy("id", "head").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles"))
+            self.sized = self.scratch.write(met.groupBy("id").agg(F.max(F.struct("n", "head")).alias("h"), F.max("n_shingles").alias("n_shingles")).select("id", F.col("h.head").alias("centre"), "n_shingles"), "centres")
+            self.centres = self.sized.select("id", "centre")
         pairs = placed.join(heads, "key").where((F.col("component") != F.col("own")) & self.sizes_fit("n_shingles", "n_head"))
         pairs = pairs.select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
         more = self.check(self.sketched(pairs), f"heads-{k}")
@@ -306,12 +307,13 @@ class _Groups:
         return more
 
     def compare_groups(self) -> None:
-        """Members of mixed buckets that have one centre are compared group by group: blocks of their sets with blocks, by matrix products.
+        """Members that have one centre and are in several components are compared group by group: blocks of their sets with blocks, by matrix products.
 
         A pair of blocks gives fewer links than it has members, so a group of m
         near copies makes about (m / BLOCK_MEMBERS)^2 / 2 rows and no pairs.
         """
-        members = self.scratch.write(self.placed().select("id", "n_shingles", "component").distinct().join(self.centres, "id"), "grouped")
+        found = self.found.withColumnRenamed("node", "id") if self.found is not None else self.sized.select("id", F.col("id").alias("component"))
+        members = self.scratch.write(self.sized.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "grouped")
         groups = members.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
         blocks = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
         members = members.select("id", "centre").join(groups.select("centre", blocks.alias("blocks")), "centre")
@@ -366,9 +368,10 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
 
     In each band's bucket every class is checked against a head of the bucket,
     in some rounds with other heads, so that the members of a group find each
-    other by a row a member and round.  Members with one centre are then compared
-    group by group, in blocks.  Pairs of other centres that cross components are
-    left, and all of those are checked.  A pair is checked on its full texts
+    other by a row a member and round.  After the first round members with one
+    centre are compared group by group, in blocks.  In the end pairs of other
+    centres that cross components are left, and all of those are checked.  A pair
+    is checked on its full texts
     unless sizes, sketches (two bits of each coordinate) or shingles that only
     one document has rule it out.
     """
@@ -393,10 +396,10 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
     held = scratch.write(held.select("id", "text"), "held")
 
     groups = _Groups(members, sketches, held, p, scratch)
-    more = True
-    for k in range(p.rounds):
-        more = more and groups.compare_with_heads(k)
+    more = groups.compare_with_heads(0)
     groups.compare_groups()
+    for k in range(1, p.rounds):
+        more = more and groups.compare_with_heads(k)
     groups.compare_rest()
 
     empty = spark.createDataFrame([], "node long, component long")
