@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.functions.columns import float_log, float_ratio
 from tallyloom.operators.rules import attempt_rules, violations
 
 # Usable tasks and task classes that a participant needs, and most attempts.
@@ -70,10 +71,11 @@ def attempt_violations(attempts: DataFrame) -> DataFrame:
 
 def conformal_scale(rows: DataFrame) -> Column:
     """How far a band must be widened, in log steps of its upper half, for a row's cost to lie in it."""
-    return F.abs(F.log(F.col("cost_usd") / F.col("p50"))) / F.log(F.col("p90") / F.col("p50"))
+    return float_ratio(F.abs(float_log(float_ratio(F.col("cost_usd"), F.col("p50")))), float_log(float_ratio(F.col("p90"), F.col("p50"))))
 
 
 def scaled_band(scale: Column) -> list[Column]:
     """p10, p50 and p90 with both halves multiplied by a scale in log steps."""
     p50 = F.col("p50")
-    return [(p50 * F.pow(F.col(c) / p50, scale)).alias(c) for c in ("p10", "p50", "p90")]
+    moved = lambda c: (p50 * F.pow(float_ratio(F.col(c), p50), scale)).alias(c)
+    return [moved("p10"), p50, moved("p90")]
