@@ -195,8 +195,8 @@ def call_stream_totals(t: Tables) -> DataFrame:
     rows = calls(t).select(
         F.concat_ws("-", "l_partkey", "l_suppkey").alias("call_key"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"), F.when(F.col("l_linenumber") % 3 == 0, FALLBACK_MODEL).otherwise(F.col("model")).alias("model"), "day", "time_ms", *STREAM_COUNTERS)
     folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
-    rows.repartition(6, F.xxhash64("at")).write.parquet(folder)
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    rows.repartition(24, F.xxhash64("at")).write.parquet(folder)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(folder)
     return signed_totals(drained(merged_call_stream(stream, STREAM_COUNTERS), t.spark), ["model"], STREAM_COUNTERS)
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +17,14 @@ from tallyloom.plans.shared import shared_folder
 from tallyloom.sources.session_logs import USAGE_FIELDS, rollout_events
 
 
-def drained(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame | MergedCalls, spark: SparkSession, mode: str = "append") -> DataFrame:
     """What a stream gives when all present input is read, as a table in the shared folder; a restart goes on from its checkpoint."""
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    if isinstance(stream, MergedCalls):
+        write = lambda batch, number: stream.partial(batch).write.mode("overwrite").parquet(f"{root}/rows/version={number}")
+        stream.calls.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        schema = stream.partial(spark.createDataFrame([], stream.calls.schema)).schema.add("version", "long")
+        return stream.changes(spark.read.schema(schema).parquet(f"{root}/rows"))
     stream.writeStream.outputMode(mode).format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
@@ -72,7 +79,29 @@ def counter_delta_stream(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("series").applyInPandasWithState(step, DELTA, STATE, "append", "NoTimeout")
 
 
-def merged_call_stream(calls: DataFrame, counters: list[str]) -> DataFrame:
+@dataclass(frozen=True)
+class MergedCalls:
+    """A stream of calls whose micro-batches are merged each by itself, and what their log gives; `drained` writes and reads it."""
+
+    calls: DataFrame
+    counters: list[str]
+
+    def partial(self, batch: DataFrame) -> DataFrame:
+        """A row for each call of a micro-batch; `first` is (fallback, at, model) of the record that names its model."""
+        first = F.struct((F.coalesce(F.col("model") == FALLBACK_MODEL, F.lit(False))).alias("fallback"), "at", "model")
+        return batch.groupBy("call_key").agg(F.min(first).alias("first"), F.min("day").alias("day"), F.min("time_ms").alias("time_ms"), *(F.max(F.col(c).cast("long")).alias(c) for c in self.counters), F.count(F.lit(1)).alias("copies"))
+
+    def changes(self, log: DataFrame) -> DataFrame:
+        """call_key, sign, version and values from partial rows with a version: each call as it stood after every micro-batch that had it, and the row taken back then."""
+        upto = W.partitionBy("call_key").orderBy("version").rowsBetween(W.unboundedPreceding, 0)
+        kept = {"first": F.min("first"), "day": F.min("day"), "time_ms": F.min("time_ms"), **{c: F.max(c) for c in self.counters}, "copies": F.sum("copies")}
+        stood = log.select("call_key", "version", *(f.over(upto).alias(c) for c, f in kept.items()), (F.lead("version").over(W.partitionBy("call_key").orderBy("version")).isNotNull()).alias("replaced"))
+        one = F.lit(1).cast("long")
+        signs = F.explode(F.when(F.col("replaced"), F.array(one, -one)).otherwise(F.array(one)))
+        return stood.select("call_key", signs.alias("sign"), "version", F.col("first.model").alias("model"), "day", "time_ms", *self.counters, "copies")
+
+
+def merged_call_stream(calls: DataFrame, counters: list[str]) -> MergedCalls:
     """Changes to the calls of a stream(call_key, at, model, day, time_ms, counters): of each call the largest counters, whatever comes when.
 
     A call is merged over the whole run, however late a repeat comes, so a row
@@ -80,36 +109,11 @@ def merged_call_stream(calls: DataFrame, counters: list[str]) -> DataFrame:
     a sign, -1 for what no longer holds and 1 for what does, and a version.  Sums
     over sign times value are those of the batch rule after every micro-batch.
     A recognised model counts before the fallback, then the earliest one.
-    """
-    values = ["model", "day", "time_ms", *counters, "copies"]
-    kinds = {"model": "string", "day": "string", **dict.fromkeys(("time_ms", *counters, "copies"), "long")}
-    fields = ", ".join(f"{c} {kinds[c]}" for c in values)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        version, known, at, old = 0, False, 0, None
-        if state.exists:
-            version, known, at, *old = state.get
-        new = dict(zip(values, old, strict=True)) if old else None
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                order, shown = (row.model == FALLBACK_MODEL, row.at), (not known, at)
-                if new is None or order < shown:
-                    known, at, model = row.model != FALLBACK_MODEL, row.at, row.model
-                else:
-                    model = new["model"]
-                least = lambda c: min((x for x in (new and new[c], getattr(row, c)) if x is not None and x == x), default=None)  # noqa: B023, E731
-                most = {c: max(int(getattr(row, c)), new[c] if new else 0) for c in counters}
-                new = {"model": model, "day": least("day"), "time_ms": least("time_ms"), **most, "copies": (new["copies"] if new else 0) + 1}
-        out = [] if old is None else [(-1, version, *old)]
-        now = tuple(None if v is None else int(v) if kinds[c] == "long" else v for c, v in new.items())
-        state.update((version + 1, known, int(at), *now))
-        frame = pd.DataFrame([*out, (1, version + 1, *now)], columns=["sign", "version", *values])
-        frame.insert(0, "call_key", key[0])
-        yield frame.astype({c: "Int64" for c in values if kinds[c] == "long"})
-
-    state = f"version long, known boolean, at long, {fields}"
-    rows = calls.select("call_key", "at", "model", "day", "time_ms", *counters)
-    return rows.groupBy("call_key").applyInPandasWithState(step, f"call_key string, sign long, version long, {fields}", state, "append", "NoTimeout")
+    The state is a log: each micro-batch appends a row for each of its calls, so
+    no call is kept in memory, and a repeated micro-batch replaces itself.
+    """
+    return MergedCalls(calls.select("call_key", "at", "model", "day", "time_ms", *counters), counters)
 
 
 def signed_totals(changes: DataFrame, by: list[str], counters: list[str]) -> DataFrame:

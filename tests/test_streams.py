@@ -43,3 +43,12 @@ def test_any_order_and_cut_gives_the_batch_rows(spark, tmp_path, seed):
         n, a, b = sums.get(row.model, (0, 0, 0))
         sums[row.model] = (n + 1, a + row.input_tokens, b + row.output_tokens)
     assert totals == sums
+
+
+def test_calls_are_merged_without_python_or_kept_state(spark, tmp_path):
+    rows = [(f"c{i % 3}", i, "m1", None, i, i, 1) for i in range(9)]
+    stream = merged_call_stream(stream_of(spark, tmp_path / "in", [rows[:4], rows[4:]]), COUNTERS)
+    changes = drained(stream, spark)
+    plan = changes._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "StateStore" not in plan
+    assert [tuple(r) for r in signed_totals(changes, ["model"], COUNTERS).collect()] == [("m1", 3, 6 + 7 + 8, 3)]
