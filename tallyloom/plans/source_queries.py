@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyloom.functions.columns import FALLBACK_MODEL, token_estimate
 from tallyloom.operators.conversations import visible_branch
@@ -177,13 +178,28 @@ def rollout_usage_stream(t: Tables) -> DataFrame:
     """All sessions' lines as a stream that cuts them anywhere: model, last totals and resets live on between micro-batches."""
     lines = written(rollout_texts(t).select(F.col("g").cast("string").alias("file"), F.col("n").cast("long").alias("line_no"), F.col("value").alias("line")), "stream-lines")
     folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
-    for low, high in ((0, 17), (17, 61), (61, 1 << 60)):  # three writes, one after the other: as a log grows
-        lines.where((F.col("line_no") >= low) & (F.col("line_no") < high)).coalesce(1).write.mode("append").parquet(folder)
+    for piece in stream_pieces(lines):  # one after the other: as a log grows
+        piece.coalesce(1).write.mode("append").parquet(folder)
     stream = t.spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     out = drained(rollout_stream(stream), t.spark).where("status = 'usage'")
     return out.groupBy("model").agg(*(F.sum(c).alias(c) for c in USAGE_FIELDS[:4]), F.count(F.lit(1)).alias("updates"), F.count_if("reset").alias("resets"))
 
 
+#: Lines of a file that come in one micro-batch, so that what Python holds of a file doesn't grow with it.
+STREAM_LINES = 200_000
+
+
+def stream_pieces(lines: DataFrame, size: int = STREAM_LINES) -> list[DataFrame]:
+    """Lines up to the 17th, the 61st and then every `size` of each file; a folder a piece, so that each reads its own."""
+    n, folder = F.col("line_no"), f"{shared_folder(lines.sparkSession)}/pieces-{uuid.uuid4().hex}"
+    piece = F.when(n < 17, 0).when(n < 61, 1).otherwise(F.floor((n - 61) / size) + 2)
+    lines.withColumn("piece", piece.cast("long")).write.partitionBy("piece").parquet(folder)
+    last = lines.agg(F.max(piece)).first()[0]
+    schema = StructType([*lines.schema.fields, StructField("piece", LongType())])
+    each = lines.sparkSession.read.schema(schema).parquet(folder)
+    return [each.where(F.col("piece") == k).select(*lines.columns) for k in range((-1 if last is None else last) + 1)]
+
+
 STREAM_COUNTERS = ["input_tokens", "cache_write_input_tokens", "cache_read_input_tokens", "output_tokens"]
 
 
