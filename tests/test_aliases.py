@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tallyloom.operators.components import alias_calls
+from tallyloom.operators.components import alias_calls, forest_roots
 
 SCHEMA = "at long, message_id string, request_id string, model string, input_tokens long, output_tokens long"
 
@@ -54,3 +54,20 @@ def test_random_orders(spark, tmp_path, seed):
     rows = [(i, r.choice([None, *"abcdefghij"]), r.choice([None, *"stuvwxyz"]), r.choice(["m1", "m1", "m2"]), r.randrange(4), r.randrange(4)) for i in range(40)]
     rows += [(100 + i, f"n{i // 3}", f"q{i // 2}", "m1", 1, i) for i in range(30)]
     assert run(spark, tmp_path, rows) == brute(rows)
+
+
+def test_a_long_chain_of_ids_is_one_call(spark, tmp_path):
+    rows = [(i, f"m{i // 2}", f"r{(i + 1) // 2}", "m1", 1, 1) for i in range(70)] + [(100, None, "r0", "m1", 5, 0), (101, "m34", None, "m2", 0, 9)]
+    assert run(spark, tmp_path, rows) == brute(rows) == ([(0, "m1", 5, 9, 72)], [(101, "model_conflict")])
+
+
+def test_roots_need_few_rounds(spark, tmp_path):
+    parents = spark.createDataFrame([(i, i - 1) for i in range(1, 33)] + [(100, 50)], "node long, parent long")
+    assert sorted(map(tuple, forest_roots(parents, str(tmp_path)).collect())) == [(i, 0) for i in range(1, 33)] + [(100, 50)]
+    (tables,) = tmp_path.iterdir()
+    assert len(list(tables.iterdir())) == 6  # 1, 2, 4, ... 32 steps
+
+
+def test_copies_of_a_record_count_once_each(spark, tmp_path):
+    rows = [(1, "a", "x", "m1", 1, 1), (2, "a", "y", "m1", 2, 0), (2, "a", "y", "m1", 2, 0), (3, None, "y", "m1", 0, 4)]
+    assert run(spark, tmp_path, rows) == ([(1, "m1", 2, 4, 4)], [])
