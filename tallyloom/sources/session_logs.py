@@ -19,6 +19,7 @@ from pyspark.sql.types import IntegerType
 from tallyloom.functions.columns import FALLBACK_MODEL, MAX_COUNT, is_count, sanitize_model_label
 from tallyloom.operators.ranks import numbered
 from tallyloom.operators.usage import dedup_calls
+from tallyloom.plans.shared import written
 
 _ESCAPE = re.compile(rb"\\.", re.DOTALL)
 #: Longer lines are counted and not parsed; of rollouts, only what can be told from a few places.
@@ -42,7 +43,7 @@ def jsonl_lines(spark: SparkSession, folder: str) -> DataFrame:
             raise
         return spark.createDataFrame([], "file string, line_no struct<start: long, row: long>, line string")
     place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
-    return lines.select(F.col("_metadata.file_path").alias("file"), place.alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line")).where(F.trim("line") != "")
+    return lines.select(F.col("_metadata.file_path").alias("file"), place.alias("line_no"), F.when(F.col("value").contains("\r"), F.regexp_replace("value", "\r$", "")).otherwise(F.col("value")).alias("line")).where(F.trim("line") != "")
 
 
 def _coerced_count(v: Column, path: str) -> Column:
@@ -56,7 +57,11 @@ def _coerced_count(v: Column, path: str) -> Column:
 
 
 def assistant_calls(lines: DataFrame) -> DataFrame:
-    """A row for each line: status (call, ignored, malformed, oversized) and, for calls, identity, model and counters."""
+    """A row for each line: status (call, ignored, malformed, oversized) and, for calls, identity, model and counters.
+
+    What lines say is written once: a condition on the status would be moved below
+    the parsing and parse a line again for each value it looks at.
+    """
     v = F.try_parse_json(F.when(F.length("line") <= LONGEST_LINE, F.col("line")))
     rows = lines.withColumn("v", v)
     text = lambda path: F.try_variant_get("v", path, "string")
@@ -65,6 +70,7 @@ def assistant_calls(lines: DataFrame) -> DataFrame:
         text("$.sessionId").alias("session_id"), text("$.timestamp").alias("timestamp"), text("$.message.id").alias("message_id"), text("$.requestId").alias("request_id"), text("$.message.model").alias("label"),
         *(_coerced_count(F.col("v"), f"$.message.usage.{source}").alias(name) for name, source in CALL_COUNTERS.items()),
     )
+    rows = written(rows, "log-lines")
     counted = F.lit(True)
     for name in CALL_COUNTERS:
         counted = counted & F.col(name).isNotNull()

@@ -37,3 +37,9 @@ def test_rollout_deltas_resets_and_models(spark, tmp_path):
     used = rows.where("not repeated").groupBy("model").agg(*(F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_input_tokens", "reasoning_output_tokens", "usage_records")))
     assert sorted(tuple(r) for r in used.collect()) == [("gpt-5-sol", 100, 30, 50, 8, 2), ("gpt-5-terra", 18, 14, 12, 3, 2)]
     assert (rows.where("reset").count(), rows.where("repeated").count()) == (1, 1)
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text(call("m1", "r1", "claude-opus-4-8", (2, 30, 8, 20)))
+    calls = unique_calls(assistant_calls(jsonl_lines(spark, str(tmp_path))))
+    assert calls.count() == 1 and "parseJson" not in calls._jdf.queryExecution().optimizedPlan().toString()
