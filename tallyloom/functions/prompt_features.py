@@ -15,6 +15,8 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 # Buckets of the signed vector, FNV-1a's offset and prime, what joins the words of a trigram.
 BUCKETS, OFFSET, PRIME, JOINT = 48, 2166136261, 16777619, "\u0001"
 _BLANK, _WORD, _DIGIT = regex.compile(r"[\s﻿]+"), regex.compile(r"[\p{L}\p{N}_]+"), regex.compile("[0-9]")
+#: Texts whose words and trigrams are held at once; a batch has as many texts as Spark hands over.
+AT_ONCE = 256
 FEATURES = StructType([
     StructField("normalized", StringType()), StructField("words", LongType()), StructField("chars", LongType()), StructField("uniq", DoubleType()), StructField("digits", DoubleType()),
     StructField("vector", ArrayType(DoubleType())), StructField("trigrams", ArrayType(LongType())),
@@ -52,13 +54,14 @@ def _features(texts: list[str]) -> pd.DataFrame:
         norm = float(np.sqrt((vector * vector).sum()))
         chars = len(text.encode("utf-16-le", "surrogatepass")) // 2
         unique, digits = len(set(w)) / len(w) if w else 0.0, len(_DIGIT.findall(text)) / chars if chars else 0.0
-        rows.append((text, len(w), chars, unique, digits, [*(vector / norm if norm else vector).tolist(), float(np.log1p(len(w))), unique, digits], sorted({code[g] for g in gs})))
+        rows.append((text, len(w), chars, unique, digits, np.concatenate([vector / norm if norm else vector, [np.log1p(len(w)), unique, digits]]), np.array(sorted({code[g] for g in gs}), dtype=np.int64)))
     return pd.DataFrame(rows, columns=[f.name for f in FEATURES])
 
 
 @F.pandas_udf(FEATURES)
 def _prompt_features(texts: pd.Series) -> pd.DataFrame:
-    return _features(normalized_texts(pa.Array.from_pandas(texts, type=pa.string())))
+    parts = [_features(normalized_texts(pa.Array.from_pandas(texts[i : i + AT_ONCE], type=pa.string()))) for i in range(0, max(len(texts), 1), AT_ONCE)]
+    return pd.concat(parts, ignore_index=True)
 
 
 def prompt_features(text: Column) -> Column:

@@ -41,3 +41,12 @@ def test_features_equal_plain_python(spark):
 def test_hashes_of_many_lengths():
     words = ["a" * n for n in range(40)] + ["é", "😀", "foobar", ""]
     assert utf16_hashes(words).tolist() == [fnv(w) for w in words] and utf16_hashes([]).tolist() == []
+
+
+def test_few_texts_are_held_at_once(monkeypatch):
+    from tallyloom.functions import prompt_features as m
+
+    texts, seen, whole = [f"one two {i} three" for i in range(600)], [], m._features
+    monkeypatch.setattr(m, "_features", lambda part: seen.append(len(part)) or whole(part))
+    out = m._prompt_features.func(m.pd.Series(texts))
+    assert seen == [256, 256, 88] and [*out["normalized"]] == texts and len(m._prompt_features.func(m.pd.Series([], dtype=object))) == 0
