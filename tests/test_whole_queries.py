@@ -21,6 +21,12 @@ def test_weighted_similarity_topk_answers_every_task_with_a_past(spark):
     assert found == count("SELECT count(*) FROM {events} WHERE ts > (SELECT min(ts) FROM {events})")
 
 
+def test_recency_weighted_median_answers_every_task(spark):
+    found = catalogue.QUERIES["recency_weighted_median"](spark, FOLDER)
+    assert found.count() == count("SELECT count(*) FROM {events}")
+    assert found.where("recency_median is null").count() == 1  # the first alone has no past
+
+
 @pytest.mark.parametrize("name", ["symmetric_band", "local_asymmetric_band", "distance_normalised_band", "cqr_band"])
 def test_bands_are_given_to_all_of_the_last_fifth(spark, name):
     rows = catalogue.QUERIES[name](spark, FOLDER)
