@@ -27,6 +27,12 @@ def test_recency_weighted_median_answers_every_task(spark):
     assert found.where("recency_median is null").count() == 1  # the first alone has no past
 
 
+@pytest.mark.parametrize("name", ["manhattan_knn", "euclidean_knn"])
+def test_every_vector_with_a_past_has_its_nearest(spark, name):
+    found = catalogue.QUERIES[name](spark, FOLDER).select("q_task_id").distinct().count()
+    assert found == duckdb.sql(f"SELECT count(*) - 1 FROM '{FOLDER}/embeddings.parquet'").fetchall()[0][0]
+
+
 @pytest.mark.parametrize("name", ["symmetric_band", "local_asymmetric_band", "distance_normalised_band", "cqr_band"])
 def test_bands_are_given_to_all_of_the_last_fifth(spark, name):
     rows = catalogue.QUERIES[name](spark, FOLDER)
