@@ -33,6 +33,13 @@ def test_every_vector_with_a_past_has_its_nearest(spark, name):
     assert found == duckdb.sql(f"SELECT count(*) - 1 FROM '{FOLDER}/embeddings.parquet'").fetchall()[0][0]
 
 
+@pytest.mark.parametrize("name", ["retrieval_three_stage", "prompt_refusals"])
+def test_every_prompt_is_answered(spark, name):
+    rows = catalogue.QUERIES[name](spark, FOLDER)
+    want = duckdb.sql(f"SELECT count(DISTINCT (conv_id, turn)) FROM '{FOLDER}/conversations.parquet'").fetchall()[0][0]
+    assert rows.count() == rows.select("task_id").distinct().count() == want
+
+
 @pytest.mark.parametrize("name", ["symmetric_band", "local_asymmetric_band", "distance_normalised_band", "cqr_band"])
 def test_bands_are_given_to_all_of_the_last_fifth(spark, name):
     rows = catalogue.QUERIES[name](spark, FOLDER)
