@@ -40,6 +40,13 @@ def test_every_prompt_is_answered(spark, name):
     assert rows.count() == rows.select("task_id").distinct().count() == want
 
 
+def test_the_screen_measures_all_development_rows(spark):
+    rows = {(x.corpus, x.result): x.n for x in catalogue.QUERIES["screen_results"](spark, FOLDER).collect()}
+    n = duckdb.sql(f"SELECT count(DISTINCT (conv_id, turn)) FROM '{FOLDER}/conversations.parquet'").fetchall()[0][0]
+    assert rows["all_rows", "diagnostic_only"] == int(n * 0.55) + int(n * 0.2) + int(n * 0.1)
+    assert rows["all_rows", "recency_symmetric"] == rows["all_rows", "jaccard_symmetric"] == int(n * 0.1)
+
+
 @pytest.mark.parametrize("name", ["symmetric_band", "local_asymmetric_band", "distance_normalised_band", "cqr_band"])
 def test_bands_are_given_to_all_of_the_last_fifth(spark, name):
     rows = catalogue.QUERIES[name](spark, FOLDER)
